@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
-from gradelake.llm import chat, exact_dedup, sharding, url_filter
+from gradelake.llm import bpe, chat, decontaminate, exact_dedup, language, line_dedup, ngram_join, quality, sharding, url_filter
 
 QUERIES = {
+    "op1_line_dedup": line_dedup.op1_line_dedup,
     "op2_exact_dedup": exact_dedup.op2_exact_dedup,
     "op3_url_filter": url_filter.op3_url_filter,
     "op4_sharding": sharding.op4_sharding,
+    "op5_bpe": bpe.op5_bpe,
+    "op6_ngram_join": ngram_join.op6_ngram_join,
+    "op7_quality": quality.op7_quality,
     "op8_chat_format": chat.op8_chat_format,
+    "op9_decontaminate": decontaminate.op9_decontaminate,
+    "op10_language_id": language.op10_language_id,
 }
 SQL = exact_dedup.SQL | url_filter.SQL | chat.SQL
