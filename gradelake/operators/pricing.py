@@ -41,7 +41,8 @@ def pick_price(variants: Column, trend: Column, average: Column) -> Column:
     ``variants`` is an array of ``key, market`` in its source's order.  A price of 0 is a price.
     """
     priced = F.filter(variants, lambda v: v["market"].isNotNull())
-    market = F.coalesce(*[F.get(F.filter(priced, lambda v, name=name: v["key"] == name), 0)["market"] for name in VARIANTS], F.get(priced, 0)["market"])
+    of = lambda name: F.get(F.filter(priced, lambda v: v["key"] == name), 0)["market"]
+    market = F.coalesce(*map(of, VARIANTS), F.get(priced, 0)["market"])
     other = F.coalesce(trend, average)
     price = lambda amount, currency, source: F.struct(amount.alias("amount"), F.lit(currency).alias("currency"), F.lit(source).alias("source"))
     return F.when(market.isNotNull(), price(market, "USD", "TCGplayer")).when(other.isNotNull(), price(other, "EUR", "Cardmarket"))

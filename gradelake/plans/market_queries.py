@@ -193,9 +193,9 @@ QUERIES = {
 
 _SPLIT = """, raw AS (SELECT DISTINCT name FROM (SELECT concat('dark ', split_part(name, ' ', 1), ' vmaxx') AS name FROM v_request WHERE name IS NOT NULL UNION ALL SELECT name FROM v_request) u WHERE length(trim(name)) >= 2),
     sp AS (SELECT split_part(name, ' ', 1) AS display, min(id) AS ord FROM v_catalog GROUP BY 1), tr AS (SELECT name AS display, min(id) AS ord FROM v_catalog GROUP BY 1),
-    sw(w, shown, at) AS (VALUES """ + ", ".join(f"('{k}', '{v}', {i})" for i, (k, v) in enumerate(matching.SUFFIXES.items())) + """), pw(w, shown, at) AS (VALUES """ + ", ".join(f"('{k}', '{v.replace(chr(39), chr(39) * 2)}', {i})" for i, (k, v) in enumerate(matching.PREFIXES.items())) + """),
+    sw(w, shown, nth) AS (VALUES """ + ", ".join(f"('{k}', '{v}', {i})" for i, (k, v) in enumerate(matching.SUFFIXES.items())) + """), pw(w, shown, nth) AS (VALUES """ + ", ".join(f"('{k}', '{v.replace(chr(39), chr(39) * 2)}', {i})" for i, (k, v) in enumerate(matching.PREFIXES.items())) + """),
     tok AS (SELECT name, unnest(string_split_regex(lower(trim(name)), ' +')) AS t, generate_subscripts(string_split_regex(lower(trim(name)), ' +'), 1) AS i FROM raw),
-    lab AS (SELECT tok.*, (SELECT arg_min(shown, at + 100 * CAST(w <> t AS INT)) FROM sw WHERE w = t OR (length(t) > 2 AND length(w) > 2 AND levenshtein(t, w) <= 1)) AS suf, (SELECT arg_min(shown, at + 100 * CAST(w <> t AS INT)) FROM pw WHERE w = t OR (length(t) > 2 AND length(w) > 2 AND levenshtein(t, w) <= 1)) AS pre FROM tok),
+    lab AS (SELECT tok.*, (SELECT arg_min(shown, nth + 100 * CAST(w <> t AS INT)) FROM sw WHERE w = t OR (length(t) > 2 AND length(w) > 2 AND levenshtein(t, w) <= 1)) AS suf, (SELECT arg_min(shown, nth + 100 * CAST(w <> t AS INT)) FROM pw WHERE w = t OR (length(t) > 2 AND length(w) > 2 AND levenshtein(t, w) <= 1)) AS pre FROM tok),
     cut AS (SELECT name, string_agg(suf, ' ' ORDER BY i) AS sufs, string_agg(CASE WHEN suf IS NULL THEN pre END, ' ' ORDER BY i) AS pres, coalesce(string_agg(CASE WHEN suf IS NULL AND pre IS NULL THEN t END, '' ORDER BY i), '') AS joined, string_agg(CASE WHEN suf IS NULL AND pre IS NULL THEN concat(upper(substr(t, 1, 1)), substr(t, 2)) END, ' ' ORDER BY i) AS title FROM lab GROUP BY name),
     bs AS (SELECT cut.name, display, """ + Q.similarity("joined", "display") + """ AS sim FROM cut, sp WHERE length(joined) >= 2 QUALIFY row_number() OVER (PARTITION BY cut.name ORDER BY sim DESC, ord) = 1 AND sim > 0),
     bt AS (SELECT cut.name, display, """ + Q.similarity("cut.name", "display") + """ AS sim FROM cut, tr QUALIFY row_number() OVER (PARTITION BY cut.name ORDER BY sim DESC, ord) = 1 AND sim >= 0.62e0),
@@ -211,7 +211,7 @@ SQL = {
     "name_snap": _with("v_request", "v_catalog", body=_SPLIT),
     "art_knn": _with("v_request", body=_KNN + " SELECT query_id, id, round(art, 8) AS art, CAST(rank AS INT) AS rank FROM n"),
     "hybrid_match": _with("v_request", "v_catalog", body=_MATCH + f" SELECT query_id, id, name, {Q.jr('art', 3)} AS art_score, {Q.jr('txt', 3)} AS text_score, {Q.jr('total', 3)} AS score, CASE WHEN txt > 0 THEN 'art+text' ELSE 'art' END AS method FROM m"),
-    "identity_fallback": _with("v_request", "v_catalog", "v_colors", body=_MATCH + _COLORS + f" SELECT c.query_id, m.name, m.set_name, m.number, coalesce(substr(release_date, 1, 4) || ' · ' || set_name, set_name) AS era, CASE WHEN m.id IS NOT NULL THEN 'unknown' ELSE holo END AS holo, coalesce(least(1e0, greatest(0e0, {Q.jr('total', 3)})), CASE WHEN frame IS NOT NULL THEN 0.45e0 ELSE 0.2e0 END) AS confidence, CASE WHEN m.id IS NOT NULL THEN 'match' ELSE 'heuristic' END AS source FROM c0 c LEFT JOIN m ON c.query_id = m.query_id"),
+    "identity_fallback": _with("v_request", "v_catalog", "v_colors", body=_MATCH + _COLORS + f" SELECT c.query_id, m.name, m.set_name, m.number, coalesce(substr(release_date, 1, 4) || ' · ' || set_name, set_name) AS era, CASE WHEN m.id IS NOT NULL THEN 'unknown' ELSE holo END AS holo, coalesce(CASE WHEN m.id IS NOT NULL THEN least(1e0, greatest(0e0, {Q.jr('total', 3)})) END, CASE WHEN frame IS NOT NULL THEN 0.45e0 ELSE 0.2e0 END) AS confidence, CASE WHEN m.id IS NOT NULL THEN 'match' ELSE 'heuristic' END AS source FROM c0 c LEFT JOIN m ON c.query_id = m.query_id"),
     "recognition_accuracy": _with("v_request", "v_catalog", body=_MATCH + f", e AS (SELECT coalesce({Q.key('m.name')} = {Q.key('q.true_name')}, false) AS n, q.true_set IS NOT NULL AS l, coalesce({Q.key('m.set_name')} = {Q.key('q.true_set')}, false) AS s FROM v_request q LEFT JOIN m ON q.query_id = m.query_id) SELECT count(*) AS photos, count(*) FILTER (n) AS names_right, count(*) FILTER (l) AS sets_labelled, count(*) FILTER (l AND s) AS sets_right, {Q.jr('count(*) FILTER (n) / CAST(count(*) AS DOUBLE)', 4)} AS name_accuracy, {Q.jr('count(*) FILTER (l AND s) / CAST(nullif(count(*) FILTER (l), 0) AS DOUBLE)', 4)} AS set_accuracy FROM e"),
     "catalog_search": _with("v_ask", "v_catalog", body=_SEARCH + " SELECT query_id, id, CAST(found_at AS INT) AS found_at, want IS NOT NULL AND hit = 1 AS numbered FROM f"),
     "candidate_rank": _with("v_ask", "v_catalog", body=_SEARCH + _RANK + " SELECT query_id, id, CAST(rank AS INT) AS rank, raw FROM r"),
