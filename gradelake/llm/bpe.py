@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import base64
 import heapq
+import re
 import zlib
 from collections import defaultdict
 from collections.abc import Callable, Iterator
@@ -26,17 +27,18 @@ import pyarrow.compute as pc
 import regex
 import xxhash
 import zstandard
-from pyspark import TaskContext
+from pyspark import Broadcast, TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: A block of documents ends after so many characters or so many distinct words.
-BLOCK_CHARS = 32_000_000
-BLOCK_WORDS = 1_500_000
+from gradelake.llm.common import frugal, release
+
+#: A block of documents ends after so many characters.
+BLOCK_CHARS = 8_000_000
 #: Word numbers that travel in one row.
-PART_TOKENS = 500_000
+PART_TOKENS = 250_000
 #: Merged words a task remembers; beyond, it forgets them and merges again.
-REMEMBERED = 2_000_000
+REMEMBERED = 200_000
 #: The token-byte table is broadcast, so its size is checked.
 MAX_TOKENS = 2_000_000
 
@@ -49,9 +51,19 @@ LATER = (
 )
 _LATER = regex.compile("[" + "".join(f"{chr(int(a, 16))}-{chr(int(b, 16))}" for a, b in (x.split("-") for x in LATER.split())) + "]")
 
-_BLOCK = pa.schema([("block", pa.string()), ("bucket", pa.int32()), ("numbers", pa.binary()), ("sizes", pa.binary()), ("words", pa.binary()), ("doc_ids", pa.list_(pa.int64())), ("lengths", pa.list_(pa.int32()))])
-_MERGED = pa.schema([("block", pa.string()), ("bucket", pa.int32()), ("sizes", pa.binary()), ("ids", pa.binary())])
-_BLOCK_DDL = "block string, bucket int, numbers binary, sizes binary, words binary, doc_ids array<bigint>, lengths array<int>"
+_HEAD = [("block", pa.string()), ("bucket", pa.int32())]
+_KINDS = {
+    "words": pa.schema([*_HEAD, ("sizes", pa.binary()), ("words", pa.binary())]),
+    "docs": pa.schema([*_HEAD, ("numbers", pa.binary()), ("doc_ids", pa.list_(pa.int64())), ("lengths", pa.list_(pa.int32()))]),
+    "merged": pa.schema([*_HEAD, ("sizes", pa.binary()), ("ids", pa.binary())]),
+}
+_DDL = {
+    "words": "block string, bucket int, sizes binary, words binary",
+    "docs": "block string, bucket int, numbers binary, doc_ids array<bigint>, lengths array<int>",
+    "merged": "block string, bucket int, sizes binary, ids binary",
+}
+#: Runs of blanks; what counts as one here is at least what the pattern takes for one.
+_BLANKS = re.compile(r"\s\s")
 
 
 def pack(numbers: np.ndarray) -> bytes:
@@ -121,44 +133,70 @@ def _split(pattern: regex.Pattern, text: str, later: bool) -> list[str]:
     return pattern.findall(text)
 
 
-def number_words(pattern: str, buckets: int, block_chars: int = BLOCK_CHARS) -> Callable:
-    """Map tasks: blocks of documents as word numbers, and each block's distinct words by bucket of their hash."""
-
-    def block_rows(name: str, ids: list, texts: list[str], compiled: regex.Pattern, later: bool = False) -> Iterator[dict]:
-        number: dict[str, int] = defaultdict(count().__next__)
-        parts, lengths, start = [], [], 0
-        rows = []
-        for i, text in enumerate(texts):
-            parts.append(np.fromiter(map(number.__getitem__, _split(compiled, text, later)), np.uint32))
-            lengths.append(len(parts[-1]))
-            if i + 1 == len(texts) or sum(lengths) >= PART_TOKENS:
-                rows.append({"bucket": -1, "numbers": pack(np.concatenate(parts)), "sizes": None, "words": None, "doc_ids": ids[start : i + 1], "lengths": lengths})
-                parts, lengths, start = [], [], i + 1
-        if not later and _LATER.search("".join(number)):
-            yield from block_rows(name, ids, texts, compiled, True)
-            return
-        words = [w.encode() for w in number]
-        sizes = np.fromiter(map(len, words), np.uint32, len(words))
-        of = np.fromiter(map(zlib.crc32, words), np.uint32, len(words)) % buckets
+def number_words(texts: list[str], pattern: regex.Pattern, later: bool = False) -> tuple[list[str], list[np.ndarray]]:
+    """The distinct pre-tokens of a block, and each text as their numbers.
+
+    A single space between other signs always begins a pre-token, so texts are cut there first and each
+    distinct piece is split once.  Texts with other runs of blanks are one piece.
+    """
+    spaced: dict[str, int] = defaultdict(count().__next__)
+    other: dict[str, int] = defaultdict(count().__next__)
+    pieces = []
+    for text in texts:
+        first, *rest = text.split(" ") if not _BLANKS.search(text) else [text]
+        own = np.empty(len(rest) + 1, np.int64)
+        own[0] = 2 * other[first] + 1
+        own[1:] = np.fromiter(map(spaced.__getitem__, rest), np.int64, len(rest)) * 2
+        pieces.append(own)
+    number: dict[str, int] = defaultdict(count().__next__)
+    tables = []
+    for kind, mark in ((spaced, " "), (other, "")):
+        split = [[number[w] for w in _split(pattern, mark + piece, later)] for piece in kind]
+        ends = np.cumsum([0, *map(len, split)])
+        tables.append(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.fromiter((n for x in split for n in x), np.uint32, int(ends[-1])))))
+    if not later and _LATER.search("".join(number)):
+        return number_words(texts, pattern, True)
+    both = pa.concat_arrays(tables)
+    texts_as_numbers = [both.take(pa.array(own // 2 + (own % 2) * len(spaced))).flatten().to_numpy(zero_copy_only=False) for own in pieces]
+    return list(number), texts_as_numbers
+
+
+def block_rows(pattern: str, buckets: int, block_chars: int, kind: str) -> Callable:
+    """Map tasks: blocks of documents as word numbers (``docs``), or each block's distinct words by bucket of their hash (``words``).
+
+    The two kinds are made by two passes over the same rows, so that neither travels with the other.
+    """
+
+    def rows(ids: list, texts: list[str], compiled: regex.Pattern) -> Iterator[dict]:
+        words, numbers = number_words(texts, compiled)
+        encoded = [w.encode() for w in words]
+        of = np.fromiter(map(zlib.crc32, encoded), np.uint32, len(encoded)) % buckets
         order = np.argsort(of, kind="stable").astype(np.uint32)
-        for own in np.split(order, np.flatnonzero(np.diff(of[order])) + 1):
-            if len(own):
-                body = b"".join([words[i] for i in own])
-                rows.append({"bucket": int(of[own[0]]), "numbers": pack(own), "sizes": pack(sizes[own]), "words": zstandard.ZstdCompressor(level=3).compress(body), "doc_ids": None, "lengths": None})
-        for row in rows:
-            yield row | {"block": name}
-
-    def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        owns = [own for own in np.split(order, np.flatnonzero(np.diff(of[order])) + 1) if len(own)]
+        if kind == "words":
+            sizes = np.fromiter(map(len, encoded), np.uint32, len(encoded))
+            for own in owns:
+                yield {"bucket": int(of[own[0]]), "sizes": pack(sizes[own]), "words": zstandard.ZstdCompressor(level=3).compress(b"".join([encoded[i] for i in own]))}
+            return
+        for own in owns:
+            yield {"bucket": int(of[own[0]]), "numbers": pack(own)}
+        start = tokens = 0
+        for i, own in enumerate(numbers):
+            tokens += len(own)
+            if i + 1 == len(numbers) or tokens >= PART_TOKENS:
+                part = numbers[start : i + 1]
+                yield {"bucket": -1, "numbers": pack(np.concatenate(part)), "doc_ids": ids[start : i + 1], "lengths": list(map(len, part))}
+                start, tokens = i + 1, 0
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         compiled = regex.compile(pattern)
         ids, texts, chars, n = [], [], 0, 0
 
         def emit() -> Iterator[pa.RecordBatch]:
-            nonlocal n
-            # Both readers of a block must see the same one: its name holds what it is made of.
+            # Both passes must see the same block, so its name holds what it is made of.
             name = f"{TaskContext.get().partitionId()}-{n}-{xxhash.xxh64_hexdigest(repr((ids, chars)).encode())}"
-            n += 1
-            for row in block_rows(name, ids, texts, compiled):
-                yield pa.RecordBatch.from_pylist([row], schema=_BLOCK)
+            for row in rows(ids, texts, compiled):
+                yield pa.RecordBatch.from_pylist([row | {"block": name}], schema=_KINDS[kind])
 
         for batch in batches:
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
@@ -167,110 +205,127 @@ def number_words(pattern: str, buckets: int, block_chars: int = BLOCK_CHARS) ->
                 chars += len(texts[-1])
                 if chars >= block_chars:
                     yield from emit()
-                    ids, texts, chars = [], [], 0
+                    ids, texts, chars, n = [], [], 0, n + 1
         if ids:
             yield from emit()
 
-    return blocks
+    return frugal(run)
 
 
-def merge_words(shared_ranks) -> Callable:
-    """Tasks that hold all copies of a word: merge each distinct word once."""
+def merge_words(shared_ranks: Broadcast) -> Callable:
+    """Tasks that hold all copies of a word, in order of buckets: merge each distinct word once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ranks = shared_ranks.value
         known: dict[bytes, list[int]] = {}
+        bucket = None
         for batch in batches:
             for row in batch.to_pylist():
-                if row["bucket"] < 0:
-                    continue
+                if row["bucket"] != bucket or len(known) > REMEMBERED:
+                    known, bucket = {}, row["bucket"]
                 ends = np.cumsum(unpack(row["sizes"])).tolist()
                 body = zstandard.ZstdDecompressor().decompress(row["words"])
                 words = [body[a:b] for a, b in zip([0, *ends], ends, strict=False)]
-                if len(known) > REMEMBERED:
-                    known.clear()
                 for w in words:
                     if w not in known:
                         known[w] = merge(w, ranks)
                 found = [known[w] for w in words]
                 sizes = pack(np.fromiter(map(len, found), np.uint32, len(found)))
                 flat = pack(np.fromiter((i for ids in found for i in ids), np.uint32))
-                yield pa.RecordBatch.from_pylist([{"block": row["block"], "bucket": row["bucket"], "sizes": sizes, "ids": flat}], schema=_MERGED)
+                yield pa.RecordBatch.from_pylist([{"block": row["block"], "bucket": bucket, "sizes": sizes, "ids": flat}], schema=_KINDS["merged"])
+
+    return frugal(run)
+
+
+def token_bytes(ranks: dict[bytes, int]) -> pa.Array:
+    """The token-byte table: bytes at the place of their id."""
+    tokens = {rank: token for token, rank in ranks.items()}
+    return pa.array([tokens.get(i) for i in range(max(tokens) + 1)], pa.large_binary())
+
+
+def joined_bytes(ids: pa.ListArray, table: pa.Array) -> pa.Array:
+    """The bytes of each list of ids: all ids look up the token-byte table, and the bytes of a list lie side by side."""
+    flat = ids.flatten()
+    tokens = table.take(flat)
+    if tokens.null_count:
+        raise ValueError("an id is not in the token-byte table")
+    sizes = ids.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+    ends = np.frombuffer(tokens.buffers()[1], np.int64)[: len(tokens) + 1] if len(tokens) else np.zeros(1, np.int64)
+    of = np.ascontiguousarray(ends[np.concatenate([[0], np.cumsum(sizes)])])
+    whole = pa.Array.from_buffers(pa.large_binary(), len(ids), [None, pa.py_buffer(of), tokens.buffers()[2] or pa.py_buffer(b"")])
+    return pc.if_else(ids.is_valid(), whole, pa.scalar(None, pa.large_binary())).cast(pa.binary())
+
+
+def reassemble(shared_table: Broadcast | None) -> Callable:
+    """One block: look up the ids of each word number, document by document, in order of position; with a table also the bytes."""
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        rows = left.to_pylist()
+        numbers = {r["bucket"]: r["numbers"] for r in rows if r["bucket"] >= 0}
+        merged = {r["bucket"]: r for r in right.to_pylist()}
+        if numbers.keys() != merged.keys():
+            raise ValueError("a block of documents was not read the same twice")
+        per_word = pa.array([], pa.list_(pa.int32()))
+        if numbers:
+            own = np.concatenate([unpack(numbers[b]) for b in numbers])
+            sizes = np.concatenate([unpack(merged[b]["sizes"]) for b in numbers])
+            flat = np.concatenate([unpack(merged[b]["ids"]) for b in numbers])
+            ends = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
+            per_word = pa.ListArray.from_arrays(pa.array(ends), pa.array(flat.astype(np.int32))).take(pa.array(np.argsort(own)))
+        out = []
+        for r in (r for r in rows if r["bucket"] < 0):
+            listed = per_word.take(pa.array(unpack(r["numbers"])))
+            word_ends = np.concatenate([[0], np.cumsum(listed.value_lengths().to_numpy(zero_copy_only=False))])
+            ends = word_ends[np.concatenate([[0], np.cumsum(r["lengths"])])]
+            ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), listed.flatten())
+            columns = {"doc_id": pa.array(r["doc_ids"], pa.int64()), "ids": ids}
+            if shared_table is not None:
+                columns["decoded"] = joined_bytes(ids, shared_table.value)
+            out.append(pa.table(columns))
+        release()
+        return pa.concat_tables(out)
 
     return run
 
 
-def reassemble(left: pa.Table, right: pa.Table) -> pa.Table:
-    """One block: look up the ids of each word number, document by document, in order of position."""
-    rows = left.to_pylist()
-    numbers = {r["bucket"]: r["numbers"] for r in rows if r["bucket"] >= 0}
-    merged = {r["bucket"]: r for r in right.to_pylist()}
-    if numbers.keys() != merged.keys():
-        raise ValueError("a block of documents was not read the same twice")
-    table = pa.array([], pa.list_(pa.int32()))
-    if numbers:
-        own = np.concatenate([unpack(numbers[b]) for b in numbers])
-        sizes = np.concatenate([unpack(merged[b]["sizes"]) for b in numbers])
-        flat = np.concatenate([unpack(merged[b]["ids"]) for b in numbers])
-        offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
-        by_bucket = pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat.astype(np.int32)))
-        table = by_bucket.take(pa.array(np.argsort(own)))
-    out = []
-    for r in (r for r in rows if r["bucket"] < 0):
-        per_word = table.take(pa.array(unpack(r["numbers"])))
-        ends = np.concatenate([[0], np.cumsum(r["lengths"])])
-        word_ends = per_word.offsets.to_numpy() - per_word.offsets[0].as_py() if len(per_word) else np.zeros(1, np.int32)
-        ids = pa.ListArray.from_arrays(pa.array(word_ends[ends].astype(np.int32)), per_word.flatten())
-        out.append(pa.table({"doc_id": pa.array(r["doc_ids"], pa.int64()), "ids": ids}))
-    return pa.concat_tables(out) if out else pa.table({"doc_id": pa.array([], pa.int64()), "ids": pa.array([], pa.list_(pa.int32()))})
-
-
-def encode(docs: DataFrame, ranks_path: str, pattern: str, block_chars: int = BLOCK_CHARS) -> DataFrame:
-    """``doc_id, ids`` for every row of ``docs``, without special tokens.
+def encode(docs: DataFrame, ranks_path: str, pattern: str, block_chars: int = BLOCK_CHARS, decoded: bool = False) -> DataFrame:
+    """``doc_id, ids`` for every row of ``docs``, without special tokens; with ``decoded`` also the bytes the ids stand for.
 
     A null text is empty and has no ids.  Repeated rows and null ids stay rows of their own; other columns are
-    ignored; an empty table gives an empty result.
+    ignored; an empty table gives an empty result.  ``docs`` is read twice and must give the same rows.
     """
     spark = docs.sparkSession
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ranks = load_ranks(ranks_path)
+    ranks = checked_ranks(ranks_path)
+    table = spark.sparkContext.broadcast(token_bytes(ranks)) if decoded else None
+    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    words, blocks = (rows.mapInArrow(block_rows(pattern, buckets, block_chars, kind), _DDL[kind]) for kind in ("words", "docs"))
+    merged = words.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(merge_words(spark.sparkContext.broadcast(ranks)), _DDL["merged"])
+    return blocks.groupBy("block").cogroup(merged.groupBy("block")).applyInArrow(reassemble(table), "doc_id long, ids array<int>" + ", decoded binary" * decoded)
+
+
+def checked_ranks(path: str) -> dict[bytes, int]:
+    ranks = load_ranks(path)
     if len(ranks) > MAX_TOKENS:
         raise ValueError(f"a vocabulary of {len(ranks)} tokens is not broadcast")
-    shared = spark.sparkContext.broadcast(ranks)
-    blocks = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(number_words(pattern, buckets, block_chars), _BLOCK_DDL).repartition("block")
-    merged = blocks.repartition("bucket").mapInArrow(merge_words(shared), "block string, bucket int, sizes binary, ids binary")
-    return blocks.groupBy("block").cogroup(merged.groupBy("block")).applyInArrow(reassemble, "doc_id long, ids array<int>")
+    return ranks
 
 
 def decode(encoded: DataFrame, ranks_path: str) -> DataFrame:
-    """Add ``decoded``, the bytes of the ids: a map-side join with the token-byte table.  A null list decodes to null, an unknown id is an error."""
-    ranks = load_ranks(ranks_path)
-    if len(ranks) > MAX_TOKENS:
-        raise ValueError(f"a vocabulary of {len(ranks)} tokens is not broadcast")
-    shared = encoded.sparkSession.sparkContext.broadcast({rank: token for token, rank in ranks.items()})
+    """Add ``decoded``, the bytes of ``ids``: a map-side join with the token-byte table.  A null list decodes to null, an unknown id is an error."""
+    shared = encoded.sparkSession.sparkContext.broadcast(token_bytes(checked_ranks(ranks_path)))
 
-    def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = pa.array([shared.value.get(i) for i in range(max(shared.value) + 1)], pa.large_binary())
-        for batch in batches:
-            ids = batch.column("ids")
-            tokens = table.take(ids.flatten())
-            if tokens.null_count:
-                raise ValueError("an id is not in the token-byte table")
-            starts = tokens.offsets if hasattr(tokens, "offsets") else None
-            byte_ends = np.frombuffer(tokens.buffers()[1], np.int64)[tokens.offset : tokens.offset + len(tokens) + 1] if starts is None else starts.to_numpy()
-            of = ids.offsets.to_numpy() - ids.offsets[0].as_py()
-            body = tokens.buffers()[2]
-            ends = byte_ends[of].astype(np.int64)
-            whole = pa.Array.from_buffers(pa.large_binary(), len(ids), [None, pa.py_buffer(ends), body])
-            whole = pc.if_else(ids.is_valid(), whole, pa.scalar(None, pa.large_binary())).cast(pa.binary())
-            yield pa.RecordBatch.from_arrays([*batch.columns, whole], names=[*batch.schema.names, "decoded"])
-
-    return encoded.mapInArrow(look_up, f"{', '.join(f'`{n}` {t}' for n, t in encoded.dtypes)}, decoded binary")
+    @F.arrow_udf("binary")
+    def look_up(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for ids in batches:
+            yield joined_bytes(ids, shared.value)
+
+    return encoded.withColumn("decoded", look_up("ids"))
 
 
 def digests(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
     """Encode, decode, and reduce both to digests."""
-    both = decode(encode(docs, ranks_path, pattern), ranks_path)
+    both = encode(docs, ranks_path, pattern, decoded=True)
     listed = F.concat_ws(",", F.col("ids").cast("array<string>"))
     return both.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(listed.cast("binary"), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -45,3 +48,23 @@ def wide_hash(*cols: Column) -> list[Column]:
 def slices(spark: SparkSession, rows_per: int, n: int) -> int:
     """Partitions for ``n`` rows at ``rows_per`` each, and at least what the session uses for shuffles."""
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n // rows_per))
+
+
+def release() -> None:
+    """Hand freed memory back to the system: Spark keeps Python workers for later tasks, with all they hold."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
+def frugal(task: Callable[..., Iterator]) -> Callable[..., Iterator]:
+    """The task, with its memory handed back at the end."""
+
+    def run(*args) -> Iterator:
+        try:
+            yield from task(*args)
+        finally:
+            release()
+
+    return run
