@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from gradelake.functions.numeric import order_statistic
 from gradelake.operators import geometry
+from gradelake.pixels import kernels
 from gradelake.pixels import relational as R
 from gradelake.plans.views import SCENE_H, SCENE_W, view, with_views
 from gradelake.streaming import live
@@ -129,7 +130,29 @@ def frame_state(spark: SparkSession, sf: str) -> DataFrame:
     return live.replay(view(spark, sf, "v_frames")).withColumn("smooth", F.round("smooth", 6))
 
 
-QUERIES = {f.__name__: f for f in (luma_percentiles, box_blur, sobel, laplacian_var, gradient_threshold, first_edge_scan, border_width, edge_nicks, corner_whitening, surface_grid, print_lines, line_fit, quad_geometry, quad_agreement, quad_boxes, seed_quads, frame_accept, frame_misses, frame_state)}
+def _rasters(spark: SparkSession, sf: str) -> DataFrame:
+    """The scene's images as one row of bytes each; they are of a fixed small size."""
+    packed = F.array_sort(F.collect_list(F.struct("y", "x", F.col("r").cast("int").alias("r"), F.col("g").cast("int").alias("g"), F.col("b").cast("int").alias("b"))))
+    rows = view(spark, sf, "v_scene").groupBy("image").agg(packed.alias("p"))
+    byte = lambda v: F.substring(F.hex(v + 256), -2, 2)
+    text = F.array_join(F.transform("p", lambda p: F.concat(byte(p["r"]), byte(p["g"]), byte(p["b"]))), "")
+    return rows.select("image", F.lit(W).alias("width"), F.lit(H).alias("height"), F.unhex(text).alias("data"))
+
+
+def detect_scene(spark: SparkSession, sf: str) -> DataFrame:
+    return kernels.detected(_rasters(spark, sf))
+
+
+def rectify(spark: SparkSession, sf: str) -> DataFrame:
+    """The card cut out along its true outline, as channel means of the result."""
+    quads = _rasters(spark, sf).withColumns({"tl_x": F.lit(20.0), "tl_y": F.lit(15.0), "tr_x": F.lit(75.0), "tr_y": F.lit(15.0), "br_x": F.lit(75.0), "br_y": F.lit(92.0), "bl_x": F.lit(20.0), "bl_y": F.lit(92.0)})
+    flat = kernels.rectified(quads, 56, 78)
+    pixel = F.posexplode(F.split(F.regexp_replace(F.hex("data"), "(.{6})", "$1,"), ","))
+    rows = flat.select("image", pixel.alias("i", "rgb")).where("rgb <> ''")
+    return rows.groupBy("image").agg(F.count("*").alias("n"), *[F.sum(F.conv(F.substring("rgb", 1 + 2 * k, 2), 16, 10).cast("bigint")).alias(c) for k, c in enumerate("rgb")])
+
+
+QUERIES = {f.__name__: f for f in (detect_scene, rectify, luma_percentiles, box_blur, sobel, laplacian_var, gradient_threshold, first_edge_scan, border_width, edge_nicks, corner_whitening, surface_grid, print_lines, line_fit, quad_geometry, quad_agreement, quad_boxes, seed_quads, frame_accept, frame_misses, frame_state)}
 
 _G = ", g AS (SELECT image, y, x, r * 0.299e0 + g * 0.587e0 + b * 0.114e0 AS v FROM {v})"
 
@@ -228,8 +251,8 @@ def _quad_sql() -> str:
     a = f"a AS (SELECT *, ({top} + {bottom}) / 2e0 AS width, ({left} + {right}) / 2e0 AS height, least({ratio(top, bottom)}, {ratio(left, right)}) AS opposite, least({top}, {right}, {bottom}, {left}) AS min_side, {area} AS area, greatest({', '.join(map(ang, c))}) AS angle_off, least({turns}) > 0 OR greatest({turns}) < 0 AS convex FROM v_quad)"
     inside = " AND ".join(f"{n}_x BETWEEN -0.05e0 * frame_w AND 1.05e0 * frame_w AND {n}_y BETWEEN -0.05e0 * frame_h AND 1.05e0 * frame_h" for n in c)
     b = f"b AS (SELECT *, width / height AS aspect, width * height / (frame_w * frame_h) AS coverage, width / height / (63.5e0 / 88.9e0) AS shape FROM a)"
-    d = f"d AS (SELECT *, {inside} AND convex AND coverage BETWEEN 0.16e0 AND 0.97e0 AND shape BETWEEN 0.82e0 AND 1.22e0 AND opposite > 0.7e0 AND angle_off < 22 AND min_side > 0.1e0 * frame_w AND blown < 0.3e0 AS plausible FROM b)"
-    conf = "CASE WHEN plausible THEN least(1e0, (0.62e0 + 0.25e0 * least(1e0, density) + 0.1e0 * (1e0 - angle_off / 22e0)) * (0.35e0 + 0.65e0 * (1e0 - blown / 0.3e0))) ELSE 0.2e0 END"
+    d = f"d AS (SELECT *, {inside} AND convex AND coverage > 0.16e0 AND coverage < 0.97e0 AND shape > 0.82e0 AND shape < 1.22e0 AND opposite > 0.7e0 AND angle_off < 22 AND min_side > 0.1e0 * frame_w AND blown < 0.3e0 AS plausible FROM b)"
+    conf = "CASE WHEN plausible THEN least(1e0, (0.62e0 + 0.25e0 * least(1e0, density) + 0.1e0 * (1e0 - angle_off / 22e0)) * (0.35e0 + 0.65e0 * (1e0 - least(1e0, blown / 0.4e0)))) ELSE 0.2e0 END"
     return with_views("v_quad", body="").rstrip() + f", {a}, {b}, {d} SELECT id, convex, plausible, " + ", ".join(f"round({x}, 6) AS {x}" for x in ("width", "height", "aspect", "opposite", "min_side", "area", "angle_off", "coverage")) + f", round({conf}, 6) AS confidence FROM d"
 
 
@@ -239,6 +262,7 @@ _agreement = "1e0 - (" + " + ".join(f"sqrt(pow({n}_x * 1.02e0 + 4e0 - {n}_x, 2)
 _xs, _ys = (", ".join(f"{n}_{a}" for n in geometry.CORNERS) for a in "xy")
 
 SQL = {
+    "rectify": with_views("v_scene", body="SELECT image, count(*) AS n, CAST(sum(r) AS BIGINT) AS r, CAST(sum(g) AS BIGINT) AS g, CAST(sum(b) AS BIGINT) AS b FROM v_scene WHERE x >= 20 AND x < 76 AND y >= 15 AND y < 93 GROUP BY image"),
     "luma_percentiles": _scene(_PERCENTILES.lstrip(", ")).replace(") h AS", "), h AS"),
     "box_blur": _scene(f", {_blur('g', 'b1', W, H)} " + _SUMMARY.format(t="b1")),
     "sobel": _scene(f", {_EDGE} " + _SUMMARY.format(t="e")),

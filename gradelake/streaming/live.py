@@ -65,8 +65,11 @@ def replay(frames: DataFrame) -> DataFrame:
     return frames.groupBy("session").applyInPandas(lambda key, pdf: _run(key[0], Tracker(), pdf), OUTPUT)
 
 
-def track(frames: DataFrame) -> DataFrame:
-    """The same on a stream of frames; the state of a session is five values and is dropped after a minute without frames."""
+def track(frames: DataFrame, idle_ms: int | None = 60_000) -> DataFrame:
+    """The same on a stream of frames; the state of a session is five values and is dropped after ``idle_ms`` without frames.
+
+    Without ``idle_ms`` nothing times out, so a query over a finished input ends.
+    """
 
     def update(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
@@ -79,9 +82,11 @@ def track(frames: DataFrame) -> DataFrame:
         frames = pd.concat(list(batches))
         yield _run(key[0], tracker, frames)
         state.update((tracker.last_t, tracker.target, tracker.smooth, tracker.lost, tracker.state))
-        state.setTimeoutDuration(60_000)
+        if idle_ms is not None:
+            state.setTimeoutDuration(idle_ms)
 
-    return frames.groupBy("session").applyInPandasWithState(update, OUTPUT, STATE, "append", GroupStateTimeout.ProcessingTimeTimeout)
+    timeout = GroupStateTimeout.NoTimeout if idle_ms is None else GroupStateTimeout.ProcessingTimeTimeout
+    return frames.groupBy("session").applyInPandasWithState(update, OUTPUT, STATE, "append", timeout)
 
 
 def accepted(frames: DataFrame) -> DataFrame:
