@@ -42,17 +42,21 @@ class DigestIndex:
     def digest(self, norm: Column) -> Column:
         return F.unhex(F.substring(F.sha2(norm.cast("binary"), 256), 1, 2 * self.digest_bytes))
 
+    def whole(self, norm: Column) -> Column:
+        """The full digest where the key is a part of it, else null."""
+        return F.unhex(F.sha2(norm.cast("binary"), 256)) if self.digest_bytes < 32 else F.lit(None).cast("binary")
+
     def _write(self, entries: DataFrame) -> str:
         path = f"{self.path}/{uuid.uuid4().hex}"
         entries.sortWithinPartitions("digest").write.option("parquet.bloom.filter.enabled#digest", "true").option("parquet.bloom.filter.expected.ndv#digest", "100000").parquet(path)
         return path
 
     def _read(self, *paths: str) -> DataFrame:
-        return self.spark.read.schema("digest binary, doc_id long, n_points int, n long").parquet(*paths)
+        return self.spark.read.schema("digest binary, doc_id long, n_points int, n long, whole binary").parquet(*paths)
 
     def flush(self, docs: DataFrame) -> DataFrame:
         """Add documents: each task writes its own sorted run, without a shuffle.  Returns the entries as written."""
-        entries = docs.select(self.digest(normalised()).alias("digest"), "doc_id", F.coalesce(F.length("text"), F.lit(0)).alias("n_points"), F.lit(1).cast("long").alias("n"))
+        entries = docs.select(self.digest(normalised()).alias("digest"), "doc_id", F.coalesce(F.length("text"), F.lit(0)).alias("n_points"), F.lit(1).cast("long").alias("n"), self.whole(normalised()).alias("whole"))
         self.runs.append(self._write(entries))
         flushed = self._read(self.runs[-1])
         if len(self.runs) > MAX_RUNS:
@@ -66,7 +70,7 @@ class DigestIndex:
         """
         best = F.min(F.struct((-F.col("n_points")).alias("order"), "doc_id")).alias("best")
         merged = self._read(*self.runs).groupBy("digest").agg(best, F.sum("n").alias("n"))
-        self.runs = [self._write(merged.select("digest", "best.doc_id", (-F.col("best.order")).alias("n_points"), "n"))]
+        self.runs = [self._write(merged.select("digest", "best.doc_id", (-F.col("best.order")).alias("n_points"), "n", F.lit(None).cast("binary").alias("whole")))]
         return self._read(*self.runs)
 
 
@@ -98,9 +102,7 @@ def exact_dedup(docs: DataFrame, digest_bytes: int = 32) -> DataFrame:
         best = clash.groupBy("norm").agg(F.min(F.struct((-F.col("n_points")).alias("order"), "doc_id")).alias("best"), F.count("*").alias("group_size"))
         clash = clash.drop("keep_id", "group_size").join(best, "norm").withColumn("keep_id", F.col("best.doc_id"))
         good = good.select("doc_id", "keep_id", "group_size", "text_sha256").unionByName(clash.select("doc_id", "keep_id", "group_size", "text_sha256"))
-    alone = entries.join(small(copied.select("digest")), "digest", "left_anti").select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lower(F.hex("digest")).alias("text_sha256"))
-    if digest_bytes < 32:  # the shortened digest is not the text's hash
-        alone = alone.drop("text_sha256").join(docs.select("doc_id", F.sha2(normalised().cast("binary"), 256).alias("text_sha256")), "doc_id")
+    alone = entries.join(small(copied.select("digest")), "digest", "left_anti").select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lower(F.hex(F.coalesce("whole", "digest"))).alias("text_sha256"))
     rows = good.select("doc_id", "keep_id", "group_size", "text_sha256").unionByName(alone)
     return rows.select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")
 
