@@ -34,22 +34,11 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def remove(spark: SparkSession, path: str) -> None:
-    """Delete a folder this library wrote, through Spark's own file system layer."""
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
-    hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
-
-
 def wide_hash(*cols: Column) -> list[Column]:
     """Two 64-bit hashes with different seeds; together 128 bits, so that equality of hashes is equality of values."""
     return [F.xxhash64(F.lit(11), *cols), F.xxhash64(F.lit(10_007), *cols)]
 
 
-def slices(spark: SparkSession, rows_per: int, n: int) -> int:
-    """Partitions for ``n`` rows at ``rows_per`` each, and at least what the session uses for shuffles."""
-    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n // rows_per))
-
-
 def release() -> None:
     """Hand freed memory back to the system: Spark keeps Python workers for later tasks, with all they hold."""
     pa.default_memory_pool().release_unused()

@@ -18,6 +18,8 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gradelake.llm.common import release
+
 #: Edits allowed, as a share of an item's characters.
 ERROR_RATE = 0.05
 #: A piece has at least so many characters, which bounds the edits of short items; items shorter than one piece are no evidence and are left out.
@@ -139,7 +141,8 @@ def _hits(shared: Broadcast, rate: float, min_piece: int) -> Callable[[Column],
         find = matcher(shared.value, rate, min_piece)
         kind = pa.list_(pa.struct([("item_id", pa.int64()), ("distance", pa.int32()), ("end", pa.int32())]))
         for texts in batches:
-            yield pa.array([find(t) for t in texts.to_pylist()], kind)
+            yield pa.array([find(t.as_py()) for t in texts], kind)
+        release()
 
     return hits
 

@@ -21,9 +21,10 @@ import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Training rows per language at most, those with the least hash of the text; every label keeps all its rows below it.
+from gradelake.llm.common import release
+
+#: Training rows per language, about: those with the least hashes of id and text; a language with fewer rows keeps all.
 SAMPLE_PER_LANGUAGE = 1_500
-#: Training characters of one text that count: all of them.
 BUCKETS = 1 << 16
 ORDERS = (1, 2, 3, 4)
 #: Log-probability that a change of language costs.
@@ -33,7 +34,9 @@ SMOOTH = 0.5
 #: Languages a model may have; the table is broadcast, so its size is bounded by BUCKETS times this.
 MAX_LANGUAGES = 200
 #: Distinct words a task remembers.
-REMEMBERED = 1_000_000
+REMEMBERED = 200_000
+#: Characters whose words are labelled at once, or one text.
+CHUNK_CHARS = 4_000_000
 
 #: First code points of runs of one script (Unicode blocks), in order; 0 is any other sign.
 SCRIPTS = [(0x41, 1), (0x250, 1), (0x370, 2), (0x400, 3), (0x530, 4), (0x590, 5), (0x600, 6), (0x700, 0), (0x900, 7), (0x980, 8), (0xE00, 9), (0xE80, 0), (0x10A0, 10), (0x1100, 11), (0x1200, 0), (0x1E00, 1), (0x1F00, 2), (0x2000, 0), (0x3040, 12), (0x30A0, 13), (0x3100, 0), (0x3400, 14), (0xA000, 0), (0xAC00, 11), (0xD7B0, 0), (0xF900, 14), (0xFB00, 0), (0x20000, 14), (0x30000, 0)]
@@ -104,11 +107,12 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for lang, own in sums.items():
         at = np.flatnonzero(own)
         yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at)), pa.array(at.astype(np.int32)), pa.array(own[at])], names=["lang", "bucket", "n"])
+    release()
 
 
 def train(docs: DataFrame, sample_per_language: int = SAMPLE_PER_LANGUAGE) -> Model:
     """Fit on ``text, lang`` of the given rows.  Rows with a null text or lang are left out; no rows give a model without languages."""
-    rows = docs.where("text is not null and lang is not null").select("lang", "text", F.xxhash64("text").alias("h"))
+    rows = docs.where("text is not null and lang is not null").select("lang", "text", F.xxhash64("doc_id", "text").alias("h"))
     totals = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count("*").alias("n")).limit(MAX_LANGUAGES + 1).toLocalIterator()}
     if len(totals) > MAX_LANGUAGES:
         raise ValueError("more languages than a model holds")
@@ -213,16 +217,22 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
         known: list[np.ndarray] = []
         for texts in batches:
             rows: list[dict] = []
-            texts = texts.to_pylist()
-            for i in range(0, len(texts), 2_000):
-                part = texts[i : i + 2_000]
+            part: list[str | None] = []
+            chars = 0
+            for i, text in enumerate(texts):
+                part.append(text.as_py())
+                chars += len(part[-1] or "")
+                if chars < CHUNK_CHARS and i + 1 < len(texts):
+                    continue
                 if not model.languages:
                     rows += [{"lang_pred": "und", "score": 0.0, "n_spans": 0}] * len(part)
-                    continue
-                if len(number) > REMEMBERED:
-                    number, known = defaultdict(count().__next__), []
-                rows += _predict(part, model, find, number, known)
+                else:
+                    if len(number) > REMEMBERED:
+                        number, known = defaultdict(count().__next__), []
+                    rows += _predict(part, model, find, number, known)
+                part, chars = [], 0
             yield pa.array(rows, kind)
+        release()
 
     kept = docs.drop("lang_pred", "score", "n_spans")
     return kept.withColumn("said", label("text")).select(*kept.columns, "said.lang_pred", "said.score", "said.n_spans")

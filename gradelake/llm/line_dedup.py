@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gradelake.llm.common import stored, wide_hash
+from gradelake.llm.common import frugal, stored, wide_hash
 
 #: Shorter lines, after trimming, are never removed.
 MIN_CHARS = 20
@@ -119,7 +119,7 @@ def _batch(rows: list[tuple], names: list[str]) -> pa.RecordBatch:
 
 
 def _run(df: DataFrame, task: Callable, names: str) -> DataFrame:
-    return df.mapInArrow(task, ", ".join(f"{n} bigint" for n in names.split()))
+    return df.mapInArrow(frugal(task), ", ".join(f"{n} bigint" for n in names.split()))
 
 
 def line_table(docs: DataFrame) -> DataFrame:

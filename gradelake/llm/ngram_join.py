@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gradelake.llm.common import stored
+from gradelake.llm.common import frugal, stored
 from gradelake.llm.components import components
 
 WORDS = 5
@@ -34,7 +34,7 @@ HOT = 64
 BLOCK = 256
 #: Representatives whose sets are wanted are broadcast up to this number, else joined by shuffle.
 BROADCAST_ROWS = 1_000_000
-_KNOWN_WORDS = 1_000_000
+_KNOWN_WORDS = 300_000
 
 
 def band_count(threshold: float = THRESHOLD, recall: float = RECALL, rows: int = ROWS) -> int:
@@ -98,7 +98,7 @@ def _signatures(bands: int, rows: int, width: int):
             s1, s2, n, keys = zip(*out, strict=True) if out else [()] * 4
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(s1, pa.int64()), pa.array(s2, pa.int64()), pa.array(n, pa.int32()), pa.array(keys, pa.list_(pa.int64()))], names=["doc_id", "s1", "s2", "n", "keys"])
 
-    return run
+    return frugal(run)
 
 
 def _sets(width: int):
@@ -108,7 +108,7 @@ def _sets(width: int):
             own = [shingles(t, hashes, width).view(np.int64) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(own, pa.list_(pa.int64()))], names=["rep", "own"])
 
-    return run
+    return frugal(run)
 
 
 def _intersections(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:

@@ -19,6 +19,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gradelake.llm.common import release
+
 #: Labelled rows to fit on, about: those with the least hashes of their id.
 SAMPLE = 6_000
 BUCKETS = 1 << 16
@@ -29,7 +31,7 @@ BATCH = 128
 DECAY = 1e-5
 #: Score from which a text is predicted to be good.
 CUT = 0.3
-_REMEMBERED = 1_000_000
+_REMEMBERED = 300_000
 
 STATISTICS = ("words", "chars", "word length", "upper", "digits", "signs", "words ending in a sign", "words without letters", "distinct words", "words like the last", "most frequent word", "lines", "repeated lines", "line length", "other scripts", "metadata chars", "metadata missing")
 _FLAGS = {"Lu": 1, "Lt": 1, "Nd": 2, "Nl": 2, "No": 2, "Zs": 4}
@@ -178,6 +180,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
         for texts, n_chars in batches:
             raw = [raw_score(*features(t, n, bucket), model) for t, n in zip(texts.to_pylist(), n_chars.to_pylist(), strict=True)]
             yield pa.array(1 / (1 + np.exp(-np.clip(np.array(raw), -30, 30))), pa.float64())
+        release()
 
     kept = docs.drop("score", "predicted")
     return kept.withColumn("score", rate("text", _n_chars(docs))).withColumn("predicted", (F.col("score") >= CUT).cast("int"))
