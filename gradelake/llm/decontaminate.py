@@ -144,7 +144,7 @@ def _hits(shared: Broadcast, rate: float, min_piece: int) -> Callable[[Column],
             yield pa.array([find(t.as_py()) for t in texts], kind)
         release()
 
-    return hits
+    return hits.asNondeterministic()  # else a filter on the hits runs it twice
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, rate: float = ERROR_RATE, min_piece: int = MIN_PIECE, block_chars: int = BLOCK_CHARS) -> DataFrame:

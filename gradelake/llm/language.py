@@ -234,6 +234,7 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
             yield pa.array(rows, kind)
         release()
 
+    label = label.asNondeterministic()  # else a filter on the label runs it twice
     kept = docs.drop("lang_pred", "score", "n_spans")
     return kept.withColumn("said", label("text")).select(*kept.columns, "said.lang_pred", "said.score", "said.n_spans")
 
