@@ -90,7 +90,8 @@ def exact_dedup(docs: DataFrame, digest_bytes: int = 32) -> DataFrame:
 
     # Texts are read again only for digests with copies; AQE splits the partitions of a digest that many share.
     hits = docs.select("doc_id", F.coalesce(F.length("text"), F.lit(0)).alias("n_points"), normalised().alias("norm")).withColumn("digest", index.digest(F.col("norm"))).join(small(copied), "digest")
-    keepers = hits.where("doc_id <=> keep_id").groupBy("digest").agg(F.first("norm").alias("keep_norm"))
+    # Stored, since AQE splits no join that shares its stage with an aggregate.
+    keepers = stored(hits.where("doc_id <=> keep_id").groupBy("digest").agg(F.first("norm").alias("keep_norm")), "exact-keepers")
     same = F.col("norm") == F.col("keep_norm")
     checked = hits.join(keepers, "digest").select("digest", "doc_id", "keep_id", "group_size", "n_points", same.alias("same"), F.when(~same, F.col("norm")).alias("norm"), F.sha2(F.col("norm").cast("binary"), 256).alias("text_sha256"))
     checked = stored(checked, "exact-hits")
