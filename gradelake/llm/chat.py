@@ -51,11 +51,15 @@ def collapse(turns: DataFrame) -> DataFrame:
 def _decide(rolled: DataFrame) -> DataFrame:
     key = ["pos", "p1", "p2"]
     ends = rolled.where("pos = n_turns").select("conv_id", "n_turns", *key)
+    # Equal conversations are one row here, so a third of all being equal makes no large group.
+    distinct = ends.groupBy(*key).agg(F.min("conv_id").alias("first_id"))
     proper = rolled.where("pos < n_turns").select(*key).distinct()
-    maximal = ends.join(proper, key, "left_anti").groupBy(*key).agg(F.min("conv_id").alias("conv_id")).select("conv_id", F.lit(True).alias("kept"))
+    maximal = distinct.join(proper, key, "left_anti").select(*key, F.lit(True).alias("maximal"))
     longest = rolled.groupBy(*key).agg(F.min(F.struct((-F.col("n_turns")).alias("order"), "conv_id")).alias("best"))
-    owners = ends.join(longest, key).select("conv_id", "n_turns", F.col("best.conv_id").alias("keep_id"))
-    return owners.join(maximal, "conv_id", "left").withColumn("kept", F.coalesce("kept", F.lit(False)))
+    ruled = distinct.join(longest, key).join(maximal, key, "left")
+    # Stored, since AQE splits no join that shares its stage with an aggregate.
+    ruled = stored(ruled.select(*key, F.col("best.conv_id").alias("keep_id"), F.when(F.col("maximal"), F.col("first_id")).alias("kept_id")), "chat-rulings")
+    return ends.join(ruled, key).select("conv_id", "n_turns", "keep_id", F.col("conv_id").eqNullSafe(F.col("kept_id")).alias("kept"))
 
 
 def format_chats(turns: DataFrame) -> DataFrame:
