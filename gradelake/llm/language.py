@@ -37,6 +37,8 @@ MAX_LANGUAGES = 200
 REMEMBERED = 200_000
 #: Characters whose words are labelled at once, or one text.
 CHUNK_CHARS = 4_000_000
+#: Words that are scored at once.
+SCORED_WORDS = 16_384
 
 #: First code points of runs of one script (Unicode blocks), in order; 0 is any other sign.
 SCRIPTS = [(0x41, 1), (0x250, 1), (0x370, 2), (0x400, 3), (0x530, 4), (0x590, 5), (0x600, 6), (0x700, 0), (0x900, 7), (0x980, 8), (0xE00, 9), (0xE80, 0), (0x10A0, 10), (0x1100, 11), (0x1200, 0), (0x1E00, 1), (0x1F00, 2), (0x2000, 0), (0x3040, 12), (0x30A0, 13), (0x3100, 0), (0x3400, 14), (0xA000, 0), (0xAC00, 11), (0xD7B0, 0), (0xF900, 14), (0xFB00, 0), (0x20000, 14), (0x30000, 0)]
@@ -178,25 +180,29 @@ def viterbi(scores: np.ndarray, lengths: np.ndarray, penalty: float = SWITCH) ->
 
 
 def _predict(texts: list[str | None], model: Model, find: regex.Pattern, number: dict[str, int], known: list[np.ndarray]) -> list[dict]:
-    found = [find.findall(t) if t else [] for t in texts]
-    lengths = np.fromiter(map(len, found), np.int64, len(found))
     seen = sum(map(len, known))
-    ids = np.fromiter((number[w] for words in found for w in words), np.int64, int(lengths.sum()))
+    own: list[np.ndarray] = []
+    sizes: list[np.ndarray] = []
+    for text in texts:
+        words = find.findall(text) if text else []
+        own.append(np.fromiter(map(number.__getitem__, words), np.int32, len(words)))
+        sizes.append(np.fromiter(map(len, words), np.int32, len(words)))
+    lengths = np.fromiter(map(len, own), np.int64, len(own))
+    none = np.zeros(0, np.int32)
+    ids, letters = np.concatenate([none, *own]), np.concatenate([none, *sizes])
     fresh = list(number)[seen:]
-    if fresh:
-        known.append(score_words(fresh, model))
+    known += [score_words(fresh[i : i + SCORED_WORDS], model) for i in range(0, len(fresh), SCORED_WORDS)]
     table = np.concatenate(known) if known else np.zeros((0, len(model.languages)), np.float32)
     known[:] = [table]
     scores = table[ids]
     labels = viterbi(scores, lengths)
-    letters = np.fromiter((len(w) for words in found for w in words), np.int64, len(ids))
-    doc = np.repeat(np.arange(len(found)), lengths)
+    doc = np.repeat(np.arange(len(texts)), lengths)
     n = len(model.languages)
-    share = np.bincount(doc * n + labels, weights=letters, minlength=len(found) * n).reshape(len(found), n)
+    share = np.bincount(doc * n + labels, weights=letters, minlength=len(texts) * n).reshape(len(texts), n)
     total = share.sum(1)
     change = np.ones(len(ids), bool)
     change[1:] = (doc[1:] != doc[:-1]) | (labels[1:] != labels[:-1])
-    spans = np.bincount(doc[change], minlength=len(found))
+    spans = np.bincount(doc[change], minlength=len(texts))
     top = share.argmax(1)
     return [{"lang_pred": model.languages[k] if t else "und", "score": s / t if t else 0.0, "n_spans": int(c)} for k, s, t, c in zip(top, share.max(1), total, spans, strict=True)]
 
