@@ -17,7 +17,7 @@ from gradelake.llm.bpe import digests
 from gradelake.llm.common import stored
 from gradelake.llm.decontaminate import drop_leaks
 from gradelake.llm.language import identify, remainder, train
-from gradelake.llm.line_dedup import dedup_lines
+from gradelake.llm.line_dedup import MIN_CHARS, dedup_lines
 from gradelake.llm.ngram_join import drop_near_duplicates
 
 TOKENIZER = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -32,7 +32,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without repeated lines; ``n_chars`` follows the text."""
-    return dedup_lines(docs).withColumn("n_chars", F.length("text").cast("long"))
+    return dedup_lines(docs, MIN_CHARS).withColumn("n_chars", F.length("text").cast("long"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -21,8 +21,8 @@ from pyspark.sql import functions as F
 
 from gradelake.llm.common import frugal, stored, wide_hash
 
-#: Shorter lines, after trimming, are never removed.
-MIN_CHARS = 20
+#: Characters of a line, after trimming, from which on the queries compare it: all but blank lines.
+MIN_CHARS = 1
 #: Characters of a piece.
 PIECE = 24
 #: Lines that share a half with another are broadcast up to this number (16 bytes each), else joined by shuffle.
@@ -32,11 +32,11 @@ _DOC = ("doc_id", "version")
 _LINE = ("h1", "h2")
 
 
-def lines_of(docs: DataFrame) -> DataFrame:
-    """``doc_id, version, line_no, line, n_chars`` for the lines that can be removed; a line is trimmed of blanks."""
+def lines_of(docs: DataFrame, min_chars: int) -> DataFrame:
+    """``doc_id, version, line_no, line, n_chars`` for the lines that can be removed, those of at least ``min_chars``; a line is trimmed of blanks."""
     split = F.posexplode(F.split(F.coalesce(F.col("text"), F.lit("")), "\n"))
     lines = docs.select("doc_id", version(), split.alias("line_no", "line"))
-    return lines.withColumn("line", F.btrim("line", F.lit(" \t\r"))).withColumn("n_chars", F.length("line")).where(F.col("n_chars") >= MIN_CHARS)
+    return lines.withColumn("line", F.btrim("line", F.lit(" \t\r"))).withColumn("n_chars", F.length("line")).where(F.col("n_chars") >= min_chars)
 
 
 def version(text: str = "text") -> Column:
@@ -122,23 +122,23 @@ def _run(df: DataFrame, task: Callable, names: str) -> DataFrame:
     return df.mapInArrow(frugal(task), ", ".join(f"{n} bigint" for n in names.split()))
 
 
-def line_table(docs: DataFrame) -> DataFrame:
+def line_table(docs: DataFrame, min_chars: int) -> DataFrame:
     """One row per distinct line: its earliest place, its number of rows, and the keys of its halves."""
     h1, h2 = wide_hash(F.col("line"))
     keys = [k.alias(f"k{i}") for i, k in enumerate(half_keys())]
-    lines = lines_of(docs).select(*_DOC, "line_no", h1.alias("h1"), h2.alias("h2"), *keys)
+    lines = lines_of(docs, min_chars).select(*_DOC, "line_no", h1.alias("h1"), h2.alias("h2"), *keys)
     first = F.min(F.struct(*_DOC, "line_no")).alias("first")
     return lines.groupBy(*_LINE).agg(first, F.count("*").alias("n"), *[F.min(f"k{i}").alias(f"k{i}") for i in range(len(keys))])
 
 
-def near_lines(docs: DataFrame, distinct: DataFrame) -> DataFrame:
+def near_lines(docs: DataFrame, distinct: DataFrame, min_chars: int) -> DataFrame:
     """``h1, h2, keep``: the lines within one edit of an earlier one, and the first place of that one."""
     halves = distinct.select(*_LINE, F.explode(F.array_distinct(F.array("k0", "k1", "k2", "k3"))).alias("key"))
     common = halves.groupBy("key").count().where("count > 1").select("key")
     candidates = stored(halves.join(common, "key").select(*_LINE).distinct(), "line-candidates")
     small = F.broadcast if candidates.count() <= BROADCAST_ROWS else lambda df: df
     h1, h2 = wide_hash(F.col("line"))
-    texts = lines_of(docs).withColumns({"h1": h1, "h2": h2}).join(small(candidates), list(_LINE))
+    texts = lines_of(docs, min_chars).withColumns({"h1": h1, "h2": h2}).join(small(candidates), list(_LINE))
     texts = stored(texts.groupBy(*_LINE).agg(F.min(F.struct(*_DOC, "line_no", "line")).alias("first")).select(*_LINE, "first.*"), "line-texts")
 
     pieces = _run(texts.select(*_LINE, "line"), piece_rows, "key h1 h2 m low")
@@ -157,14 +157,14 @@ def near_lines(docs: DataFrame, distinct: DataFrame) -> DataFrame:
     return said.where(F.levenshtein("line", "other", 1) >= 0).groupBy(*_LINE).agg(F.min("keep").alias("keep"))
 
 
-def removed_lines(docs: DataFrame) -> DataFrame:
+def removed_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     """``doc_id, version, removed``: for documents that lose lines, an array of ``line_no, keep_doc_id, keep_line_no, near``."""
-    distinct = stored(line_table(docs), "line-table")
-    near = near_lines(docs, distinct)
+    distinct = stored(line_table(docs, min_chars), "line-table")
+    near = near_lines(docs, distinct, min_chars)
     rulings = distinct.join(near, list(_LINE), "left").where("n > 1 or keep is not null").select(*_LINE, "first", "keep")
     rulings = stored(rulings, "line-rulings")
     h1, h2 = wide_hash(F.col("line"))
-    places = lines_of(docs).select(*_DOC, "line_no", h1.alias("h1"), h2.alias("h2"))
+    places = lines_of(docs, min_chars).select(*_DOC, "line_no", h1.alias("h1"), h2.alias("h2"))
     # A line that very many documents hold is one ruling: AQE splits the partition of its places.
     gone = places.join(rulings, list(_LINE)).where(F.col("keep").isNotNull() | (F.struct(*_DOC, "line_no") != F.col("first")))
     kept = F.coalesce("keep", "first")
@@ -172,25 +172,25 @@ def removed_lines(docs: DataFrame) -> DataFrame:
     return gone.groupBy(*_DOC).agg(F.array_sort(F.collect_list(ruling)).alias("removed"))
 
 
-def with_removed(docs: DataFrame) -> DataFrame:
+def with_removed(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     """``docs`` with a column ``removed``, empty where no line goes."""
-    removed = removed_lines(docs).select(F.col("doc_id").alias("_id"), F.col("version").alias("_version"), F.col("removed").alias("_removed"))
+    removed = removed_lines(docs, min_chars).select(F.col("doc_id").alias("_id"), F.col("version").alias("_version"), F.col("removed").alias("_removed"))
     kept = docs.drop("removed")
     out = kept.join(removed, kept.doc_id.eqNullSafe(F.col("_id")) & (F.xxhash64(kept.text) == F.col("_version")), "left")
     none = F.array().cast(removed.schema["_removed"].dataType)
     return out.select(*kept.columns, F.coalesce("_removed", none).alias("removed"))
 
 
-def dedup_lines(docs: DataFrame) -> DataFrame:
+def dedup_lines(docs: DataFrame, min_chars: int = 20) -> DataFrame:
     """``docs`` without the lines that repeat an earlier line, or are within one edit of one.
 
     Lines are compared without blanks at their ends.  Of equal lines the one with the smallest document id (null
     first), then the smallest text hash among rows of one id, then the smallest line number stays; a near line
-    goes if an earlier one is within one edit, whether that one stays or not.  Lines of under ``MIN_CHARS``
-    characters stay.  Every row stays, also one that loses all its lines (its text is then empty); a null text
+    goes if an earlier one is within one edit, whether that one stays or not.  Lines of under ``min_chars``
+    characters stay; with ``MIN_CHARS``, which the pipeline gives, all but blank lines are compared.  Every row stays, also one that loses all its lines (its text is then empty); a null text
     stays null; rows equal in id and text count as one document.  Other columns are kept; an empty table gives an empty result.
     """
-    out = with_removed(docs)
+    out = with_removed(docs, min_chars)
     lines = F.split("text", "\n")
     left = F.filter(lines, lambda line, i: ~F.exists("removed", lambda r: r["line_no"] == i))
     text = F.when(F.size("removed") == 0, F.col("text")).otherwise(F.array_join(left, "\n"))

@@ -5,6 +5,7 @@ import random
 import duckdb
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from gradelake.llm.line_dedup import MIN_CHARS, dedup_lines, removed_lines, with_removed
 
 
@@ -90,3 +91,12 @@ def test_hot_line(docs):
     rows = [(i, line if i % 3 else f"line of its own, numbered {i * 7919}") for i in range(300)]
     left = with_removed(docs(rows)).where(F.size("removed") == 0).count()
     assert left == sum(1 for i, _ in rows if i not in brute(rows))
+
+
+def test_short_lines(spark, sf, docs):
+    """Lines of any length are compared, by the query and by the pipeline's stage; blank lines stay."""
+    rows = [(1, "Les.\nAnd ornd.\n\n Les."), (2, "And ornd.\nab\n\n"), (3, "Lea.\nb\na\nq"), (4, "nineteen characters\ntwenty, quite another"), (5, "nineteen characterss")]
+    gone = {1: {3: False}, 2: {0: False}, 3: {0: True, 1: True, 2: True, 3: True}, 5: {0: True}}
+    assert found(docs(rows)) == gone
+    left = {r.doc_id: r.text for r in corpus_pipeline.line_dedup(spark, docs(rows), sf).collect()}
+    assert left == {i: "\n".join(x for n, x in enumerate(t.split("\n")) if n not in gone.get(i, {})) for i, t in rows}
