@@ -65,9 +65,8 @@ def word_scripts(codes: np.ndarray, starts: np.ndarray) -> np.ndarray:
 def ngrams(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Hashed n-grams of all words, the word each belongs to, and each word's script.  Words are set between blanks."""
     text = " " + " ".join(words) + " "
-    codes = np.frombuffer(text.lower().encode("utf-32-le"), np.uint32)
-    if len(codes) != len(text):  # a letter that grows in lower case
-        codes = np.frombuffer(text.encode("utf-32-le"), np.uint32)
+    # U+0130 is the only letter that grows in lower case; blanks part the words, so each is lowered by itself.
+    codes = np.frombuffer(text.replace("\u0130", "i").lower().encode("utf-32-le"), np.uint32)
     blank = codes == 32
     word = np.cumsum(blank) - 1
     all_grams, owners = [], []

@@ -80,3 +80,13 @@ def test_quality_edges(spark, docs):
     assert out.count() == len(odd) and all(0 <= r.score <= 1 for r in out.collect())
     assert Q.score(df.drop("n_chars"), model).count() == len(odd) and Q.score(docs([]), model).count() == 0
     assert Q.train(docs([]), labels).bias == 0.0
+
+
+def test_a_letter_that_grows_in_lower_case_changes_no_other_word():
+    assert [c for c in map(chr, range(0x110000)) if len(c.lower()) > 1] == ["\u0130"]
+    words = ["UND", "\u0130stanbul", "Haus", "ΣΑΣ"]
+    grams, owner, scripts = L.ngrams(words)
+    for i, word in enumerate(words):
+        alone, _, script = L.ngrams([word])
+        assert sorted(grams[owner == i]) == sorted(alone) and scripts[i] == script[0]
+    assert sorted(grams[owner == 0]) == sorted(L.ngrams(["und"])[0])
