@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: ``(verdict, rule)``; a rule is a host, then a path that starts with a slash.
+#: ``(verdict, rule)``; a rule is a host, then a path that starts with a slash; a rule without a slash fits every path.
 RULES = [("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/")]
 #: A trie of more rules than this is not broadcast (about 1 kB each at most).
 BROADCAST_RULES = 200_000
@@ -101,7 +101,7 @@ def judge(pages: DataFrame, rules: list[tuple[str, str]] | DataFrame = RULES, de
 def judge_by_join(parts: DataFrame, rules: DataFrame, default: str) -> DataFrame:
     """The same for lists of any length: distinct ``(host, path)`` by their host suffixes against the rules' hosts."""
     cut = F.split("rule", "/", 2)
-    rules = rules.select("verdict", "rule", cut[0].alias("suffix"), F.concat(F.lit("/"), cut[1]).alias("prefix"))
+    rules = rules.select("verdict", "rule", cut[0].alias("suffix"), F.coalesce(F.concat(F.lit("/"), F.get(cut, F.lit(1))), F.lit("")).alias("prefix"))
     labels = F.split("host", r"\.")
     suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
     distinct = parts.select("host", "path").distinct()

@@ -56,3 +56,12 @@ def test_random_rules(spark, monkeypatch, limit):
 
 def test_empty(spark):
     assert U.judge(spark.createDataFrame([], "page_id bigint, url string")).count() == 0
+
+
+@pytest.mark.parametrize("limit", [U.BROADCAST_RULES, 0])
+def test_rules_of_a_host_only(spark, monkeypatch, limit):
+    monkeypatch.setattr(U, "BROADCAST_RULES", limit)
+    rules = [("block", "example.org"), ("allow", "example.org/es/"), ("allow", "a.example.org"), ("block", "com")]
+    urls = [*URLS, "http://example.org?q", "http://a.example.org/x/y", "http://b.example.org/es"]
+    table = spark.createDataFrame(rules, "verdict string, rule string")
+    assert judged(spark, urls, table) == {i: brute(u, rules) for i, u in enumerate(urls)}
