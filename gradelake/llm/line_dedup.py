@@ -1,35 +1,55 @@
-"""Line deduplication across a corpus: equal lines, and lines within one edit, keep the earliest.
-
-Near lines are found by a deletion-neighbourhood join in two steps.  A line is first cut into pieces; every
-variant without one piece is a hashed key, and two lines within one edit share such a key.  Only for keys that
-two distinct lines share, the variants without one character of that piece are made.  Lines of equal length
-that agree after the same place is deleted differ there only; a line that equals a variant of a longer one
-lacks one character.  So the earliest line of a key is within one edit of all others of its kind, and no pairs
-are made.  The distance of each line to its witness is then computed on the texts.
-
-A cheap first pass, in SQL functions, keeps lines that share a half with another distinct line.
+"""Line deduplication across a corpus: equal lines, and lines within a bound of edits, keep the earliest.
+
+A line of ``m`` characters may differ by ``k`` edits (a share of its length, up to a maximum).  Near lines are
+found by a deletion-neighbourhood join:
+
+1. *Filter*: cut into ``k + 1`` pieces, two near lines share a piece, moved by at most ``k`` characters.  Only
+   lines that share one with another distinct line go on.  All pieces are hashed from running sums over a batch.
+2. *Variants*: each such line is cut into ``k + 2`` pieces; every variant without ``k`` of them is a hashed key.
+   The longer line of a pair tries the few ways in which its pieces can be moved.
+3. *Join*: of lines with equal variants the left-out pieces are compared, each with the earlier ones; a variant
+   that more than ``SMALL`` lines share is compared in blocks, and no pair leaves the join unless it is near.  Where
+   so many lines differ in few characters only (a counter in a fixed text), none are compared: the variants without
+   ``k`` of these characters, with the places of them, are keys.  All lines of such a key are within ``k`` edits of
+   each other, so its earliest line is the witness of the rest.
+4. *Verification*: the edit distance of each line to its witness is computed on the whole lines.
+
+Equal lines are reduced to one before all this, in the map tasks.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Callable, Iterator
+from functools import lru_cache
+from itertools import combinations, combinations_with_replacement, product
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from gradelake.llm.common import frugal, stored, wide_hash
+from gradelake.llm.common import as_row, frugal, stored, wide_hash
 
-#: Characters of a line, after trimming, from which on the queries compare it: all but blank lines.
+#: Characters of a line, after trimming, from which on it is compared: all but blank lines.
 MIN_CHARS = 1
-#: Characters of a piece.
-PIECE = 24
-#: Lines that share a half with another are broadcast up to this number (16 bytes each), else joined by shuffle.
+#: Edits that make two lines near at most, and characters of the shorter line that each edit takes; 0 allows all edits at any length.
+EDITS, CHARS_PER_EDIT = 2, 10
+#: Lines of one variant that are compared in one block.
+SMALL = 128
+#: Characters in which the lines of a larger variant may differ for these to be deleted one by one.
+FEW_CHARS = 24
+#: Keys or lines that are broadcast (16 bytes each), else joined by shuffle.
 BROADCAST_ROWS = 1_000_000
+#: Rows of variants that a task hands on at once.
+ROWS_OUT = 50_000
 
 _DOC = ("doc_id", "version")
 _LINE = ("h1", "h2")
+_PLACE = ("doc_id", "version", "line_no")
 
 
 def lines_of(docs: DataFrame, min_chars: int) -> DataFrame:
@@ -44,167 +64,323 @@ def version(text: str = "text") -> Column:
     return F.xxhash64(text).alias("version")
 
 
-def half_keys() -> list[Column]:
-    """Two lines within one edit share one of these: the first or the last half, for the shorter one's length."""
-    keys = []
-    for m in (F.col("n_chars"), F.col("n_chars") - 1):
-        half = F.floor(m / 2).cast("int")
-        keys += [F.xxhash64(F.lit("first"), m, F.substring("line", F.lit(1), half)), F.xxhash64(F.lit("last"), m, F.substring("line", F.col("n_chars") - m + half + 1, m - half))]
-    return keys
+def budget(m: int, edits: int, per: int) -> int:
+    """Edits allowed where the shorter line has ``m`` characters."""
+    return min(edits, m // per) if per else edits
+
+
+def moves(pieces: int, total: int) -> list[tuple[int, ...]]:
+    """By how much each of as many edited pieces as there are edits can grow, where the line grows by ``total``."""
+    return [v for v in product(range(-pieces, pieces + 1), repeat=pieces) if sum(v) == total and sum(map(abs, v)) <= pieces]
+
+
+_RADIX = 0x9E3779B97F4A7C15
+_INVERSE = pow(_RADIX, -1, 1 << 64)
+
+
+def _powers(base: int, n: int) -> np.ndarray:
+    out = np.full(n, base, np.uint64)
+    out[:1] = 1
+    return np.multiply.accumulate(out)
+
+
+def filter_rows(edits: int, per: int) -> Callable:
+    """The pieces a line can share with a near one, hashed: as the shorter line, and as one longer by each number of characters."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        up, down = _powers(_RADIX, 1), _powers(_INVERSE, 1)
+        for batch in batches:
+            h1, h2 = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
+            n = pc.utf8_length(batch.column(2)).to_numpy(zero_copy_only=False).astype(np.int64)
+            codes = np.frombuffer("".join(batch.column(2).to_pylist()).encode("utf-32-le"), np.uint32).astype(np.uint64)
+            if len(codes) >= len(up):
+                up, down = _powers(_RADIX, 2 * len(codes) + 1), _powers(_INVERSE, 2 * len(codes) + 1)
+            sums = np.zeros(len(codes) + 1, np.uint64)
+            np.cumsum((codes + np.uint64(1)) * up[: len(codes)], out=sums[1:])
+            start = np.cumsum(n) - n
+            for longer in range(edits + 1):
+                m = n - longer
+                allowed = np.minimum(edits, m // per) if per else np.full(len(n), edits)
+                for k in range(max(1, longer), edits + 1):
+                    at = np.flatnonzero((m >= 0) & (allowed == k))
+                    # A piece that has ``q`` before it moves by no more than there are edits left for either side of it.
+                    places = [(q, by) for q in range(k + 1) for by in range(max(-q, longer - k + q), min(q, longer + k - q) + 1)]
+                    for q, by in places if len(at) else ():
+                        low, high = (m[at] * c // (k + 1) + by for c in (q, q + 1))
+                        own = at[(low >= 0) & (low <= high) & (high <= n[at])]
+                        low, high = (start[own] + m[own] * c // (k + 1) + by for c in (q, q + 1))
+                        key = (sums[high] - sums[low]) * down[low] + m[own].astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93) + np.uint64(q * 0xFF51AFD7ED558CCD % (1 << 64))
+                        key = (key ^ (key >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+                        yield pa.RecordBatch.from_arrays([pa.array(x) for x in (key.view(np.int64), h1[own], h2[own])], schema=_KEYS)
+
+    return run
+
+
+@lru_cache(maxsize=4096)
+def _cuts(n: int, longer: int, k: int) -> list[tuple[str, list[slice], list[slice]]]:
+    """Ways to read a line of ``n`` characters as ``longer`` than a near one: a label, the pieces that stay, and those left out."""
+    m, count = n - longer, k + 2
+    at = [m * q // count for q in range(count + 1)]
+    ways = []
+    for out in combinations(range(count), k):
+        for grown in moves(k, longer):
+            moved, stay, left = 0, [], []
+            for q in range(count):
+                low = at[q] + moved
+                if q in out:
+                    moved += grown[out.index(q)]
+                high = at[q + 1] + moved
+                if high < low:
+                    break
+                (left if q in out else stay).append(slice(low, high))
+            else:
+                ways.append((f"{m}/{out}/", stay, left))
+    return ways
+
+
+def piece_keys(line: str, edits: int, per: int) -> Iterator[tuple[int, int, list[slice]]]:
+    """``(key, k, what is left out)`` for every variant without ``k`` pieces."""
+    n = len(line)
+    for longer in range(min(edits, n) + 1):
+        k = budget(n - longer, edits, per)
+        if k >= max(1, longer):
+            for label, stay, left in _cuts(n, longer, k):
+                yield _hash(label + "".join([line[s] for s in stay])), k, left
 
 
-def piece_keys(line: str) -> Iterator[tuple[int, int, int, int, int, int]]:
-    """``(m, low, back, key, head, tail)`` for the line as one of ``m`` characters and as one of ``m + 1``.
+def char_keys(text: str, k: int) -> set[str]:
+    """Variants without up to ``k`` characters, with ``k`` places where characters of either text may be missing."""
+    found = set()
+    for n in range(min(k, len(text)) + 1):
+        for gone in combinations(range(len(text)), n):
+            rest, at = [], 0
+            for i in gone:
+                rest.append(text[at:i])
+                at = i + 1
+            common = "".join(rest) + text[at:]
+            gaps = tuple(i - j for j, i in enumerate(gone))
+            found.update(f"{sorted(gaps + more)}/{common}" for more in combinations_with_replacement(range(len(common) + 1), k - n))
+    return found
 
-    The piece is ``line[low : len(line) - back]``; the key hashes all the rest, from running hashes of both ends.
-    """
-    n = len(line)
-    for m in (n, n - 1):
-        count = max(2, -(-m // PIECE))
-        cuts = [m * i // count for i in range(count + 1)]
-        heads, tails = [], []
-        running, at = xxhash.xxh64(), 0
-        for cut in cuts[:-1]:
-            running.update(line[at:cut].encode())
-            at = cut
-            heads.append(running.intdigest())
-        running, at = xxhash.xxh64(), n
-        for cut in reversed(cuts[1:]):
-            running.update(line[n - (m - cut) : at][::-1].encode())
-            at = n - (m - cut)
-            tails.append(running.intdigest())
-        tails.reverse()
-        for low, high, head, tail in zip(cuts, cuts[1:], heads, tails, strict=False):
-            yield m, low, m - high, _hash(m, low, head, tail), head, tail
-
-
-def _hash(*parts: object) -> int:
-    """Signed 64 bits of a tuple."""
-    return xxhash.xxh64_intdigest(repr(parts).encode()) - (1 << 63)
-
-
-def piece_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The keys without one piece, for each candidate line."""
-    for batch in batches:
-        h1, h2, texts = (batch.column(n).to_pylist() for n in ("h1", "h2", "line"))
-        out: list[tuple] = []
-        for a, b, line in zip(h1, h2, texts, strict=True):
-            out += [(key, a, b, m, low) for m, low, _, key, _, _ in piece_keys(line)]
-        yield _batch(out, ["key", "h1", "h2", "m", "low"])
+
+def _hash(text: str) -> int:
+    """Signed 64 bits."""
+    return xxhash.xxh64_intdigest(text.encode()) - (1 << 63)
+
+
+def piece_rows(edits: int, per: int) -> Callable:
+    """The keys of each line."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: list[tuple] = []
+            for row in batch.to_pylist():
+                out += [(key, row["h1"], row["h2"]) for key in {key for key, _, _ in piece_keys(row["line"], edits, per)}]
+                if len(out) >= ROWS_OUT:
+                    yield _batch(out, _KEYS)
+                    out = []
+            yield _batch(out, _KEYS)
+
+    return run
 
 
-def variant_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The keys without one character, in the pieces that a line shares; ``kind`` is 0 same place, 1 the shorter line, 2 the longer."""
+def left_rows(edits: int, per: int) -> Callable:
+    """For the keys that a line shares: what they leave out."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: list[tuple] = []
+            for row in batch.to_pylist():
+                own, shared = tuple(row[c] for c in (*_LINE, *_PLACE)), set(row["keys"])
+                out += [(key, *own, k, "\n".join([row["line"][s] for s in left])) for key, k, left in piece_keys(row["line"], edits, per) if key in shared]
+            yield _batch(out, _LEFT)
+
+    return run
+
+
+def _common(a: str, b: str) -> int:
+    """Characters at the start of both."""
+    return next((i for i, (x, y) in enumerate(zip(a, b, strict=False)) if x != y), min(len(a), len(b)))
+
+
+def char_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For the keys that too many lines share: keys of characters, without a text, where few tell the lines apart; else the row."""
     for batch in batches:
         out: list[tuple] = []
         for row in batch.to_pylist():
-            shared = {(p["m"], p["low"]) for p in row["pieces"]}
-            line, own = row["line"], (row["h1"], row["h2"], row["doc_id"], row["version"], row["line_no"])
-            n = len(line)
-            for m, low, back, _, head, tail in piece_keys(line):
-                if (m, low) not in shared:
-                    continue
-                piece = line[low : n - back]
-                cut = [piece[:i] + piece[i + 1 :] for i in range(len(piece))]
-                if m == n:
-                    out += [(_hash("place", m, low, i, head, tail, v), 0, *own) for i, v in enumerate(cut)]
-                    out.append((_hash("length", m, low, head, tail, piece), 1, *own))
-                else:
-                    out += [(_hash("length", m, low, head, tail, v), 2, *own) for v in set(cut)]
-        yield _batch(out, ["key", "kind", "h1", "h2", "doc_id", "version", "line_no"])
+            # What the least and the greatest text begin or end with is common to all.
+            head = _common(row["low"], row["high"])
+            tail = min(_common(row["back_low"], row["back_high"]), row["least"] - head)
+            text, k, own = row["left"][head : len(row["left"]) - tail], row["k"], tuple(row[c] for c in (*_LINE, *_PLACE))
+            if row["most"] - head - tail <= FEW_CHARS:
+                out += [(_hash(f"{row['key']}/{x}"), *own, k, None) for x in char_keys(text, k)]
+            else:
+                out.append((row["key"], *own, k, text))
+            if len(out) >= ROWS_OUT:
+                yield _batch(out, _LEFT)
+                out = []
+        yield _batch(out, _LEFT)
 
 
-def _batch(rows: list[tuple], names: list[str]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*rows, strict=True) if rows else [[]] * len(names))], names=names)
+_KEYS = pa.schema([(n, pa.int64()) for n in ("key", "h1", "h2")])
+_LEFT = pa.schema([*[(n, pa.int64()) for n in ("key", *_LINE, *_PLACE)], ("k", pa.int32()), ("left", pa.string())])
+_LEFT_DDL = ", ".join(f"{n} bigint" for n in ("key", *_LINE, *_PLACE)) + ", k int, left string"
 
 
-def _run(df: DataFrame, task: Callable, names: str) -> DataFrame:
-    return df.mapInArrow(frugal(task), ", ".join(f"{n} bigint" for n in names.split()))
+def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    columns = zip(*rows, strict=True) if rows else [[]] * len(schema)
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 
 
 def line_table(docs: DataFrame, min_chars: int) -> DataFrame:
-    """One row per distinct line: its earliest place, its number of rows, and the keys of its halves."""
+    """One row per distinct line: its earliest place and its number of rows."""
     h1, h2 = wide_hash(F.col("line"))
-    keys = [k.alias(f"k{i}") for i, k in enumerate(half_keys())]
-    lines = lines_of(docs, min_chars).select(*_DOC, "line_no", h1.alias("h1"), h2.alias("h2"), *keys)
-    first = F.min(F.struct(*_DOC, "line_no")).alias("first")
-    return lines.groupBy(*_LINE).agg(first, F.count("*").alias("n"), *[F.min(f"k{i}").alias(f"k{i}") for i in range(len(keys))])
-
-
-def near_lines(docs: DataFrame, distinct: DataFrame, min_chars: int) -> DataFrame:
-    """``h1, h2, keep``: the lines within one edit of an earlier one, and the first place of that one."""
-    halves = distinct.select(*_LINE, F.explode(F.array_distinct(F.array("k0", "k1", "k2", "k3"))).alias("key"))
-    common = halves.groupBy("key").count().where("count > 1").select("key")
-    candidates = stored(halves.join(common, "key").select(*_LINE).distinct(), "line-candidates")
-    small = F.broadcast if candidates.count() <= BROADCAST_ROWS else lambda df: df
+    lines = lines_of(docs, min_chars).select(*_PLACE, h1.alias("h1"), h2.alias("h2"))
+    return lines.groupBy(*_LINE).agg(F.min(F.struct(*_PLACE)).alias("first"), F.count("*").alias("n"))
+
+
+def _hashed(docs: DataFrame, min_chars: int) -> DataFrame:
     h1, h2 = wide_hash(F.col("line"))
-    texts = lines_of(docs, min_chars).withColumns({"h1": h1, "h2": h2}).join(small(candidates), list(_LINE))
-    texts = stored(texts.groupBy(*_LINE).agg(F.min(F.struct(*_DOC, "line_no", "line")).alias("first")).select(*_LINE, "first.*"), "line-texts")
-
-    pieces = _run(texts.select(*_LINE, "line"), piece_rows, "key h1 h2 m low")
-    shared = pieces.groupBy("key").count().where("count > 1").select("key")
-    met = pieces.join(shared, "key").groupBy(*_LINE).agg(F.collect_set(F.struct("m", "low")).alias("pieces"))
-    variants = _run(texts.join(met, list(_LINE)), variant_rows, "key kind h1 h2 doc_id version line_no")
-
-    # At most one line per key is the shorter one, so each group has one earliest line that all others are near to.
-    place = F.struct(*_DOC, "line_no", *_LINE)
-    earliest = lambda kind: F.min(F.when(F.col("kind") == kind, place)).alias(f"e{kind}")
-    groups = variants.groupBy("key").agg(earliest(0), earliest(1), earliest(2), F.count("*").alias("size")).where("size > 1").drop("size")
-    witness = F.when(F.col("kind") == 0, F.col("e0")).when(F.col("kind") == 1, F.col("e2")).otherwise(F.col("e1"))
-    later = variants.join(groups, "key").withColumn("witness", witness).where(F.col("witness") < place)
-    later = later.select(*_LINE, F.col("witness.h1").alias("w1"), F.col("witness.h2").alias("w2")).distinct()
-    said = later.join(texts.select(*_LINE, "line"), list(_LINE)).join(texts.select(F.col("h1").alias("w1"), F.col("h2").alias("w2"), F.col("line").alias("other"), F.struct(*_DOC, "line_no").alias("keep")), ["w1", "w2"])
-    return said.where(F.levenshtein("line", "other", 1) >= 0).groupBy(*_LINE).agg(F.min("keep").alias("keep"))
-
-
-def removed_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
-    """``doc_id, version, removed``: for documents that lose lines, an array of ``line_no, keep_doc_id, keep_line_no, near``."""
+    return lines_of(docs, min_chars).withColumns({"h1": h1, "h2": h2})
+
+
+def candidates(docs: DataFrame, min_chars: int, edits: int, per: int) -> DataFrame:
+    """Lines that share a piece with another distinct line: ``h1, h2`` and their earliest place and text."""
+    lines = _hashed(docs, min_chars)
+    keyed = lines.select(*_LINE, "line").mapInArrow(frugal(filter_rows(edits, per)), "key bigint, h1 bigint, h2 bigint")
+    # A key of one line only has one hash, however many rows that line has.
+    shared = keyed.groupBy("key").agg(F.min("h1").alias("low"), F.max("h1").alias("high")).where("low <> high").select("key")
+    shared = stored(shared, "line-pieces")
+    small = F.broadcast if shared.count() <= BROADCAST_ROWS else lambda df: df
+    met = stored(keyed.join(small(shared), "key").select(*_LINE).distinct(), "line-candidates")
+    small = F.broadcast if met.count() <= BROADCAST_ROWS else lambda df: df
+    texts = lines.join(small(met), list(_LINE)).groupBy(*_LINE).agg(F.min(F.struct(*_PLACE, "line")).alias("first"))
+    return stored(texts.select(*_LINE, "first.*"), "line-texts")
+
+
+def near_lines(docs: DataFrame, min_chars: int, edits: int, per: int) -> DataFrame:
+    """``h1, h2, like``: the lines within the bound of an earlier one, and the first place of the earliest such one."""
+    texts = candidates(docs, min_chars, edits, per)
+    pieces = texts.select(*_LINE, "line").mapInArrow(frugal(piece_rows(edits, per)), "key bigint, h1 bigint, h2 bigint")
+    shared = pieces.groupBy("key").agg(F.count("*").alias("size")).where("size > 1").select("key")
+    own = pieces.join(shared, "key").groupBy(*_LINE).agg(F.collect_set("key").alias("keys"))
+    rows = stored(texts.join(own, list(_LINE)).mapInArrow(frugal(left_rows(edits, per)), _LEFT_DDL), "line-variants")
+    back, length, place = F.reverse("left"), F.length("left"), F.struct(*_PLACE, *_LINE)
+    sizes = rows.groupBy("key").agg(F.count("*").alias("size"), F.min("left").alias("low"), F.max("left").alias("high"), F.min(back).alias("back_low"), F.max(back).alias("back_high"), F.min(length).alias("least"), F.max(length).alias("most"))
+    sizes = stored(sizes.where("size > 1"), "line-variant-sizes")
+    few = rows.join(sizes.where(F.col("size") <= SMALL).select("key"), "key").withColumn("blocks", F.lit(1).cast("bigint"))
+    many = rows.join(sizes.where(F.col("size") > SMALL), "key")
+    blocks = F.ceil(F.col("size") / SMALL)
+    if many.isEmpty():
+        found = _near_pairs(few)
+    else:
+        many = stored(many.mapInArrow(frugal(char_rows), _LEFT_DDL), "line-variants")
+        long = many.where("left is not null").join(sizes.select("key", blocks.alias("blocks")), "key")
+        ends = many.where("left is null").select("key", place.alias("own"))
+        first = stored(ends.groupBy("key").agg(F.min("own").alias("first"), F.count("*").alias("size")).where("size > 1").drop("size"), "line-witnesses")
+        found = _near_pairs(few.unionByName(long)).unionByName(ends.join(first, "key").where(F.col("first") < F.col("own")).select("own.h1", "own.h2", "first"))
+    found = found.groupBy(*_LINE).agg(F.min("first").alias("first"))
+    found = stored(found.select(*_LINE, "first"), "line-near")
+    other = texts.select(F.col("h1").alias("w1"), F.col("h2").alias("w2"), F.col("line").alias("other"))
+    met = found.select(*_LINE, *[F.col(f"first.{c}") for c in _PLACE], F.col("first.h1").alias("w1"), F.col("first.h2").alias("w2"))
+    met = met.join(texts.select(*_LINE, "line"), list(_LINE)).join(other, ["w1", "w2"])
+    m = F.least(F.length("line"), F.length("other"))
+    allowed = F.least(F.lit(edits), F.floor(m / per)) if per else F.lit(edits)
+    near = _kept(met.select("line", "other", allowed.cast("int"), *_LINE, *_PLACE))
+    return near.select(*_LINE, F.struct(*_PLACE).alias("like"))
+
+
+def within(a: str, b: str, k: int) -> bool:
+    """Whether the edit distance is at most ``k``: after what both begin with, one edit of each kind is tried."""
+    if abs(len(a) - len(b)) > k:
+        return False
+    if a == b or not k:
+        return a == b
+    low, high = 0, min(len(a), len(b))
+    while low < high:
+        middle = (low + high + 1) // 2
+        low, high = (middle, high) if a[low:middle] == b[low:middle] else (low, middle - 1)
+    a, b = a[low:], b[low:]
+    return within(a[1:], b[1:], k - 1) or within(a[1:], b, k - 1) or within(a, b[1:], k - 1)
+
+
+def _near(columns: int) -> Callable:
+    """Of rows ``a, b, k, ...`` those whose first two texts are within ``k`` edits, without these three."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a, b, k = (batch.column(i).to_pylist() for i in range(3))
+            yield batch.select(list(range(3, columns))).filter(pa.array(list(map(within, a, b, k)), pa.bool_()))
+
+    return frugal(run)
+
+
+def _kept(rows: DataFrame) -> DataFrame:
+    return rows.mapInArrow(_near(len(rows.columns)), StructType(rows.schema.fields[3:]))
+
+
+def _near_pairs(rows: DataFrame) -> DataFrame:
+    """``h1, h2, first``: lines of one key, and earlier ones within the bound; ``blocks`` says into how many blocks a key is cut."""
+    rows = rows.withColumn("own", F.struct(*_PLACE, *_LINE)).withColumn("block", F.pmod(F.xxhash64("h1"), "blocks"))
+    rows = stored(rows.select("key", "k", "left", "own", "block", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)).alias("other")), "line-blocks")
+    later = rows.select("key", F.col("block").alias("i"), F.col("other").alias("j"), "k", "left", "own")
+    earlier = rows.select("key", F.col("other").alias("i"), F.col("block").alias("j"), F.col("left").alias("text"), F.col("own").alias("first"))
+    met = later.join(earlier, ["key", "i", "j"]).where((F.col("first") < F.col("own")) & (F.abs(F.length("left") - F.length("text")) <= F.col("k")))
+    flat = [F.col(f"first.{c}").alias(f"first_{c}") for c in (*_PLACE, *_LINE)]
+    near = _kept(met.select("left", "text", "k", "own.h1", "own.h2", *flat))
+    return near.select(*_LINE, F.struct(*[F.col(f"first_{c}").alias(c) for c in (*_PLACE, *_LINE)]).alias("first"))
+
+
+def removed_lines(docs: DataFrame, min_chars: int = MIN_CHARS, edits: int = EDITS, chars_per_edit: int = CHARS_PER_EDIT) -> DataFrame:
+    """``doc_id, version, removed``: for documents that lose lines, an array of ``line_no, like_doc_id, like_line_no, near``.
+
+    ``like_*`` is the first place of the line that is equal, or of the earliest that is near; that one can itself
+    be near to a still earlier one and go.
+    """
     distinct = stored(line_table(docs, min_chars), "line-table")
-    near = near_lines(docs, distinct, min_chars)
-    rulings = distinct.join(near, list(_LINE), "left").where("n > 1 or keep is not null").select(*_LINE, "first", "keep")
-    rulings = stored(rulings, "line-rulings")
-    h1, h2 = wide_hash(F.col("line"))
-    places = lines_of(docs, min_chars).select(*_DOC, "line_no", h1.alias("h1"), h2.alias("h2"))
+    rulings = distinct.withColumn("like", F.lit(None).cast(distinct.schema["first"].dataType))
+    if edits:
+        rulings = distinct.join(near_lines(docs, min_chars, edits, chars_per_edit), list(_LINE), "left")
+    rulings = stored(rulings.where("n > 1 or like is not null").select(*_LINE, "first", "like"), "line-rulings")
+    places = _hashed(docs, min_chars).select(*_PLACE, *_LINE)
     # A line that very many documents hold is one ruling: AQE splits the partition of its places.
-    gone = places.join(rulings, list(_LINE)).where(F.col("keep").isNotNull() | (F.struct(*_DOC, "line_no") != F.col("first")))
-    kept = F.coalesce("keep", "first")
-    ruling = F.struct("line_no", kept["doc_id"].alias("keep_doc_id"), kept["line_no"].alias("keep_line_no"), F.col("keep").isNotNull().alias("near"))
+    gone = places.join(rulings, list(_LINE)).where(F.col("like").isNotNull() | (F.struct(*_PLACE) != F.col("first")))
+    like = F.coalesce("like", "first")
+    ruling = F.struct("line_no", like["doc_id"].alias("like_doc_id"), like["line_no"].alias("like_line_no"), F.col("like").isNotNull().alias("near"))
     return gone.groupBy(*_DOC).agg(F.array_sort(F.collect_list(ruling)).alias("removed"))
 
 
-def with_removed(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
-    """``docs`` with a column ``removed``, empty where no line goes."""
-    removed = removed_lines(docs, min_chars).select(F.col("doc_id").alias("_id"), F.col("version").alias("_version"), F.col("removed").alias("_removed"))
-    kept = docs.drop("removed")
-    out = kept.join(removed, kept.doc_id.eqNullSafe(F.col("_id")) & (F.xxhash64(kept.text) == F.col("_version")), "left")
-    none = F.array().cast(removed.schema["_removed"].dataType)
-    return out.select(*kept.columns, F.coalesce("_removed", none).alias("removed"))
+def _joined(docs: DataFrame, row: Column, removed: DataFrame) -> DataFrame:
+    """``row, text, removed`` for every row of ``docs``; ``removed`` is empty where no line goes."""
+    rows = docs.select(row, F.col("doc_id").alias("_id"), version().alias("_version"), F.col("text").alias("_text"))
+    out = rows.join(removed, rows["_id"].eqNullSafe(removed["doc_id"]) & (rows["_version"] == removed["version"]), "left")
+    return out.select("row", F.col("_text").alias("text"), F.coalesce("removed", F.array().cast(removed.schema["removed"].dataType)).alias("removed"))
 
 
-def dedup_lines(docs: DataFrame, min_chars: int = 20) -> DataFrame:
-    """``docs`` without the lines that repeat an earlier line, or are within one edit of one.
+def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, edits: int = EDITS, chars_per_edit: int = CHARS_PER_EDIT) -> DataFrame:
+    """``docs`` without the lines that repeat an earlier line, or are near to one.
 
     Lines are compared without blanks at their ends.  Of equal lines the one with the smallest document id (null
-    first), then the smallest text hash among rows of one id, then the smallest line number stays; a near line
-    goes if an earlier one is within one edit, whether that one stays or not.  Lines of under ``min_chars``
-    characters stay; with ``MIN_CHARS``, which the pipeline gives, all but blank lines are compared.  Every row stays, also one that loses all its lines (its text is then empty); a null text
-    stays null; rows equal in id and text count as one document.  Other columns are kept; an empty table gives an empty result.
+    first), then the smallest text hash among rows of one id, then the smallest line number stays.  A line is near
+    to another if their edit distance is at most ``edits`` and at most a ``chars_per_edit``-th of the shorter one's
+    characters (0: at most ``edits`` at any length); it goes if an earlier line is near to it, whether that one
+    stays or not.  Lines of under ``min_chars`` characters stay: by default the blank ones.
+
+    Every row stays, also one that loses all its lines (its text is then empty); a null text stays null, an empty
+    one empty; rows equal in id and text count as one document.  A text of any length is split whole, and a line
+    may be the whole text.  All other columns are kept as they are, whatever they are called; an empty table gives
+    an empty result.
     """
-    out = with_removed(docs, min_chars)
-    lines = F.split("text", "\n")
-    left = F.filter(lines, lambda line, i: ~F.exists("removed", lambda r: r["line_no"] == i))
+    out = _joined(docs, as_row(docs), removed_lines(docs.select("doc_id", "text"), min_chars, edits, chars_per_edit))
+    left = F.filter(F.split("text", "\n"), lambda line, i: ~F.exists("removed", lambda r: r["line_no"] == i))
     text = F.when(F.size("removed") == 0, F.col("text")).otherwise(F.array_join(left, "\n"))
-    return out.withColumn("text", text).select(*docs.columns)
+    return out.select(F.col("row").withField("text", text).alias("row")).select("row.*")
 
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row per document, with the lines that go, where their earliest copies are, and the digest of what is left."""
+    """One row per document, with the lines that go, where their earliest copies are, and how many go for which reason."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    n_lines = F.size(F.split(F.coalesce("text", F.lit("")), "\n"))
-    removed = removed_lines(docs)
-    kept = docs.select("doc_id", version(), n_lines.alias("n_lines"))
-    out = kept.join(removed, [kept.doc_id.eqNullSafe(removed.doc_id), kept.version == removed.version], "left").select(kept.doc_id, "n_lines", "removed")
-    none = F.array().cast(removed.schema["removed"].dataType)
-    out = out.withColumn("removed", F.coalesce("removed", none))
+    out = _joined(docs, F.struct("doc_id").alias("row"), removed_lines(docs))
     near = F.filter("removed", lambda r: r["near"])
-    return out.select("doc_id", "n_lines", (F.size("removed") - F.size(near)).alias("n_equal"), F.size(near).alias("n_near"), "removed")
+    n_lines = F.size(F.split(F.coalesce("text", F.lit("")), "\n"))
+    return out.select("row.doc_id", n_lines.alias("n_lines"), (F.size("removed") - F.size(near)).alias("n_equal"), F.size(near).alias("n_near"), "removed")
