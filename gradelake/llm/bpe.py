@@ -292,7 +292,8 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, block_chars: int = BL
     """``doc_id, ids`` for every row of ``docs``, without special tokens; with ``decoded`` also the bytes the ids stand for.
 
     A null text is empty and has no ids.  Repeated rows and null ids stay rows of their own; other columns are
-    ignored; an empty table gives an empty result.  ``docs`` is read twice and must give the same rows.
+    ignored; an empty table gives an empty result.  Texts of any length are encoded whole.  ``docs`` is read twice and
+    must give the same rows in the same order, as files do; store what comes out of a shuffle first.
     """
     spark = docs.sparkSession
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -323,11 +324,11 @@ def decode(encoded: DataFrame, ranks_path: str) -> DataFrame:
     return encoded.withColumn("decoded", look_up("ids"))
 
 
-def digests(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
-    """Encode, decode, and reduce both to digests."""
+def digests(docs: DataFrame, ranks_path: str, pattern: str, with_ids: bool = False) -> DataFrame:
+    """Encode, decode, and reduce both to digests; with ``with_ids`` the ids stay beside them."""
     both = encode(docs, ranks_path, pattern, decoded=True)
     listed = F.concat_ws(",", F.col("ids").cast("array<string>"))
-    return both.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(listed.cast("binary"), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+    return both.select("doc_id", *(["ids"] if with_ids else []), F.size("ids").cast("long").alias("n_tokens"), F.sha2(listed.cast("binary"), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

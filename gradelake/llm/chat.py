@@ -22,7 +22,7 @@ CHUNK = 256
 
 def prefixes(turns: DataFrame) -> DataFrame:
     """``conv_id, pos, n_turns, p1, p2, role, text``: the position of each turn and the hash of all turns up to it."""
-    turns = turns.where("conv_id is not null").select("conv_id", "turn", "role", "text").withColumn("chunk", F.floor(F.coalesce("turn", F.lit(0)) / CHUNK))
+    turns = turns.where("conv_id is not null").select("conv_id", "turn", "role", "text").withColumn("chunk", F.coalesce(F.floor(F.col("turn") / CHUNK), F.lit(-(1 << 62))))
     sizes = turns.groupBy("conv_id", "chunk").agg(F.count("*").alias("size"))
     earlier = Window.partitionBy("conv_id").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
     sizes = sizes.select("conv_id", "chunk", F.coalesce(F.sum("size").over(earlier), F.lit(0)).alias("offset"), F.sum("size").over(Window.partitionBy("conv_id")).alias("n_turns"))
@@ -66,7 +66,7 @@ def format_chats(turns: DataFrame) -> DataFrame:
     """Collapse, then render: ``conv_id, n_turns, keep_id, kept, segment, rendered``.
 
     A kept conversation has a row for each ``CHUNK`` turns, in ``segment`` order; a dropped one has one row
-    with segment 0 and a null text.  Turns are ordered by turn (null first), role and text, and repeated rows are turns
+    with segment 0 and a null text.  Turns are ordered by turn (null first, then negative ones), role and text, and repeated rows are turns
     of their own.  A null role or text renders as empty and differs from an empty one in comparisons.  Rows
     without a ``conv_id`` belong to no conversation and are left out; other columns are ignored; an empty table gives an empty result.
     """

@@ -5,12 +5,15 @@ any such copy is unchanged.  One automaton finds exact hits of all pieces in a w
 Myers' bit-parallel algorithm gives the smallest edit distance of the item to any passage there.
 
 The work is a map over documents.  Only the pieces travel: the items are read in blocks of a bounded number of
-characters, so a larger benchmark means more passes, not a larger broadcast.
+characters.  A larger benchmark means more passes, each a job of its own with one automaton, whose hits are
+stored, so neither tasks nor the driver hold more than one block.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import reduce
+from itertools import chain
 
 import ahocorasick
 import pyarrow as pa
@@ -18,12 +21,14 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gradelake.llm.common import release
+from gradelake.llm.common import as_row, release, stored
 
 #: Edits allowed, as a share of an item's characters.
 ERROR_RATE = 0.05
-#: A piece has at least so many characters, which bounds the edits of short items; items shorter than one piece are no evidence and are left out.
+#: A piece has at least so many characters, which bounds the edits of short items; shorter items must be found as whole words.
 MIN_PIECE = 16
+#: Characters from which on an item is evidence.  With 1 every item counts, also a single word.
+MIN_ITEM = 16
 #: Characters of items in one automaton (about 100 bytes each).
 BLOCK_CHARS = 1_000_000
 
@@ -93,7 +98,10 @@ def matcher(items: list[tuple[int | None, str]], rate: float, min_piece: int) ->
         starts: dict[int, set[int]] = {}
         for end, (length, owners) in automaton.iter(text) if where else ():
             for n, offset in owners:
-                starts.setdefault(n, set()).add(end + 1 - length - offset)
+                begin = end + 1 - length
+                if len(items[n][1]) < min_piece and not (text[begin - 1 : begin] in ("", " ") and text[end + 1 : end + 2] in ("", " ")):
+                    continue
+                starts.setdefault(n, set()).add(begin - offset)
         found = []
         for n, begun in starts.items():
             item_id, item = items[n]
@@ -125,9 +133,9 @@ def matcher(items: list[tuple[int | None, str]], rate: float, min_piece: int) ->
     return find
 
 
-def item_blocks(benchmark: DataFrame, min_piece: int, block_chars: int) -> Iterator[list[tuple[int | None, str]]]:
+def item_blocks(benchmark: DataFrame, min_item: int, block_chars: int) -> Iterator[list[tuple[int | None, str]]]:
     """The distinct items as plain text, in blocks of about ``block_chars`` characters."""
-    items = benchmark.select("item_id", plain().alias("text")).where(F.length("text") >= min_piece).distinct()
+    items = benchmark.select("item_id", plain().alias("text")).where(F.length("text") >= max(1, min_item)).distinct()
     chars = items.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
     n = max(1, -(-chars // block_chars))
     for block in range(n):
@@ -147,27 +155,51 @@ def _hits(shared: Broadcast, rate: float, min_piece: int) -> Callable[[Column],
     return hits.asNondeterministic()  # else a filter on the hits runs it twice
 
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame, rate: float = ERROR_RATE, min_piece: int = MIN_PIECE, block_chars: int = BLOCK_CHARS) -> DataFrame:
-    """``docs`` with a column ``leaks``: for each item that the document holds its id, the least distance and the end in the plain text.
-
-    All columns of ``docs`` are kept, whatever they are called (a column ``leaks`` is replaced).  Null and empty
-    texts hold nothing; so do all texts if there are no items.  Items of equal text but different ids are all
-    reported; repeated rows of ``docs`` are each reported.
+def _marked(docs: DataFrame, benchmark: DataFrame, rate: float, min_piece: int, min_item: int, block_chars: int) -> DataFrame:
+    """``row, leaks`` for every row of ``docs``."""
+    context = docs.sparkSession.sparkContext
+    rows = docs.select(as_row(docs), "doc_id", plain().alias("text"))
+    none = F.expr(f"cast(array() as {_FOUND})")
+    blocks = item_blocks(benchmark, min_item, block_chars)
+    first, second = next(blocks), next(blocks, None)
+    if second is None:
+        return rows.select("row", (_hits(context.broadcast(first), rate, min_piece)("text") if first else none).alias("leaks"))
+    passes = []
+    key = ["doc_id", F.xxhash64(F.lit(11), "text").alias("h1"), F.xxhash64(F.lit(10_007), "text").alias("h2")]
+    for items in chain((first, second), blocks):
+        if items:
+            shared = context.broadcast(items)
+            own = rows.select(*key, _hits(shared, rate, min_piece)("text").alias("leaks")).where(F.size("leaks") > 0)
+            passes.append(stored(own.distinct(), "leaks"))
+            shared.unpersist()
+    if not passes:
+        return rows.select("row", none.alias("leaks"))
+    found = reduce(DataFrame.unionByName, passes).groupBy("doc_id", "h1", "h2").agg(F.flatten(F.collect_list("leaks")).alias("leaks"))
+    keyed = rows.select("row", *key).alias("d").join(stored(found, "leaks").alias("l"), F.expr("d.doc_id <=> l.doc_id and d.h1 = l.h1 and d.h2 = l.h2"), "left")
+    return keyed.select("d.row", F.coalesce("l.leaks", none).alias("leaks"))
+
+
+def find_leaks(docs: DataFrame, benchmark: DataFrame, rate: float = ERROR_RATE, min_piece: int = MIN_PIECE, min_item: int = MIN_ITEM, block_chars: int = BLOCK_CHARS) -> DataFrame:
+    """``docs`` with a column ``leaks``: for each item that the document holds its id, the least distance, and where in the plain text the first such passage ends.
+
+    Texts and items are compared as plain text (:func:`plain`).  An item may differ by ``rate`` of its characters,
+    and by fewer if pieces of ``min_piece`` characters forbid it.  Items of under ``min_item`` plain characters are
+    no evidence; with 1 all count, and those shorter than a piece must be whole words of the text.
+
+    All columns of ``docs`` are kept, whatever they are called (only a column ``leaks`` is replaced).  Null and
+    empty texts hold nothing; so do all texts if there are no items, and an empty table gives an empty result.
+    Null and empty items are never found.  Items of equal text but different ids are all reported, and so is each
+    of repeated rows of ``docs``.  Texts of any length are searched whole.  Of passages at the least distance the
+    first one counts.
     """
-    spark = docs.sparkSession
-    kept = docs.drop("leaks")
-    out = kept.withColumn("leaks", F.expr(f"cast(array() as {_FOUND})"))
-    for items in item_blocks(benchmark, min_piece, block_chars):
-        if not items:
-            continue
-        hits = _hits(spark.sparkContext.broadcast(items), rate, min_piece)
-        out = out.withColumn("leaks", F.concat("leaks", hits(plain())))
-    return out
-
-
-def drop_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """``docs`` without the documents that hold a test item."""
-    return find_leaks(docs, benchmark).where(F.size("leaks") == 0).select(*docs.columns)
+    kept = [F.col(f"row.`{c}`") for c in docs.columns if c != "leaks"]
+    return _marked(docs, benchmark, rate, min_piece, min_item, block_chars).select(*kept, "leaks")
+
+
+def drop_leaks(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
+    """``docs`` without the documents that hold a test item; columns are as they were.  Other cases are as in :func:`find_leaks`."""
+    given = {"rate": ERROR_RATE, "min_piece": MIN_PIECE, "min_item": MIN_ITEM, "block_chars": BLOCK_CHARS} | options
+    return _marked(docs, benchmark, **given).where(F.size("leaks") == 0).select("row.*")
 
 
 def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -21,7 +21,7 @@ import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gradelake.llm.common import release
+from gradelake.llm.common import as_row, release
 
 #: Training rows per language, about: those with the least hashes of id and text; a language with fewer rows keeps all.
 SAMPLE_PER_LANGUAGE = 1_500
@@ -112,7 +112,11 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def train(docs: DataFrame, sample_per_language: int = SAMPLE_PER_LANGUAGE) -> Model:
-    """Fit on ``text, lang`` of the given rows.  Rows with a null text or lang are left out; no rows give a model without languages."""
+    """Fit on ``text, lang`` of the given rows.
+
+    Rows with a null text or lang are left out; no rows give a model without languages; repeated rows count each
+    time.  More than ``MAX_LANGUAGES`` languages are a ``ValueError``, since the model is broadcast.
+    """
     rows = docs.where("text is not null and lang is not null").select("lang", "text", F.xxhash64("doc_id", "text").alias("h"))
     totals = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count("*").alias("n")).limit(MAX_LANGUAGES + 1).toLocalIterator()}
     if len(totals) > MAX_LANGUAGES:
@@ -209,9 +213,17 @@ def _predict(texts: list[str | None], model: Model, find: regex.Pattern, number:
 def identify(docs: DataFrame, model: Model) -> DataFrame:
     """``docs`` with ``lang_pred, score, n_spans``: the language of the most letters, its share of the letters, and the number of spans of one language.
 
-    A null text, a text without letters, and any text for a model without languages have ``und`` and 0.  All
-    columns of ``docs`` are kept; columns of the three names are replaced.
+    A null text, a text without letters, and any text for a model without languages have ``und``, 0 and no spans.
+    Of languages with equally many letters the first in alphabetical order counts; between labels of equal score
+    Viterbi stays, then takes the first.  Texts of any length are labelled whole, a row at a time if they are long.
+    Repeated rows are each labelled, alike.  All columns of ``docs`` are kept, whatever they are called; only
+    columns of the three names are replaced.  An empty table gives an empty result.
     """
+    return labelled(docs, model).select(*[F.col(f"row.`{c}`") for c in docs.columns if c not in ("lang_pred", "score", "n_spans")], "said.lang_pred", "said.score", "said.n_spans")
+
+
+def labelled(docs: DataFrame, model: Model) -> DataFrame:
+    """``row, said``: each row of ``docs`` as a struct, and what is said of it."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     kind = pa.struct([("lang_pred", pa.string()), ("score", pa.float64()), ("n_spans", pa.int32())])
 
@@ -240,8 +252,7 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
         release()
 
     label = label.asNondeterministic()  # else a filter on the label runs it twice
-    kept = docs.drop("lang_pred", "score", "n_spans")
-    return kept.withColumn("said", label("text")).select(*kept.columns, "said.lang_pred", "said.score", "said.n_spans")
+    return docs.select(as_row(docs), label("text").alias("said"))
 
 
 def remainder(n: int) -> Column:

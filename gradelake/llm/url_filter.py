@@ -35,7 +35,7 @@ def path(url: str = "url") -> Column:
 def split_rule(rule: str) -> tuple[str, str]:
     """``example.org/es/`` is the host ``example.org`` and the path ``/es/``."""
     name, slash, rest = rule.partition("/")
-    return name, slash + rest
+    return name.translate(str.maketrans(_UPPER, _LOWER)), slash + rest
 
 
 def build_trie(rules: Iterable[tuple[str, str]]) -> dict:
@@ -77,15 +77,18 @@ def longest(trie: dict, name: str, prefix: str) -> tuple | None:
 def judge(pages: DataFrame, rules: list[tuple[str, str]] | DataFrame = RULES, default: str = "allow") -> DataFrame:
     """Add ``host, path, rule, verdict`` to ``page_id``; urls that no rule fits get ``default`` and a null rule.
 
-    Rules are a list or a DataFrame ``(verdict, rule)``.  Null urls and urls without ``://`` have an empty
-    host and path, which no rule fits.  Of equal rules with both verdicts, block wins.  Rows are kept as they
-    come, repeated ones too; other columns are ignored; an empty table gives an empty result.
+    Rules are a list or a DataFrame ``(verdict, rule)``.  A rule without a slash fits every path of its host; A-Z
+    of a rule's host count as lower case; rules with a null part are left out; a rule whose host is empty fits
+    only hosts whose last label is empty.  Null urls and urls without ``://`` have an empty host and path.  Of
+    equal rules with both verdicts, block wins.  Rows are kept as they come, repeated ones too, and urls of any
+    length are read whole; other columns are ignored; an empty table gives an empty result.
     """
     parts = pages.select("page_id", host().alias("host"), path().alias("path"))
     if isinstance(rules, DataFrame):
         if rules.count() > BROADCAST_RULES:
             return judge_by_join(parts, rules, default)
         rules = [(r.verdict, r.rule) for r in rules.select("verdict", "rule").toLocalIterator()]
+    rules = [(verdict, rule) for verdict, rule in rules if verdict is not None and rule is not None]
     shared = pages.sparkSession.sparkContext.broadcast(build_trie(rules))
 
     @F.pandas_udf("rule string, verdict string")
@@ -101,7 +104,8 @@ def judge(pages: DataFrame, rules: list[tuple[str, str]] | DataFrame = RULES, de
 def judge_by_join(parts: DataFrame, rules: DataFrame, default: str) -> DataFrame:
     """The same for lists of any length: distinct ``(host, path)`` by their host suffixes against the rules' hosts."""
     cut = F.split("rule", "/", 2)
-    rules = rules.select("verdict", "rule", cut[0].alias("suffix"), F.coalesce(F.concat(F.lit("/"), F.get(cut, F.lit(1))), F.lit("")).alias("prefix"))
+    rules = rules.where("verdict is not null and rule is not null")
+    rules = rules.select("verdict", "rule", F.translate(cut[0], _UPPER, _LOWER).alias("suffix"), F.coalesce(F.concat(F.lit("/"), F.get(cut, F.lit(1))), F.lit("")).alias("prefix"))
     labels = F.split("host", r"\.")
     suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
     distinct = parts.select("host", "path").distinct()
