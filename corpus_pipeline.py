@@ -7,6 +7,7 @@ that hold a benchmark item; BPE encodes what is left.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 import public_tokenizers
@@ -14,29 +15,29 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gradelake.llm.bpe import digests
-from gradelake.llm.common import stored
+from gradelake.llm.common import removed, scratch, shared_dir
 from gradelake.llm.decontaminate import drop_leaks
-from gradelake.llm.language import identify, remainder, train
-from gradelake.llm.line_dedup import MIN_CHARS, dedup_lines
+from gradelake.llm.language import labelled, remainder, train
+from gradelake.llm.line_dedup import dedup_lines
 from gradelake.llm.ngram_join import drop_near_duplicates
 
 TOKENIZER = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a language, whose ``lang`` is the one predicted; those without letters go."""
+    """Documents with a language, whose ``lang`` is the one predicted; those whose text is null or has no letters go."""
     model = train(docs.where(remainder(4) != 2))
-    said = identify(docs, model).where("lang_pred <> 'und'")
-    return said.withColumn("lang", F.col("lang_pred")).select(*docs.columns)
+    said = labelled(docs, model).where("said.lang_pred <> 'und'")
+    return said.select(F.col("row").withField("lang", F.col("said.lang_pred")).alias("row")).select("row.*")
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without repeated lines; ``n_chars`` follows the text."""
-    return dedup_lines(docs, MIN_CHARS).withColumn("n_chars", F.length("text").cast("long"))
+    """Documents without repeated lines; ``n_chars`` follows the text.  All stay, also those that lose all lines."""
+    return dedup_lines(docs).withColumn("n_chars", F.length("text").cast("long"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class."""
+    """One document of each class; those without words are classes of their own."""
     return drop_near_duplicates(docs)
 
 
@@ -46,8 +47,8 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Digests of the ids and of the decoded bytes of each document."""
-    return digests(docs, TOKENIZER, public_tokenizers.PATTERN)
+    """``doc_id``, the token ids, and digests of the ids and of the decoded bytes; a null text has no ids."""
+    return digests(docs, TOKENIZER, public_tokenizers.PATTERN, with_ids=True)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
@@ -63,10 +64,21 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages on ``documents``; each result is written and read again as the next one's input."""
+    """All stages on ``documents``; each result is written and read again as the next one's input.
+
+    What a stage stored for itself is deleted once its result is written.  Columns that a stage does not name
+    are passed on as they are, whatever they are called.  Null, empty, very long and repeated texts are handled as the stages say; an empty
+    table gives an empty result.
+    """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    before = None
     for n, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if n + 1 < len(STAGES):
-            docs = stored(docs, name)
+        if n + 1 == len(STAGES):
+            return stage(spark, docs, sf_dir)
+        path = f"{shared_dir(spark)}/pipeline-{name}-{uuid.uuid4().hex}"
+        with scratch(spark):
+            stage(spark, docs, sf_dir).write.parquet(path)
+        if before is not None:
+            removed(spark, before)
+        docs, before = spark.read.parquet(path), path
     return docs
