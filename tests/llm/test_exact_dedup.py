@@ -6,6 +6,7 @@ from collections import defaultdict
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from gradelake.llm import exact_dedup as X
 
@@ -48,13 +49,40 @@ def test_without_broadcast(docs, monkeypatch):
     assert found(docs(ROWS)) == brute(ROWS)
 
 
-def test_runs_are_compacted(spark, docs):
+@pytest.mark.parametrize("options", [{"memtable_rows": 5}, {"memtable_rows": 3, "digest_bytes": 1}])
+def test_many_memtables(docs, options):
+    """Copies in one memtable, in different ones, and in runs that were compacted in between."""
+    rows = ROWS + [(100 + i, f"text number {i % 11}") for i in range(30)]
+    assert found(docs(rows), **options) == brute(rows)
+
+
+def entries(spark, keys):
+    return spark.createDataFrame([(hashlib.sha256(str(k).encode()).digest(), k, 3, 1) for k in keys], "digest binary, doc_id long, n_points int, n long")
+
+
+def test_lookups_skip_runs(spark):
+    """Every digest that is there is found; runs that hold none are told by range or filter and not read."""
+    index = X.DigestIndex(spark)
+    index.flush(entries(spark, range(0, 400)))
+    index.flush(entries(spark, range(400, 800)))
+    got = index.lookup(entries(spark, range(300, 400)))
+    assert got.count() == 100 and (index.read + index.skipped) == 2
+    read, skipped = index.read, index.skipped
+    assert index.lookup(entries(spark, [9001])).count() == 0
+    assert index.read - read + index.skipped - skipped == 2 and index.skipped > skipped
+    # About one in sixty of the digests that are not there passes the filter.
+    slot, mask = index._slot(index.runs[0].words)
+    other = entries(spark, range(10_000, 12_000)).withColumn("slot", slot).join(index._filter(index.runs[0]), "slot")
+    assert other.where(F.col("word").bitwiseAND(mask) == mask).count() < 200
+
+
+def test_runs_are_compacted(spark):
     index = X.DigestIndex(spark)
-    for start in range(0, 100, 10):
-        index.flush(docs([(start + i, f"t{i}") for i in range(10)]))
-    assert len(index.runs) <= X.MAX_RUNS
-    level = {r.doc_id: r.n for r in index.compact().collect()}
-    assert level == {i: 10 for i in range(10)}
+    for n in range(X.MAX_RUNS + 2):
+        hits = index.add(entries(spark, range(10)))
+        assert hits.count() == (10 if n else 0)
+        assert len(index.runs) <= X.MAX_RUNS
+    assert {r.doc_id: r.n for r in index.merged().collect()} == {i: X.MAX_RUNS + 2 for i in range(10)}
 
 
 def test_sql(spark, sf):
