@@ -7,6 +7,11 @@ from pyspark.sql import functions as F
 
 from gradelake.llm.common import stored
 
+#: Neighbours from which on a node's least neighbour is broadcast to them instead of meeting them in one task.
+HEAVY = 256
+#: Heavy nodes (about 50 bytes each) that are broadcast; more are joined by shuffle.
+BROADCAST_ROWS = 1_000_000
+
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
     """Point each neighbour at the least one: larger neighbours of every node, or smaller neighbours and the node itself."""
@@ -15,8 +20,9 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
         near = edges.unionByName(back)
     else:
         near = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    least = near.groupBy("a").agg(F.min("b").alias("m")).withColumn("m", F.least("a", "m"))
-    met = near.join(least, "a")
+    least = near.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n"))
+    least = stored(least.select("a", F.least("a", "m").alias("m"), "n"), "least")
+    met = _met(near, least)
     if large:
         out = met.where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
     else:
@@ -24,11 +30,21 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     return out.where("a <> b").distinct()
 
 
+def _met(near: DataFrame, least: DataFrame) -> DataFrame:
+    """``a, b, m``: each neighbour with the least one.  The neighbours of a heavy node stay where they are."""
+    heavy = least.where(F.col("n") > HEAVY).select("a", "m")
+    n = heavy.count()
+    if not 0 < n <= BROADCAST_ROWS:
+        return near.join(least.select("a", "m"), "a")
+    light = near.join(F.broadcast(heavy.select("a")), "a", "left_anti").join(least.where(F.col("n") <= HEAVY).select("a", "m"), "a")
+    return light.unionByName(near.join(F.broadcast(heavy), "a"))
+
+
 def components(edges: DataFrame) -> DataFrame:
     """``node, root`` for every node of an edge ``a, b``; the root is the least node of the component.
 
-    Groups are reduced in the map tasks and joined back, so a node with very many neighbours is split like any
-    skewed join.  Each round is written to the shared folder.
+    Nodes are of any type that has an order.  Least neighbours are found in the map tasks first, and those of nodes
+    with very many neighbours are broadcast, so no such node is one task.  Each round is written to the shared folder.
     """
     edges = stored(edges.select("a", "b").where("a <> b").distinct(), "edges")
     seen = None

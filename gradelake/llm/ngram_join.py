@@ -5,9 +5,12 @@
 2. Band and row counts follow from the threshold and the recall wanted there.  Class representatives are
    dealt out by their band hashes, and only bands that two of them share go on.
 3. Candidate pairs are verified on their full sets.
-4. Bands that very many representatives share are cut into blocks; a task gets two blocks with their sets and
-   returns, per representative, the number of links and a spanning forest, never the pairs.
+4. Bands that very many representatives share are cut into blocks.  Their sets are alike, so each travels only as
+   its difference to one of them, and differences give the same intersections.  A task gets two blocks and returns,
+   per representative, the number of links and a spanning forest, never the pairs.
 5. Links join into classes as connected components.
+
+Representatives are known by a 128-bit digest of their set, so ids may be null or repeated.
 """
 
 from __future__ import annotations
@@ -21,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gradelake.llm.common import frugal, stored
+from gradelake.llm.common import as_row, frugal, stored, wide_hash
 from gradelake.llm.components import components
 
 WORDS = 5
@@ -31,7 +34,7 @@ RECALL = 0.9999
 ROWS = 4
 #: Bands with more representatives than this are compared in blocks.
 HOT = 64
-BLOCK = 256
+BLOCK = 512
 #: Representatives whose sets are wanted are broadcast up to this number, else joined by shuffle.
 BROADCAST_ROWS = 1_000_000
 _KNOWN_WORDS = 300_000
@@ -93,10 +96,9 @@ def _signatures(bands: int, rows: int, width: int):
             out = []
             for text in batch.column(1).to_pylist():
                 own = shingles(text, hashes, width)
-                whole = xxhash.xxh3_128_intdigest(own.tobytes())
-                out.append(((whole >> 64) - (1 << 63), (whole & ((1 << 64) - 1)) - (1 << 63), len(own), band_hashes(own, bands, rows) if len(own) else []))
-            s1, s2, n, keys = zip(*out, strict=True) if out else [()] * 4
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(s1, pa.int64()), pa.array(s2, pa.int64()), pa.array(n, pa.int32()), pa.array(keys, pa.list_(pa.int64()))], names=["doc_id", "s1", "s2", "n", "keys"])
+                out.append((xxhash.xxh3_128_digest(own.tobytes()), len(own), band_hashes(own, bands, rows) if len(own) else []))
+            reps, n, keys = zip(*out, strict=True) if out else [()] * 3
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), batch.column(3), pa.array(reps, pa.binary()), pa.array(n, pa.int32()), pa.array(keys, pa.list_(pa.int64()))], names=["doc_id", "v1", "v2", "rep", "n", "keys"])
 
     return frugal(run)
 
@@ -105,8 +107,9 @@ def _sets(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = _Hashes()
         for batch in batches:
-            own = [shingles(t, hashes, width).view(np.int64) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(own, pa.list_(pa.int64()))], names=["rep", "own"])
+            own = [shingles(t, hashes, width) for t in batch.column(0).to_pylist()]
+            reps = pa.array([xxhash.xxh3_128_digest(x.tobytes()) for x in own], pa.binary())
+            yield pa.RecordBatch.from_arrays([reps, pa.array([x.view(np.int64) for x in own], pa.list_(pa.int64()))], names=["rep", "own"])
 
     return frugal(run)
 
@@ -138,9 +141,12 @@ def _compare(threshold: float):
         right = left if i == j else [r for r in rows if r["block"] == j]
         links = np.zeros((len(left), len(right)), bool)
         if left and right:
-            own = [[np.array(r["own"], np.int64) for r in side] for side in (left, right)]
-            sizes = [np.array([len(x) for x in side], np.float32) for side in own]
-            both = _intersections(*own)
+            own = [[np.array(r["delta"], np.int64) for r in side] for side in (left, right)]
+            apart = [np.array([len(x) for x in side], np.float32) for side in own]
+            sizes = [np.array([r["n"] for r in side], np.float32) for side in (left, right)]
+            # What tells two sets apart is in one of their differences to the leader, but not in both.
+            apart = apart[0][:, None] + apart[1][None, :] - 2 * _intersections(*own)
+            both = (sizes[0][:, None] + sizes[1][None, :] - apart) / 2
             links = both >= threshold * (sizes[0][:, None] + sizes[1][None, :] - both) - 1e-6
             # A pair that shares several hot bands counts in the first.
             earlier = sorted({k for r in (*left, *right) for k in r["hot"] if k < key})
@@ -170,7 +176,7 @@ def _compare(threshold: float):
         edges = [(r, top(r)) for r in root if top(r) != r]
         out = [(rep, None, n) for rep, n in counts] + [(rep, other, 0) for rep, other in edges]
         columns = zip(*out, strict=True) if out else [(), (), ()]
-        return pa.table([pa.array(c, pa.int64()) for c in columns], names=["rep", "other", "links"])
+        return pa.table([pa.array(c, t) for c, t in zip(columns, (pa.binary(), pa.binary(), pa.int64()), strict=True)], names=["rep", "other", "links"])
 
     return run
 
@@ -191,39 +197,37 @@ def _pairs(members: DataFrame, sets: DataFrame, hot: DataFrame | None, threshold
     return met.where(F.col("both") >= threshold * (F.col("n") - F.col("both")) - 1e-6).drop("n", "both")
 
 
-def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL, width: int = WORDS, rows: int = ROWS, hot_size: int = HOT, block: int = BLOCK) -> DataFrame:
-    """``doc_id, rep_id, class_id, n_links`` for every row.
-
-    ``rep_id`` is the least id among texts with the same shingles, ``class_id`` the least id of all that links
-    lead to, and ``n_links`` the number of other rows with a Jaccard similarity of at least ``threshold``.
-    Words are what blanks part, in lower case.  Null and blank texts have no shingles: each is a class of its
-    own without links.  An id names one text: rows that repeat it are copies, and texts that share it one class.  A null id has ``rep_id`` and ``class_id`` null and
-    no links.  Other columns are ignored; an empty table gives an empty result.
-    """
+def _classes(docs: DataFrame, threshold: float, recall: float, width: int, rows: int, hot_size: int, block: int) -> tuple[DataFrame, DataFrame]:
+    """Per row ``doc_id, v1, v2, rep``, with a null ``rep`` if there are no words; per representative ``rep, rep_id, class_id, keep, n_links``."""
     bands = band_count(threshold, recall, rows)
-    docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    named = docs.where("doc_id is not null")
-    signed = stored(named.mapInArrow(_signatures(bands, rows, width), "doc_id bigint, s1 bigint, s2 bigint, n int, keys array<bigint>"), "signatures")
-    worded = signed.where("n > 0")
-    reps = stored(worded.groupBy("s1", "s2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("keys").alias("keys")), "representatives")
-
-    members = reps.select("rep", "copies", "n", F.explode("keys").alias("key"))
+    v1, v2 = wide_hash(F.col("text"))
+    docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), v1.alias("v1"), v2.alias("v2"))
+    signed = stored(docs.mapInArrow(_signatures(bands, rows, width), "doc_id bigint, v1 bigint, v2 bigint, rep binary, n int, keys array<bigint>"), "signatures")
+    # A text names the rows that hold it; null ids come last.
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "v1", "v2")).alias("first")
+    reps = stored(signed.where("n > 0").groupBy("rep").agg(first, F.count("*").alias("copies"), F.first("n").alias("n"), F.first("keys").alias("keys")), "representatives")
+
+    members = reps.select("rep", "copies", "n", "first", F.explode("keys").alias("key"))
     sizes = members.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
     members = stored(members.join(sizes, "key"), "band-members")
-    wanted = members.select(F.col("rep").alias("doc_id")).distinct()
+    wanted = members.select("first.v1", "first.v2").distinct()
     small = F.broadcast if members.count() <= BROADCAST_ROWS else lambda df: df
-    sets = named.join(small(wanted), "doc_id").mapInArrow(_sets(width), "rep bigint, own array<bigint>").dropDuplicates(["rep"])
-    sets = stored(sets, "shingle-sets")
+    texts = docs.join(small(wanted), ["v1", "v2"], "left_semi").select("v1", "v2", "text")
+    sets = stored(texts.dropDuplicates(["v1", "v2"]).select("text").mapInArrow(_sets(width), "rep binary, own array<bigint>"), "shingle-sets")
+    members = members.drop("first")
 
     frequent = members.where(F.col("size") > hot_size)
     hot = links = forest = None
     if not frequent.isEmpty():
         hot = stored(frequent.groupBy("rep").agg(F.sort_array(F.collect_set("key")).alias("hot")), "hot-bands")
+        leaders = frequent.groupBy("key").agg(F.min("rep").alias("leader"))
+        leaders = stored(leaders.join(sets.withColumnRenamed("rep", "leader"), "leader").select("key", F.col("own").alias("common")), "hot-leaders")
+        close = F.concat(F.array_except("own", "common"), F.array_except("common", "own"))
+        met = frequent.join(sets, "rep").join(hot, "rep").join(small(leaders), "key").select("key", "size", "rep", "copies", "n", "hot", close.alias("delta"))
         n = F.ceil(F.col("size") / block)
-        cells = frequent.withColumn("block", F.pmod(F.xxhash64("rep"), n)).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), n - 1)))
-        cells = cells.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "rep", "copies")
-        cells = cells.join(hot, "rep").join(sets, "rep")
-        compared = stored(cells.groupBy("key", "i", "j").applyInArrow(_compare(threshold), "rep bigint, other bigint, links bigint"), "hot-links")
+        cells = stored(met, "hot-members").withColumn("block", F.pmod(F.xxhash64("rep"), n)).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), n - 1)))
+        cells = cells.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "rep", "copies", "n", "hot", "delta")
+        compared = stored(cells.groupBy("key", "i", "j").applyInArrow(_compare(threshold), "rep binary, other binary, links bigint"), "hot-links")
         links = compared.where("other is null").select("rep", "links")
         forest = compared.where("other is not null").select(F.col("rep").alias("a"), F.col("other").alias("b"))
     pairs = stored(_pairs(members.where(F.col("size") <= hot_size), sets, hot, threshold), "links")
@@ -235,23 +239,52 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, recall: float
     roots = components(edges).withColumnRenamed("node", "rep")
     counts = counts.groupBy("rep").agg(F.sum("links").alias("links"))
     known = reps.join(roots, "rep", "left").join(counts, "rep", "left")
-    known = stored(known.select("s1", "s2", F.col("rep").alias("rep_id"), F.coalesce("root", "rep").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")), "classes")
-    own = worded.select("doc_id", "s1", "s2").join(known, ["s1", "s2"]).select("doc_id", "rep_id", "class_id", "n_links")
-    none = F.lit(0).cast("long").alias("n_links")
-    alone = signed.where("n = 0").select("doc_id", F.col("doc_id").alias("rep_id"), F.col("doc_id").alias("class_id"), none)
-    unnamed = docs.where("doc_id is null").select("doc_id", F.col("doc_id").alias("rep_id"), F.col("doc_id").alias("class_id"), none)
-    return own.unionByName(alone).unionByName(unnamed)
+    known = stored(known.select("rep", "first", F.coalesce("root", "rep").alias("root"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")), "class-members")
+    keepers = stored(known.groupBy("root").agg(F.min("first").alias("keep")), "class-keepers")
+    known = known.join(keepers, "root").select("rep", F.col("first.doc_id").alias("rep_id"), F.col("keep.doc_id").alias("class_id"), "keep", "n_links")
+    return signed.select("doc_id", "v1", "v2", F.when(F.col("n") > 0, F.col("rep")).alias("rep")), stored(known, "classes")
+
+
+def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL, width: int = WORDS, rows: int = ROWS, hot_size: int = HOT, block: int = BLOCK) -> DataFrame:
+    """``doc_id, rep_id, class_id, n_links`` for every row.
+
+    ``rep_id`` is the least id among rows with the same shingles, ``class_id`` the least id of all that links lead
+    to, and ``n_links`` the number of other rows with a Jaccard similarity of at least ``threshold``.  Words are
+    what blanks part, in lower case; a text of fewer than ``width`` words is one shingle.
+
+    Null and blank texts have no shingles: each is a class of its own without links.  Rows are told apart by their
+    texts, so equal ids of different texts are different rows, and rows without an id link like any other; ids are
+    null where no row of the group has one.  Repeated rows are copies of each other.  Texts of any length are
+    taken whole.  Other columns are ignored; an empty table gives an empty result.
+    """
+    signed, known = _classes(docs, threshold, recall, width, rows, hot_size, block)
+    own = signed.where("rep is not null").join(known.drop("keep"), "rep").select("doc_id", "rep_id", "class_id", "n_links")
+    alone = signed.where("rep is null").select("doc_id", F.col("doc_id").alias("rep_id"), F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"))
+    return own.unionByName(alone)
 
 
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
-    """``docs`` with one document of each class, that of the least id, and one row of each id; rows with a null id stay."""
-    found = stored(near_duplicates(docs).select("doc_id", "class_id").where("doc_id is not null"), "near-duplicates")
-    lost = found.where("doc_id <> class_id").select("doc_id").distinct()
-    small = F.broadcast if lost.count() <= BROADCAST_ROWS else lambda df: df
-    kept = docs.join(small(lost), "doc_id", "left_anti").select(*docs.columns)
-    if found.groupBy("doc_id").count().where("count > 1").isEmpty():
-        return kept
-    return kept.where("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(kept.where("doc_id is null"))
+    """``docs`` with one row of each class, that of the least id (null last), then the least hash of its text.
+
+    Of rows that repeat both, one stays.  Rows without words all stay.  Columns are as they were, whatever they are
+    called.  Other cases are as in :func:`near_duplicates`.
+    """
+    signed, known = _classes(docs, THRESHOLD, RECALL, WORDS, ROWS, HOT, BLOCK)
+    own = signed.where("rep is not null").join(known.select("rep", "keep"), "rep")
+    kept = F.col("doc_id").eqNullSafe(F.col("keep.doc_id")) & (F.col("v1") == F.col("keep.v1")) & (F.col("v2") == F.col("keep.v2"))
+    own = stored(own.select("doc_id", "v1", "v2", kept.alias("kept")), "near-duplicates")
+    key = ["doc_id", "v1", "v2"]
+    lost = own.where("not kept").select(*key).distinct()
+    again = own.where("kept").groupBy(*key).count().where("count > 1").select(*key)
+    v1, v2 = wide_hash(F.col("text").cast("string"))
+    rows = docs.select(as_row(docs), F.col("doc_id").cast("long").alias("doc_id"), v1.alias("v1"), v2.alias("v2"))
+    same = F.expr("d.doc_id <=> l.doc_id and d.v1 = l.v1 and d.v2 = l.v2")
+    small = lambda df: F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+    out = rows.alias("d").join(small(lost).alias("l"), same, "left_anti")
+    if again.isEmpty():
+        return out.select("row.*")
+    once = out.alias("d").join(small(again).alias("l"), same, "left_semi").groupBy(*key).agg(F.first("row").alias("row"))
+    return out.alias("d").join(small(again).alias("l"), same, "left_anti").select("row").unionByName(once.select("row")).select("row.*")
 
 
 def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:

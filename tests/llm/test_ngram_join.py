@@ -5,6 +5,7 @@ import random
 import duckdb
 import pytest
 
+from gradelake.llm import components as components_module
 from gradelake.llm.components import components
 from gradelake.llm.ngram_join import band_count, drop_near_duplicates, near_duplicates
 
@@ -65,21 +66,37 @@ def test_families(docs, options):
 
 
 def test_edges(docs):
-    rows = [(5, "one two"), (3, "One  two\n"), (9, None), (8, ""), (7, " \t"), (None, "one two"), (2, "a b c d e f"), (2, "a b c d e f"), (1, "word " * 30_000)]
+    rows = [(5, "one two"), (3, "One  two\n"), (9, None), (8, ""), (7, " \t"), (None, "one two"), (2, "a b c d e f"), (2, "a b c d e f"), (1, "word " * 30_000), (None, "p q r s t u"), (None, "p q r s t u")]
     df = docs(rows, extra=True)
     out = sorted(((r.doc_id, r.rep_id, r.class_id, r.n_links) for r in near_duplicates(df).collect()), key=str)
-    assert out == sorted([(5, 3, 3, 1), (3, 3, 3, 1), (9, 9, 9, 0), (8, 8, 8, 0), (7, 7, 7, 0), (None, None, None, 0), (2, 2, 2, 1), (2, 2, 2, 1), (1, 1, 1, 0)], key=str)
+    assert out == sorted([(5, 3, 3, 2), (3, 3, 3, 2), (9, 9, 9, 0), (8, 8, 8, 0), (7, 7, 7, 0), (None, 3, 3, 2), (2, 2, 2, 1), (2, 2, 2, 1), (1, 1, 1, 0), (None, None, None, 1), (None, None, None, 1)], key=str)
     kept = drop_near_duplicates(df)
     assert kept.columns == df.columns
-    assert sorted((r.doc_id for r in kept.collect()), key=str) == sorted([3, 9, 8, 7, None, 2, 1], key=str)
-    assert near_duplicates(docs([])).count() == 0
+    got = kept.collect()
+    assert sorted((r.doc_id for r in got), key=str) == sorted([3, 9, 8, 7, 2, 1, None], key=str)
+    clash = [c for c in df.columns if c not in ("doc_id", "text", "lang", "source", "n_chars")]
+    assert all(r[c] == "x" for r in got for c in clash)
+    assert near_duplicates(docs([])).count() == 0 and drop_near_duplicates(docs([])).count() == 0
+
+
+def test_equal_ids_of_different_texts(docs):
+    """No clean text is lost, and links of every text of an id are found."""
+    rng = random.Random(3)
+    one, two, other = family(rng, 3, 60, 2), family(rng, 3, 60, 2), family(rng, 1, 60, 1)
+    rows = [(1, one[0]), (1, two[0]), (2, one[1]), (2, two[1]), (3, one[2]), (3, two[2]), (1, other[0])]
+    own = [{"one": one, "two": two, "other": other}[x] for x in ("one", "two", "other")]
+    kept = {r.text for r in drop_near_duplicates(docs(rows)).collect()}
+    assert [len(kept & set(x)) for x in own] == [1, 1, 1]
+    assert sorted((r.doc_id, r.n_links) for r in near_duplicates(docs(rows)).collect()) == [(1, 0), (1, 2), (1, 2), (2, 2), (2, 2), (3, 2), (3, 2)]
 
 
 def test_band_count():
     assert 1 - (1 - 0.8**4) ** band_count(0.8, 0.9999, 4) >= 0.9999
 
 
-def test_components(spark):
+@pytest.mark.parametrize("heavy", [components_module.HEAVY, 5])
+def test_components(spark, monkeypatch, heavy):
+    monkeypatch.setattr(components_module, "HEAVY", heavy)
     rng = random.Random(6)
     edges = [(i, i + 1) for i in range(60)] + [(1000 + rng.randrange(200), 1000 + rng.randrange(200)) for _ in range(150)] + [(5000, 5001 + i) for i in range(50)]
     root = {}
