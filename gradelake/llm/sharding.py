@@ -5,8 +5,9 @@ or clockwise of its hash.  A shard takes rows up to its bound.  What overflows c
 the first shards that still have room, first come first served.  With the bounds ``floor`` or ``ceil`` of
 rows by shards, counts are at most one apart, and all but the overflow (a few per cent) stay at home.
 
-Only counts per arc travel: ``shards * vnodes`` rows, whatever the size of the input.  Rows are then ranked
-within their arc and look up the segment of the arc that holds their rank.
+Only counts travel to the plan: per arc, ``shards * vnodes`` rows whatever the size of the input.  Equal rows are
+one entry with a count.  Entries are ranked in cells of the ring, each cut by a hash into ``PARTS`` parts, so no id
+or cell is one task; each rank then looks up the segment of its arc that holds it.
 """
 
 from __future__ import annotations
@@ -14,10 +15,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from gradelake.llm.common import stored
+
 SHARDS = 40
 VNODES = 64
 #: Cells of the ring; a point and a row's hash are cells, so the ring is a table of fixed size.
 CELLS = 1 << 16
+#: Parts of a cell, by the hash of the whole row.
+PARTS = 16
+#: Equal rows that are dealt out in one go.
+COPIES = 4096
 
 
 def ring(spark: SparkSession, shards: int, vnodes: int) -> DataFrame:
@@ -84,20 +91,33 @@ def shard_rows(docs: DataFrame, shards: int = SHARDS, vnodes: int = VNODES) -> D
     """Place every row: ``doc_id, size, text_crc32, law, shard, slot, grown_shard``, plus ``home``, the shard without bounds.
 
     The law is ``rows``: counts are at most one apart.  ``size`` is the text's UTF-8 bytes plus 16; a null text
-    has 16 and the crc of the empty text.  Rows are placed by ``doc_id``, and a null id is placed like any
-    other.  Rows of one id share an arc and are ordered by size and crc; equal rows are interchangeable.
-    Other columns are ignored; an empty table gives an empty result.
+    has 16 and the crc of the empty text; texts of any length are measured whole.  Rows are placed by ``doc_id``,
+    and a null id is placed like any other.  Rows of one id share an arc and are ordered by a hash, then size and
+    crc; equal rows are interchangeable.  Other columns are ignored; an empty table gives an empty result.
     """
     spark = docs.sparkSession
     text = F.coalesce(F.col("text"), F.lit(""))
+    rows = docs.select("doc_id", (F.octet_length(text) + 16).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"))
+    own = ["doc_id", "size", "text_crc32"]
+    part = F.pmod(F.xxhash64(F.lit("part"), *own), F.lit(PARTS)).cast("int")
+    same = stored(rows.groupBy(*own).agg(F.count("*").alias("n")).select(*own, cell_of(F.col("doc_id")).alias("cell"), part.alias("part"), "n"), "shard-rows")
+
     wheel = F.broadcast(ring(spark, shards, vnodes))  # CELLS rows, whatever the data
-    counts = docs.select(cell_of(F.col("doc_id")).alias("cell")).groupBy("cell").count()
-    arcs = ring(spark, shards, vnodes).join(F.broadcast(counts), "cell", "left").groupBy("arc", "owner").agg(F.coalesce(F.sum("count"), F.lit(0)).alias("n"))
+    counts = stored(same.groupBy("cell", "part").agg(F.sum("n").alias("n")), "shard-counts")
+    arcs = ring(spark, shards, vnodes).join(F.broadcast(counts.groupBy("cell").agg(F.sum("n").alias("n"))), "cell", "left").groupBy("arc", "owner").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"))
     plan = segments(arcs, shards)
-    rows = docs.select("doc_id", (F.octet_length(text) + 16).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), cell_of(F.col("doc_id")).alias("cell")).join(wheel, "cell")
-    ranked = rows.withColumn("rank", F.row_number().over(Window.partitionBy("arc").orderBy("cell", "doc_id", "size", "text_crc32")) - 1)
+    earlier = Window.partitionBy("arc").orderBy("cell", "part").rowsBetween(Window.unboundedPreceding, -1)
+    before = counts.join(wheel, "cell").select("cell", "part", "arc", "owner", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"))
+    inside = Window.partitionBy("cell", "part").orderBy(*own).rowsBetween(Window.unboundedPreceding, -1)
+    first = F.col("before") + F.coalesce(F.sum("n").over(inside), F.lit(0))
+    ranked = same.join(stored(before, "shard-offsets"), ["cell", "part"]).select(*own, "arc", "owner", "n", first.alias("from"))
+    # Equal rows are told apart again in steps, so very many of them are spread over tasks.
+    steps = ranked.select(*own, "arc", "owner", "n", "from", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1, F.lit(COPIES).cast("long"))).alias("step"))
+    if not same.where(F.col("n") > COPIES).isEmpty():
+        steps = steps.repartition("arc", "from", "step")
+    ranked = steps.select(*own, "arc", "owner", (F.col("from") + F.explode(F.sequence(F.col("step"), F.least(F.col("step") + COPIES, "n") - 1))).alias("rank"))
     placed = ranked.join(F.broadcast(plan), (ranked.arc == plan.arc) & (ranked["rank"] >= plan.low) & (ranked["rank"] < plan.high))
-    return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", (F.col("first") + F.col("rank") - F.col("low")).alias("slot"), F.lit(None).cast("int").alias("grown_shard"), F.col("owner").alias("home"))
+    return placed.select(*own, F.lit("rows").alias("law"), "shard", (F.col("first") + F.col("rank") - F.col("low")).alias("slot"), F.lit(None).cast("int").alias("grown_shard"), F.col("owner").alias("home"))
 
 
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
