@@ -62,18 +62,21 @@ def statistics(scans: DataFrame) -> DataFrame:
     )
 
 
-def strided(listing: DataFrame, order: str, target: int) -> DataFrame:
-    """Every n-th row of a listing, so that about ``target`` are left.
+def strided(listing: DataFrame, order: str, target: int, ranges: int = 64) -> DataFrame:
+    """Every n-th row of a listing, so that about ``target`` are left; ``order`` is unique.
 
-    Positions come from counts per range, so no task numbers all rows.
+    Rows are cut into ranges of ``order`` at fixed values, so a position is the count of the ranges before it and
+    the rank within its own: no task numbers all rows.  The values come from a sample of about 100 rows per range,
+    which only decides how even the ranges are.
     """
-    step = max(1, listing.count() // target)
-    ranged = listing.repartitionByRange(order).withColumn("_part", F.spark_partition_id()).sortWithinPartitions(order)
-    counts = {r["_part"]: r["n"] for r in ranged.groupBy("_part").agg(F.count("*").alias("n")).collect()}
-    before, offsets = 0, F.lit(0)
-    for part in sorted(counts):
-        offsets = F.when(F.col("_part") == part, before).otherwise(offsets)
-        before += counts[part]
-    own = Window.partitionBy("_part").orderBy(order)
-    place = F.row_number().over(own) - 1 + offsets
-    return ranged.withColumn("_place", place).where((F.col("_place") % step == 0) & (F.col("_place") < step * target)).drop("_part", "_place")
+    n = listing.count()
+    step = max(1, n // target)
+    sample = listing.select(order).sample(min(1.0, 100.0 * ranges / max(1, n)), seed=7).orderBy(order).limit(400 * ranges).collect()
+    cuts = sorted({sample[len(sample) * i // ranges][0] for i in range(1, ranges)}) if sample else []
+    part = sum((F.coalesce(F.col(order) >= F.lit(c), F.lit(False)).cast("int") for c in cuts), F.lit(0))
+    ranged = listing.withColumn("_part", part)
+    before = Window.partitionBy(F.lit(0)).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = ranged.groupBy("_part").agg(F.count("*").alias("_n")).select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    place = F.row_number().over(Window.partitionBy("_part").orderBy(order)) - 1 + F.col("_before")
+    placed = ranged.join(F.broadcast(offsets), "_part").withColumn("_place", place)  # a row per range
+    return placed.where((F.col("_place") % step == 0) & (F.col("_place") < step * target)).select(*listing.columns)

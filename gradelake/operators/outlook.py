@@ -25,10 +25,14 @@ def ladder(df: DataFrame, keys: list[str], top: int = 3) -> DataFrame:
 
     A few dozen constant rungs are exploded per row; the softmax is taken within the row's own rungs.
     """
-    steps = F.explode(F.array(*[F.struct(F.lit(c).alias("company"), F.lit(s).alias("strictness"), F.array(*map(F.lit, rungs(h))).alias("grades")) for c, s, h in COMPANIES]))
+    steps = F.explode(F.array(*[F.struct(F.lit(c).alias("company"), F.lit(s).alias("strictness"), F.array(*map(F.lit, rungs(h))).alias("grades"), F.lit(h).alias("halves")) for c, s, h in COMPANIES]))
     out = df.select(*keys, "overall", "confidence", steps.alias("x")).select(*keys, "overall", "confidence", "x.*")
     score = lambda g: -F.abs(g - (F.col("overall") - F.col("strictness"))) / (F.lit(1.6) - F.col("confidence"))
-    out = out.withColumn("best", F.array_max(F.transform("grades", score)))
+    # The nearest grade in closed form; a maximum over the array would be taken again for every rung.
+    at = F.col("overall") - F.col("strictness")
+    whole = F.least(F.lit(10.0), F.greatest(F.lit(1.0), F.rint(at)))
+    half = F.least(F.lit(10.0), F.greatest(F.lit(5.0), F.rint(at * 2.0) / 2.0))
+    out = out.withColumn("best", F.greatest(score(whole), F.when(F.col("halves"), score(half))))
     weighed = F.transform("grades", lambda g: F.struct(F.exp((score(g) - F.col("best")) * SHARPNESS).alias("w"), g.alias("grade")))
     out = out.withColumn("weighed", weighed)
     total = F.aggregate("weighed", F.lit(0.0), lambda s, x: s + x["w"])

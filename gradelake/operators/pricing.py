@@ -16,23 +16,41 @@ VARIANTS = ["holofoil", "reverseHolofoil", "1stEditionHolofoil", "unlimitedHolof
 MULTIPLES = {10: 5.0, 9: 2.0, 8: 1.3, 7: 1.0, 6: 0.9, 5: 0.8}
 
 
+#: Characters of a name's words that requests are joined by.
+PREFIX = 3
+
+
+def matching_names(asked: DataFrame, names: DataFrame) -> DataFrame:
+    """``asked, name``: which distinct ``name`` each distinct ``asked`` fits; every word asked begins a word of the name.
+
+    Joined on the first characters of the request's longest word: as many as ``PREFIX``, or all it has.
+    """
+    tokens = F.filter(F.split(F.lower(F.regexp_replace("asked", r"[^A-Za-z0-9 '.\-]", " ")), r"\s+"), lambda t: t != "")
+    longest = F.array_max(F.transform(tokens, lambda t: F.struct(F.length(t).alias("n"), t.alias("t"))))["t"]
+    keyed = asked.select("asked").distinct().withColumn("key", F.substring(longest, 1, PREFIX))
+    heads = F.flatten(F.transform(F.split(F.lower("name"), " +"), lambda w: F.array(*[F.substring(w, 1, i) for i in range(1, PREFIX + 1)])))
+    words = names.select("name").distinct().withColumn("key", F.explode(F.array_distinct(heads)))
+    return keyed.join(words, "key").where(T.word_prefixes(F.col("name"), F.col("asked"))).select("asked", "name").distinct()
+
+
 def search(requests: DataFrame, catalog: DataFrame, page: int = PAGE) -> DataFrame:
     """The newest ``page`` catalog rows of each request: every word asked begins a word of the name, and the number is equal.
 
     A request with a number that finds nothing is answered without its number.  Requests with a name of under
-    two characters are left out.  The join is by the first letters of the request's first word, so only names
-    that can match meet.
+    two characters are left out.  Names are matched once each.  Of every name, and of every name and number, only the
+    newest ``page`` rows can be among the answers, so the others are cut before requests meet them.
     """
-    asked = requests.where(F.length(F.trim("name")) >= 2).select("query_id", F.col("name").alias("_asked"), T.collector_number(F.col("number")).alias("_number"))
-    first = F.get(F.filter(F.split(F.lower(F.regexp_replace("_asked", r"[^A-Za-z0-9 '.\-]", " ")), r"\s+"), lambda t: t != ""), 0)
-    asked = asked.withColumn("_key", F.substring(first, 1, 1))
-    words = catalog.withColumn("_key", F.explode(F.array_distinct(F.transform(F.split(F.lower("name"), " +"), lambda w: F.substring(w, 1, 1)))))
-    met = asked.join(words, "_key").where(T.word_prefixes(F.col("name"), F.col("_asked")))
-    hit = (F.col("_number").isNull() | (T.collector_number(F.col("number")) == F.col("_number"))).cast("int")
-    met = met.withColumn("_hit", F.coalesce(hit, F.lit(0))).withColumn("_any", F.max("_hit").over(Window.partitionBy("query_id")))
-    newest = Window.partitionBy("query_id").orderBy(F.col("release_date").desc_nulls_last(), "id")
-    met = met.where("_hit = _any").withColumn("found_at", F.row_number().over(newest)).where(F.col("found_at") <= page)
-    return met.drop("_key", "_any", "_asked").withColumn("numbered", F.col("_number").isNotNull() & (F.col("_hit") == 1)).drop("_hit", "_number")
+    asked = requests.where(F.length(F.trim("name")) >= 2).select("query_id", F.col("name").alias("asked"), T.collector_number(F.col("number")).alias("_number"))
+    met = asked.join(matching_names(asked, catalog), "asked").select("query_id", "_number", "name")
+    rows = catalog.withColumn("_own", T.collector_number(F.col("number")))
+    newest = [F.col("release_date").desc_nulls_last(), "id"]
+    cut = lambda *keys: rows.withColumn("_at", F.row_number().over(Window.partitionBy(*keys).orderBy(*newest))).where(F.col("_at") <= page).drop("_at")
+    numbered = met.where("_number is not null").join(cut("name", "_own").withColumnRenamed("_own", "_number"), ["name", "_number"])
+    found = numbered.select("query_id").distinct()
+    other = met.join(found, "query_id", "left_anti").join(cut("name").drop("_own"), "name")
+    columns = ["query_id", *catalog.columns]
+    both = numbered.select(*columns, F.lit(True).alias("numbered")).unionByName(other.select(*columns, F.lit(False).alias("numbered")))
+    return both.withColumn("found_at", F.row_number().over(Window.partitionBy("query_id").orderBy(*newest))).where(F.col("found_at") <= page)
 
 
 def pick_price(variants: Column, trend: Column, average: Column) -> Column:
@@ -51,7 +69,7 @@ def pick_price(variants: Column, trend: Column, average: Column) -> Column:
 def ranked(found: DataFrame, requests: DataFrame, shown: int = SHOWN) -> DataFrame:
     """Search results in order: equal number, equal printed total, priced, newest; ``shown`` per request."""
     asked = requests.select("query_id", T.collector_number(F.col("number")).alias("_number"), T.printed_total(F.col("number")).alias("_total"))
-    met = found.join(asked, "query_id")
+    met = found.join(asked, "query_id", "left")
     yes = lambda c: F.coalesce(c, F.lit(False)).cast("int").desc()
     order = Window.partitionBy("query_id").orderBy(yes(T.collector_number(F.col("number")) == F.col("_number")), yes(F.col("printed_total") == F.col("_total")), F.col("raw").isNotNull().cast("int").desc(), F.coalesce("release_date", F.lit("")).desc(), "found_at")
     return met.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= shown).drop("_number", "_total")

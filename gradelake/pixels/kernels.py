@@ -58,8 +58,8 @@ def laplacian(plane: np.ndarray) -> np.ndarray:
 
 
 def least_squares(u: np.ndarray, v: np.ndarray) -> tuple[float, float] | None:
-    """``v = a u + b``, fitted once more without points over two standard deviations off."""
-    if len(u) < 2:
+    """``v = a u + b``, fitted once more without points two standard deviations off or more; four points at least."""
+    if len(u) < 4:
         return None
 
     def fit(u: np.ndarray, v: np.ndarray) -> tuple[float, float]:
@@ -70,12 +70,12 @@ def least_squares(u: np.ndarray, v: np.ndarray) -> tuple[float, float] | None:
 
     a, b = fit(u, v)
     off = v - a * u - b
-    near = np.abs(off) <= 2 * max(float(np.sqrt((off**2).mean())), 1e-9)
-    return fit(u[near], v[near]) if 2 <= near.sum() < len(u) else (a, b)
+    near = np.abs(off) < 2 * (float(np.sqrt((off**2).mean())) or 1.0)
+    return fit(u[near], v[near]) if 4 <= near.sum() < len(u) else (a, b)
 
 
 def draws(n: int, rounds: int) -> np.ndarray:
-    """Pairs of point numbers from a linear congruential generator seeded by the number of points."""
+    """Pairs of point numbers from a linear congruential generator seeded by the number of points.  Fixed values: its constants."""
     state, out = (n * 2654435761) & 0xFFFFFFFF, np.empty((rounds, 2), np.int64)
     for i in range(2 * rounds):
         state = (state * 1664525 + 1013904223) & 0xFFFFFFFF
@@ -119,6 +119,8 @@ def side_points(strong: np.ndarray) -> dict[str, tuple[np.ndarray, np.ndarray]]:
 def meet(upright: tuple[float, float], level: tuple[float, float]) -> tuple[float, float]:
     """Where ``x = a y + b`` meets ``y = c x + d``."""
     (a, b), (c, d) = upright, level
+    if abs(1 - a * c) < 1e-9:
+        return float("nan"), float("nan")  # parallels
     y = (c * b + d) / (1 - a * c)
     return a * y + b, y
 
@@ -143,7 +145,7 @@ def shape_of(quad: np.ndarray) -> Shape:
     turns = before[:, 0] * sides[:, 1] - before[:, 1] * sides[:, 0]
     ratio = min(min(top, bottom) / max(top, bottom, 1e-9), min(left, right) / max(left, right, 1e-9))
     width, height = (top + bottom) / 2, (left + right) / 2
-    return Shape(width * height, width / max(height, 1e-9), ratio, float(lengths.min()), float(np.abs(np.degrees(np.arccos(np.clip(cosine, -1, 1))) - 90).max()), bool((turns > 0).all() or (turns < 0).all()))
+    return Shape(width * height, width / max(height, 1e-9), ratio, float(lengths.min()), float(np.abs(np.degrees(np.arccos(np.clip(cosine, -1, 1))) - 90).max()), bool((turns >= 0).all() or (turns <= 0).all()))
 
 
 def blown_share(rgb: np.ndarray, quad: np.ndarray) -> float:

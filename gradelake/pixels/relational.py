@@ -70,11 +70,15 @@ def histogram_percentiles(gray: DataFrame, parts: list[float]) -> DataFrame:
 
 
 def first_edges(gradient: DataFrame, threshold: float, side: str, w: int, h: int, step: int = 3) -> DataFrame:
-    """The first pixel above the threshold on every ``step``-th line, from one side to 45 % of the frame."""
+    """The first pixel above the threshold on every ``step``-th line of the middle, from the third pixel of a side on.
+
+    The search ends before 45 % of the frame; from the right and the bottom one pixel earlier.
+    """
     axis, line, length, lines = ("x", "y", w, h) if side in ("left", "right") else ("y", "x", h, w)
     depth = F.col(axis) if side in ("left", "top") else F.lit(length - 1) - F.col(axis)
     first, last = int(lines * 0.15), int(lines * 0.85)
-    seen = gradient.where((F.col(line) >= first) & (F.col(line) <= last) & ((F.col(line) - first) % step == 0) & (depth >= 2) & (depth < length * 0.45) & (F.col("v") > threshold))
+    reach = int(length * 0.45) - (side in ("right", "bottom"))
+    seen = gradient.where((F.col(line) >= first) & (F.col(line) < last) & ((F.col(line) - first) % step == 0) & (depth >= 2) & (depth < reach) & (F.col("v") > threshold))
     return seen.groupBy("image", F.col(line).alias("line")).agg(F.min(depth).alias("depth"))
 
 
@@ -105,8 +109,9 @@ def whitened(ref: tuple[Column, Column, Column]) -> Column:
     return (F.greatest(r, g, b) - F.least(r, g, b) < 46) & (light >= 160) & (light >= ref_light + 25) & far
 
 
-def mean_color(rows: DataFrame) -> DataFrame:
-    return rows.groupBy("image").agg(*[F.coalesce(F.avg(c), F.lit(128.0)).alias(f"ref_{c}") for c in "rgb"])
+def mean_color(pixels: DataFrame, reference: Column) -> DataFrame:
+    """Mean colour of each image's reference pixels; 128 where it has none."""
+    return pixels.groupBy("image").agg(*[F.coalesce(F.avg(F.when(reference, F.col(c))), F.lit(128.0)).alias(f"ref_{c}") for c in "rgb"])
 
 
 def edge_profile(pixels: DataFrame, side: str, w: int, h: int) -> DataFrame:
@@ -114,9 +119,10 @@ def edge_profile(pixels: DataFrame, side: str, w: int, h: int) -> DataFrame:
     axis, line, length, lines = ("x", "y", w, h) if side in ("left", "right") else ("y", "x", h, w)
     depth = F.col(axis) if side in ("left", "top") else F.lit(length - 1) - F.col(axis)
     skip = int(lines * 0.08 + 0.5)
-    strip = pixels.withColumn("t", F.col(line)).withColumn("d", depth).where((F.col("t") >= skip) & (F.col("t") < lines - skip))
-    reference = mean_color(strip.where((F.col("d") >= 12) & (F.col("d") < 20) & ((F.col("t") - skip) % 2 == 0)))
-    own = strip.where((F.col("d") >= 3) & (F.col("d") < 11) & ((F.col("t") - skip) % 2 == 0)).join(reference, "image")
+    rows = pixels.withColumn("t", F.col(line)).withColumn("d", depth)
+    strip = (F.col("t") >= skip) & (F.col("t") < lines - skip) & ((F.col("t") - skip) % 2 == 0)
+    reference = mean_color(rows, strip & (F.col("d") >= 12) & (F.col("d") < 20))
+    own = rows.where(strip & (F.col("d") >= 3) & (F.col("d") < 11)).join(reference, "image")
     white = whitened((F.col("ref_r"), F.col("ref_g"), F.col("ref_b"))).cast("int")
     return own.groupBy("image", "t").agg(F.avg(white).alias("white"))
 
@@ -139,7 +145,7 @@ def corner_whitening(pixels: DataFrame, corner: str, w: int, h: int, share: floa
     x0, y0 = (0 if left else w - size), (0 if top else h - size)
     rx, ry = (size if left else w - size * 2), (int(size * 0.25 + 0.5) if top else h - int(size * 0.75 + 0.5))
     beside = (F.col("x") >= rx) & (F.col("x") < rx + size) & (F.col("y") >= ry) & (F.col("y") < ry + int(size / 2 + 0.5)) & ((F.col("x") - rx) % 2 == 0) & ((F.col("y") - ry) % 2 == 0)
-    own = pixels.where((F.col("x") >= x0) & (F.col("x") < x0 + size) & (F.col("y") >= y0) & (F.col("y") < y0 + size)).join(mean_color(pixels.where(beside)), "image")
+    own = pixels.where((F.col("x") >= x0) & (F.col("x") < x0 + size) & (F.col("y") >= y0) & (F.col("y") < y0 + size)).join(mean_color(pixels, beside), "image")
     u = F.lit(size) - (F.col("x") - x0) if left else F.col("x") - x0
     v = F.lit(size) - (F.col("y") - y0) if top else F.col("y") - y0
     white = whitened((F.col("ref_r"), F.col("ref_g"), F.col("ref_b"))).cast("int")
@@ -153,10 +159,18 @@ def surface_grid(pixels: DataFrame, w: int, h: int, inset_share: float = 0.055,
     gray = pixels.withColumn("v", luma()).select("image", "y", "x", "r", "g", "b", "v")
     smooth = box_blur(box_blur(gray)).withColumnRenamed("v", "smooth").withColumn("gray", luma())
     inner = smooth.where((F.col("x") >= inset) & (F.col("x") < w - inset) & (F.col("y") >= inset) & (F.col("y") < h - inset))
-    inner = inner.withColumn("gx", F.least(F.lit(columns - 1), F.floor((F.col("x") - inset) / cell_w).cast("int"))).withColumn("gy", F.least(F.lit(rows - 1), F.floor((F.col("y") - inset) / cell_h).cast("int")))
-    sampled = ((F.col("x") - F.floor(F.col("gx") * cell_w + inset)) % 3 == 0) & ((F.col("y") - F.floor(F.col("gy") * cell_h + inset)) % 3 == 0)
-    variance = sum((F.coalesce(F.var_pop(F.when(sampled, F.col(c))), F.lit(0.0)) for c in "rgb"), F.lit(0.0))
-    cells = inner.groupBy("image", "gy", "gx").agg(variance.alias("variance"))
+    place = lambda v, size, n: F.least(F.lit(n - 1), F.floor((F.col(v) - inset) / size).cast("int"))
+    inner = inner.withColumn("gx", place("x", cell_w, columns)).withColumn("gy", place("y", cell_h, rows))
+
+    def sampled(v: str, g: str, size: float, n: int) -> Column:
+        """The cells that take a line as a sample: every third from the whole number below a cell's start on, so a cell's first line can lie in the one before."""
+        starts = lambda c: F.floor(c * size + inset)
+        own, after = F.col(g), F.col(g) + 1
+        return F.array_compact(F.array(F.when((F.col(v) - starts(own)) % 3 == 0, own), F.when((after < n) & (F.col(v) == starts(after)), after)))
+
+    samples = inner.select("image", *"rgb", F.explode(sampled("x", "gx", cell_w, columns)).alias("gx"), sampled("y", "gy", cell_h, rows).alias("gy")).withColumn("gy", F.explode("gy"))
+    variance = sum((F.coalesce(F.var_pop(c), F.lit(0.0)) for c in "rgb"), F.lit(0.0))
+    cells = samples.groupBy("image", "gy", "gx").agg(variance.alias("variance"))
     edge = (F.col("x") > inset) & (F.col("x") < w - inset - 1) & (F.col("y") > inset) & (F.col("y") < h - inset - 1)
     odd = edge & (F.col("gray") - F.col("smooth") > F.least(F.lit(40.0), F.col("variance") / 40.0) + 34.0) & (F.greatest("r", "g", "b") - F.least("r", "g", "b") < 60)
     marked = inner.join(cells, ["image", "gy", "gx"]).groupBy("image", "gy", "gx").agg(F.max("variance").alias("variance"), F.count_if(odd).alias("marks"))
@@ -180,3 +194,10 @@ def print_lines(row_counts: DataFrame, width: int, cell_h: float) -> DataFrame:
 
     folded = F.aggregate("rows", start, step)
     return ordered.select("image", F.explode_outer(folded["hits"]).alias("y")).where("y is not null")
+
+
+def depth_colors(pixels: DataFrame, w: int, h: int, depth: int) -> DataFrame:
+    """``image, side, r, g, b``: mean colour at a depth from the left and the right edge, on every eighth line of the middle three fifths."""
+    lines = (F.col("y") >= int(h * 0.2)) & (F.col("y") < int(h * 0.8)) & ((F.col("y") - int(h * 0.2)) % 8 == 0)
+    side = F.when(F.col("x") == depth, "left").when(F.col("x") == w - 1 - depth, "right")
+    return pixels.where(lines).withColumn("side", side).where("side is not null").groupBy("image", "side").agg(*[F.avg(c).alias(c) for c in "rgb"])

@@ -31,9 +31,13 @@ def ocr_clean(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def text_similarity(spark: SparkSession, sf: str) -> DataFrame:
-    names = view(spark, sf, "v_request").where("name is not null").select("query_id", "name")
-    known = view(spark, sf, "v_catalog").select(F.col("name").alias("known")).distinct()
-    return names.join(F.broadcast(known), F.length("known") > 0).select("query_id", "known", T.similarity(F.col("name"), F.col("known")).alias("sim"))
+    """How like each name that was read is to the true one, and to the set's name."""
+    rows = view(spark, sf, "v_request").where("name is not null")
+    return rows.select("query_id", T.similarity(F.col("name"), F.col("true_name")).alias("sim"), T.similarity(F.col("name"), F.col("true_set")).alias("set_sim"))
+
+
+#: The query set of searches.
+SEARCHED = "query_id % 50 = 0"
 
 
 def _species(spark: SparkSession, sf: str) -> DataFrame:
@@ -54,21 +58,22 @@ def name_snap(spark: SparkSession, sf: str) -> DataFrame:
 
 def art_knn(spark: SparkSession, sf: str) -> DataFrame:
     index = view_embeddings(spark, sf)
-    return matching.nearest(view(spark, sf, "v_request").select("query_id", "vector"), index).select("query_id", "id", F.round("art", 8).alias("art"), "rank")
+    queries = spark.read.parquet(f"{sf}/embeddings.parquet").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
+    return matching.nearest(queries.where(SEARCHED), index).select("query_id", "id", F.round("art", 8).alias("art"), "rank")
 
 
 def view_embeddings(spark: SparkSession, sf: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/embeddings.parquet").select(F.col("vec_id").alias("id"), "embedding")
 
 
-def _matched(spark: SparkSession, sf: str) -> DataFrame:
-    requests = view(spark, sf, "v_request")
+def _matched(spark: SparkSession, sf: str, asked: str = "true") -> DataFrame:
+    requests = view(spark, sf, "v_request").where(asked)
     shortlist = matching.nearest(requests.select("query_id", "vector"), view_embeddings(spark, sf))
     return matching.hybrid_match(shortlist, requests, view(spark, sf, "v_catalog"))
 
 
 def hybrid_match(spark: SparkSession, sf: str) -> DataFrame:
-    return _matched(spark, sf).select("query_id", "id", "name", "art_score", "text_score", "score", "method")
+    return _matched(spark, sf, SEARCHED).select("query_id", "id", "name", "art_score", "text_score", "score", "method")
 
 
 def identity_fallback(spark: SparkSession, sf: str) -> DataFrame:
@@ -83,15 +88,27 @@ def recognition_accuracy(spark: SparkSession, sf: str) -> DataFrame:
     return evaluation.recognition(truth.join(found, "query_id", "left"))
 
 
-_KNN = """, i AS (SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings), q AS (SELECT query_id, CAST(vector AS DOUBLE[]) AS v FROM v_request),
-    k AS (SELECT query_id, id, round(list_dot_product(q.v, i.v) / sqrt(list_dot_product(q.v, q.v)) / sqrt(list_dot_product(i.v, i.v)), 12) AS art FROM q CROSS JOIN i),
+def _knn(asked: str, queries: str = "(SELECT query_id, vector FROM v_request)") -> str:
+    return f""", i AS (SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings), q AS (SELECT query_id, CAST(vector AS DOUBLE[]) AS v FROM {queries} w WHERE {asked}),
+    il AS (SELECT id, v, sqrt(list_dot_product(v, v)) AS len FROM i), ql AS (SELECT query_id, v, sqrt(list_dot_product(v, v)) AS len FROM q),
+    k AS (SELECT query_id, id, round(list_dot_product(ql.v, il.v) / ql.len / il.len, 12) AS art FROM ql CROSS JOIN il),
     n AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY art DESC, id) AS rank FROM k QUALIFY rank <= 25)"""
-_MATCH = (
-    _KNN
-    + f""", t AS (SELECT n.query_id, n.id, c.name, c.set_name, c.number, c.release_date, n.art, n.rank, least(1e0, coalesce(CASE WHEN length(trim(r.name)) >= 2 THEN {Q.similarity('trim(r.name)', 'c.name')} * 0.6e0 END, 0e0) + CASE WHEN {Q.collector_number('r.number')} = {Q.collector_number('c.number')} THEN 0.4e0 ELSE 0e0 END) AS txt
-    FROM n JOIN v_catalog c ON n.id = c.id JOIN v_request r ON n.query_id = r.query_id),
-    m AS (SELECT *, art * 0.6e0 + txt * 0.6e0 AS total FROM t QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY art * 0.6e0 + txt * 0.6e0 DESC, rank) = 1)"""
-)
+
+
+_TEXT = f"""least(1e0, coalesce(CASE WHEN length(trim(r.name)) >= 2 THEN {Q.similarity('trim(r.name)', 'c.name')} * 0.6e0 END, 0e0)
+    + CASE WHEN {Q.collector_number('r.number')} = {Q.collector_number('c.number')} THEN 0.4e0 ELSE 0e0 END)"""
+
+
+def _match(asked: str = "true") -> str:
+    """The fold over each shortlist in order of rank: a score above the rounded best so far wins."""
+    entry = f"struct_pack(rank := rank, id := id, name := name, set_name := set_name, number := number, release_date := release_date, art := art, txt := txt, total := total, shown := {Q.jr('total', 3)})"
+    return (
+        _knn(asked)
+        + f""", t AS (SELECT n.query_id, n.id, c.name, c.set_name, c.number, c.release_date, n.art, n.rank, {_TEXT} AS txt FROM n JOIN v_catalog c ON n.id = c.id JOIN v_request r ON n.query_id = r.query_id),
+    u AS (SELECT *, art * 0.6e0 + txt * 0.6e0 AS total FROM t),
+    w AS (SELECT query_id, list_reduce(list({entry} ORDER BY rank), lambda won, x: CASE WHEN x.total > won.shown THEN x ELSE won END) AS x FROM u GROUP BY query_id),
+    m AS (SELECT query_id, x.id AS id, x.name AS name, x.set_name AS set_name, x.number AS number, x.release_date AS release_date, x.art AS art, x.txt AS txt, x.total AS total FROM w)"""
+    )
 
 
 def _asked(spark: SparkSession, sf: str) -> DataFrame:
@@ -172,8 +189,9 @@ def bias_by_factor(spark: SparkSession, sf: str) -> DataFrame:
 
 _NEWEST = "ORDER BY release_date DESC NULLS LAST, id"
 _ASK = f"""a AS (SELECT query_id, name AS asked, set_name AS asked_set, {Q.collector_number('number')} AS want, {Q.printed_total('number')} AS total FROM v_ask WHERE length(trim(name)) >= 2)"""
-_SEARCH = f""", {_ASK}, s AS (SELECT a.*, c.*, coalesce(CAST(want IS NULL OR {Q.collector_number('c.number')} = want AS INT), 0) AS hit FROM a JOIN v_catalog c
-    ON len(list_filter(string_split_regex(lower(a.asked), ' +'), lambda t: t <> '' AND len(list_filter(string_split_regex(lower(c.name), ' +'), lambda w: starts_with(w, t))) = 0)) = 0),
+_FITS = """len(list_filter(string_split_regex(lower(asked), ' +'), lambda t: t <> '' AND len(list_filter(string_split_regex(lower(name), ' +'), lambda w: starts_with(w, t))) = 0)) = 0"""
+_SEARCH = f""", {_ASK}, p AS (SELECT asked, name FROM (SELECT DISTINCT asked FROM a) x CROSS JOIN (SELECT DISTINCT name FROM v_catalog) y WHERE {_FITS}),
+    s AS (SELECT a.*, c.*, coalesce(CAST({Q.collector_number('c.number')} = want AS INT), 0) AS hit FROM a JOIN p ON a.asked = p.asked JOIN v_catalog c ON c.name = p.name),
     f AS (SELECT *, row_number() OVER (PARTITION BY query_id {_NEWEST}) AS found_at FROM (SELECT *, max(hit) OVER (PARTITION BY query_id) AS best FROM s) x WHERE hit = best QUALIFY found_at <= 50)"""
 _RANK = f""", r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY coalesce({Q.collector_number('number')} = want, false) DESC, coalesce(printed_total = total, false) DESC, (raw IS NOT NULL) DESC, coalesce(release_date, '') DESC, found_at) AS rank FROM f QUALIFY rank <= 12)"""
 _CHOSEN = f""", h AS (SELECT * FROM r QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY coalesce({Q.key('set_name')} = nullif({Q.key('asked_set')}, ''), false) DESC, rank) = 1)"""
@@ -207,13 +225,13 @@ SQL = {
     "name_norm": _with("v_catalog", body=f"SELECT id, {Q.key('name')} AS norm, trim(regexp_replace(regexp_replace(concat(name, ' #12 4/102'), '\\s*[0-9]+\\s*/\\s*[0-9]+\\s*$', ''), '\\s*#?[0-9]{{1,3}}\\s*$', '')) AS plain, coalesce(concat(substr(release_date, 1, 4), ' · ', set_name), set_name) AS era, concat(array_to_string(list_transform(string_split(name, ' '), lambda w: concat(upper(substr(w, 1, 1)), substr(w, 2))), ' '), '''S-X') AS title FROM v_catalog").replace("concat(substr(release_date, 1, 4), ' · ', set_name)", "substr(release_date, 1, 4) || ' · ' || set_name"),
     "collector_number": _with("v_catalog", body=f"SELECT id, {Q.collector_number(_RAW_NUMBER)} AS plain, lower(concat('TG', number)) AS coded, printed_total AS total, 30 AS coded_total FROM v_catalog"),
     "ocr_clean": _with("v_catalog", body="SELECT id, trim(regexp_replace(regexp_replace(concat(name, ' 120 HP!'), '[^A-Za-z''.\\- ]', ' ', 'g'), ' +', ' ', 'g')) AS name, concat(CAST(CAST(number AS INT) AS VARCHAR), '/', CAST(printed_total AS VARCHAR)) AS number, concat('SV', number) AS alone, CAST(NULL AS VARCHAR) AS nothing FROM v_catalog"),
-    "text_similarity": _with("v_request", "v_catalog", body=f"SELECT query_id, known, {Q.similarity('name', 'known')} AS sim FROM v_request CROSS JOIN (SELECT DISTINCT name AS known FROM v_catalog) k WHERE name IS NOT NULL"),
+    "text_similarity": _with("v_request", body=f"SELECT query_id, {Q.similarity('name', 'true_name')} AS sim, {Q.similarity('name', 'true_set')} AS set_sim FROM v_request WHERE name IS NOT NULL"),
     "name_snap": _with("v_request", "v_catalog", body=_SPLIT),
-    "art_knn": _with("v_request", body=_KNN + " SELECT query_id, id, round(art, 8) AS art, CAST(rank AS INT) AS rank FROM n"),
-    "hybrid_match": _with("v_request", "v_catalog", body=_MATCH + f" SELECT query_id, id, name, {Q.jr('art', 3)} AS art_score, {Q.jr('txt', 3)} AS text_score, {Q.jr('total', 3)} AS score, CASE WHEN txt > 0 THEN 'art+text' ELSE 'art' END AS method FROM m"),
-    "identity_fallback": _with("v_request", "v_catalog", "v_colors", body=_MATCH + _COLORS + f" SELECT c.query_id, m.name, m.set_name, m.number, coalesce(substr(release_date, 1, 4) || ' · ' || set_name, set_name) AS era, CASE WHEN m.id IS NOT NULL THEN 'unknown' ELSE holo END AS holo, coalesce(CASE WHEN m.id IS NOT NULL THEN least(1e0, greatest(0e0, {Q.jr('total', 3)})) END, CASE WHEN frame IS NOT NULL THEN 0.45e0 ELSE 0.2e0 END) AS confidence, CASE WHEN m.id IS NOT NULL THEN 'match' ELSE 'heuristic' END AS source FROM c0 c LEFT JOIN m ON c.query_id = m.query_id"),
-    "recognition_accuracy": _with("v_request", "v_catalog", body=_MATCH + f", e AS (SELECT coalesce({Q.key('m.name')} = {Q.key('q.true_name')}, false) AS n, q.true_set IS NOT NULL AS l, coalesce({Q.key('m.set_name')} = {Q.key('q.true_set')}, false) AS s FROM v_request q LEFT JOIN m ON q.query_id = m.query_id) SELECT count(*) AS photos, count(*) FILTER (n) AS names_right, count(*) FILTER (l) AS sets_labelled, count(*) FILTER (l AND s) AS sets_right, {Q.jr('count(*) FILTER (n) / CAST(count(*) AS DOUBLE)', 4)} AS name_accuracy, {Q.jr('count(*) FILTER (l AND s) / CAST(nullif(count(*) FILTER (l), 0) AS DOUBLE)', 4)} AS set_accuracy FROM e"),
-    "catalog_search": _with("v_ask", "v_catalog", body=_SEARCH + " SELECT query_id, id, CAST(found_at AS INT) AS found_at, want IS NOT NULL AND hit = 1 AS numbered FROM f"),
+    "art_knn": "WITH " + _knn(SEARCHED, "(SELECT vec_id AS query_id, embedding AS vector FROM embeddings)").lstrip(", ") + (" SELECT query_id, id, round(art, 8) AS art, CAST(rank AS INT) AS rank FROM n"),
+    "hybrid_match": _with("v_request", "v_catalog", body=_match(SEARCHED) + f" SELECT query_id, id, name, {Q.jr('art', 3)} AS art_score, {Q.jr('txt', 3)} AS text_score, {Q.jr('total', 3)} AS score, CASE WHEN txt > 0 THEN 'art+text' ELSE 'art' END AS method FROM m"),
+    "identity_fallback": _with("v_request", "v_catalog", "v_colors", body=_match() + _COLORS + f" SELECT c.query_id, m.name, m.set_name, m.number, coalesce(substr(release_date, 1, 4) || ' · ' || set_name, set_name) AS era, CASE WHEN m.id IS NOT NULL THEN 'unknown' ELSE holo END AS holo, coalesce(CASE WHEN m.id IS NOT NULL THEN least(1e0, greatest(0e0, {Q.jr('total', 3)})) END, CASE WHEN frame IS NOT NULL THEN 0.45e0 ELSE 0.2e0 END) AS confidence, CASE WHEN m.id IS NOT NULL THEN 'match' ELSE 'heuristic' END AS source FROM c0 c LEFT JOIN m ON c.query_id = m.query_id"),
+    "recognition_accuracy": _with("v_request", "v_catalog", body=_match() + f", e AS (SELECT coalesce({Q.key('m.name')} = {Q.key('q.true_name')}, false) AS n, q.true_set IS NOT NULL AS l, coalesce({Q.key('m.set_name')} = {Q.key('q.true_set')}, false) AS s FROM v_request q LEFT JOIN m ON q.query_id = m.query_id) SELECT count(*) AS photos, count(*) FILTER (n) AS names_right, count(*) FILTER (l) AS sets_labelled, count(*) FILTER (l AND s) AS sets_right, {Q.jr('count(*) FILTER (n) / CAST(count(*) AS DOUBLE)', 4)} AS name_accuracy, {Q.jr('count(*) FILTER (l AND s) / CAST(nullif(count(*) FILTER (l), 0) AS DOUBLE)', 4)} AS set_accuracy FROM e"),
+    "catalog_search": _with("v_ask", "v_catalog", body=_SEARCH + " SELECT query_id, id, CAST(found_at AS INT) AS found_at, hit = 1 AS numbered FROM f"),
     "candidate_rank": _with("v_ask", "v_catalog", body=_SEARCH + _RANK + " SELECT query_id, id, CAST(rank AS INT) AS rank, raw FROM r"),
     "set_match": _with("v_ask", "v_catalog", body=_SEARCH + _RANK + _CHOSEN + " SELECT query_id, id, set_name FROM h"),
     "alternatives": _with("v_ask", "v_catalog", body=_SEARCH + _RANK + _CHOSEN + " SELECT r.query_id, r.id, CAST(row_number() OVER (PARTITION BY r.query_id ORDER BY r.rank) AS INT) AS place FROM r LEFT JOIN h ON r.query_id = h.query_id AND r.id = h.id WHERE h.id IS NULL QUALIFY place <= 6"),

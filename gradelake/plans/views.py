@@ -33,16 +33,17 @@ VIEWS = {
     "v_request": """SELECT e.vec_id AS query_id, e.embedding AS vector,
         CASE WHEN e.vec_id % 60 = 0 THEN NULL WHEN e.vec_id % 40 = 0 THEN concat(substr(p.p_name, 1, 3), substr(p.p_name, 5)) ELSE concat(substr(p.p_name, 1, 2), 'x', substr(p.p_name, 4)) END AS name,
         CASE WHEN e.vec_id % 80 = 0 THEN NULL ELSE concat('0', CAST(p.p_size AS STRING), '/', CAST(50 + p.p_partkey % 5 AS STRING)) END AS number, p.p_name AS true_name, CASE WHEN e.vec_id % 100 = 0 THEN NULL ELSE p.p_brand END AS true_set
-        FROM embeddings e JOIN part p ON e.vec_id = p.p_partkey WHERE e.vec_id % 20 = 0""",
-    "v_ask": """SELECT p_partkey AS query_id, CASE WHEN p_partkey % 3 = 0 THEN substr(p_name, 1, 5) ELSE p_name END AS name,
-        CASE WHEN p_partkey % 4 = 0 THEN NULL ELSE concat(CAST(p_size AS STRING), '/', CAST(50 + p_partkey % 5 AS STRING)) END AS number, p_brand AS set_name FROM part WHERE p_partkey % 40 = 1""",
+        FROM embeddings e JOIN part p ON e.vec_id = p.p_partkey""",
+    # Every branch of the search: prefixes, names that nothing has, no number, and numbers that nothing has.
+    "v_ask": """SELECT p_partkey AS query_id, CASE WHEN p_partkey % 7 = 0 THEN 'zz none' WHEN p_partkey % 3 = 0 THEN substr(p_name, 1, 2) ELSE p_name END AS name,
+        CASE WHEN p_partkey % 4 = 0 THEN NULL WHEN p_partkey % 5 = 0 THEN '901/950' ELSE concat(CAST(p_size AS STRING), '/', CAST(50 + p_partkey % 5 AS STRING)) END AS number, p_brand AS set_name FROM part""",
     "v_history": """SELECT event_id AS id, ts AS created_at, user_id, 1e0 + CAST(event_id % 19 AS DOUBLE) * 0.5e0 AS overall, event_type = 'purchase' AS favorite,
         0.3e0 + CAST(event_id % 70 AS DOUBLE) / 100e0 AS confidence FROM events""",
     "v_frames": """SELECT user_id AS session, event_id AS frame, event_id * 37 AS t_ms, CAST(event_id * 13 % 100 AS DOUBLE) / 100e0 AS confidence,
         CAST(event_id * 29 % 100 AS DOUBLE) / 100e0 AS coverage, value AS position FROM events""",
     "v_calibration": """SELECT truth, pred, greatest(1e0, pred - 1e0) AS low, least(10e0, pred + 1e0) AS high, factor FROM (
         SELECT 1e0 + o_orderkey % 10 AS truth, least(10e0, greatest(1e0, 1e0 + o_orderkey % 10 + (o_custkey % 9 - 4) * 0.5e0)) AS pred, o_orderpriority AS factor FROM orders) c""",
-    "v_quad": """SELECT o_orderkey AS id, 1000e0 AS frame_w, 1200e0 AS frame_h, 100e0 + o_orderkey % 150 AS tl_x, 120e0 + o_orderkey % 90 AS tl_y, 700e0 + o_orderkey % 130 AS tr_x, 110e0 + o_orderkey % 70 AS tr_y,
+    "v_quad": """SELECT o_orderkey AS id, 1000e0 AS frame_w, 1200e0 AS frame_h, CASE WHEN o_orderkey % 13 = 0 THEN 480e0 WHEN o_orderkey % 17 = 0 THEN 410e0 ELSE 100e0 + o_orderkey % 150 END AS tl_x, CASE WHEN o_orderkey % 13 = 0 THEN 600e0 WHEN o_orderkey % 17 = 0 THEN 535e0 ELSE 120e0 + o_orderkey % 90 END AS tl_y, 700e0 + o_orderkey % 130 AS tr_x, 110e0 + o_orderkey % 70 AS tr_y,
         720e0 + o_orderkey % 110 AS br_x, 980e0 + o_orderkey % 60 AS br_y, 110e0 + o_orderkey % 140 AS bl_x, 960e0 + o_orderkey % 50 AS bl_y,
         CAST(o_orderkey % 40 AS DOUBLE) / 100e0 AS blown, CAST(o_orderkey % 11 AS DOUBLE) / 10e0 AS density FROM orders""",
     "v_points": """SELECT l_suppkey AS line, l_orderkey AS id, l_quantity AS x, l_quantity * 2e0 + 5e0 + CASE WHEN l_orderkey % 17 = 0 THEN 90e0 ELSE l_discount * 10e0 END AS y FROM lineitem""",
@@ -50,50 +51,48 @@ VIEWS = {
         CAST(event_id * 11 % 5000 AS DOUBLE) AS art_variance, CAST(event_id * 17 % 5000 AS DOUBLE) AS lower_variance FROM events""",
 }
 
-#: A small scene in closed form: a card with a worn corner on a dark ground; the second image is darker.
+#: A small scene in closed form for every supplier: a card with one worn corner and a nick on a dark ground, at a brightness of its own.
 SCENE_W, SCENE_H = 100, 120
-_PIXEL = f"""SELECT i % 2 AS image, CAST(floor(i / 2) AS BIGINT) % {SCENE_W} AS x, CAST(floor(i / {2 * SCENE_W}) AS BIGINT) AS y FROM (SELECT CAST(id AS BIGINT) AS i FROM {{source}}) s"""
 _CARD = "x >= 20 AND x < 76 AND y >= 15 AND y < 93"
 _ART = "x >= 23 AND x < 71 AND y >= 19 AND y < 89"
-_WORN = "75 - x < 8 AND 92 - y < 8 AND x < 76 AND y < 93 AND (x - 68) + (y - 85) > 6"
+#: The corner is one of four, by mirrored coordinates; the nick is on one of four sides, or absent.
+_WORN = "CASE WHEN image % 2 = 0 THEN x ELSE 95 - x END >= 68 AND CASE WHEN image % 4 < 2 THEN y ELSE 107 - y END >= 85 AND CASE WHEN image % 2 = 0 THEN x - 68 ELSE 27 - x END + CASE WHEN image % 4 < 2 THEN y - 85 ELSE 22 - y END > 6"
+_NICK = "CASE image % 5 WHEN 0 THEN x >= 20 AND x < 32 AND y >= 40 AND y < 46 WHEN 1 THEN x >= 64 AND x < 76 AND y >= 40 AND y < 46 WHEN 2 THEN y >= 15 AND y < 27 AND x >= 40 AND x < 46 WHEN 3 THEN y >= 81 AND y < 93 AND x >= 40 AND x < 46 ELSE false END"
 _NOISE = "((31 * x + 17 * y) % 13 - 6)"
 
 
-def _channel(worn: int, art: int, border: int, ground: int) -> str:
-    return f"CAST(CASE WHEN {_WORN} THEN {worn} WHEN {_ART} THEN {art} + {_NOISE} WHEN {_CARD} THEN {border} ELSE {ground} END - 9 * image AS DOUBLE)"
+def _pixels(spark: bool, w: int, h: int) -> str:
+    """``image, x, y`` of every supplier's image."""
+    cells = f"range({w * h})" if spark else f"(SELECT range AS id FROM range({w * h})) q"
+    return f"SELECT s_suppkey AS image, CAST(id % {w} AS BIGINT) AS x, CAST(floor(id / {w}) AS BIGINT) AS y FROM supplier CROSS JOIN {cells}"
 
 
-def scene(source: str) -> str:
-    """SQL of the scene's pixels; ``source`` gives ``id`` from 0 to the number of pixels of both images."""
-    return f"SELECT image, y, x, {_channel(245, 30, 228, 38)} AS r, {_channel(244, 60, 198, 40)} AS g, {_channel(240, 140, 64, 44)} AS b FROM ({_PIXEL.format(source=source)}) p"
+def _channel(worn: int, art: int, border: int, ground: int) -> str:
+    return f"CAST(CASE WHEN {_CARD} AND (({_WORN}) OR ({_NICK})) THEN {worn} WHEN {_ART} THEN {art} + {_NOISE} WHEN {_CARD} THEN {border} ELSE {ground} END - 3 * (image % 4) AS DOUBLE)"
 
 
-def surface(source: str) -> str:
-    """A rectified face of 80 by 100 with bright specks and one bright row."""
-    mark = "(y = 40 OR (x * 7 + y * 11) % 61 = 0)"
-    at = f"SELECT CAST(0 AS BIGINT) AS image, i % 80 AS x, CAST(floor(i / 80) AS BIGINT) AS y FROM (SELECT CAST(id AS BIGINT) AS i FROM {source}) s"
-    channel = lambda c: f"CAST(CASE WHEN {mark} THEN 250 ELSE {c} + (x * 3 + y * 5) % 7 END AS DOUBLE)"
-    return f"SELECT image, y, x, {channel(90)} AS r, {channel(80)} AS g, {channel(70)} AS b FROM ({at}) p"
+def scene(spark: bool) -> str:
+    return f"SELECT image, y, x, {_channel(245, 30, 228, 38)} AS r, {_channel(244, 60, 198, 40)} AS g, {_channel(240, 140, 64, 44)} AS b FROM ({_pixels(spark, SCENE_W, SCENE_H)}) p"
 
 
-def _range(spark: bool, n: int) -> str:
-    return f"range({n})" if spark else f"(SELECT range AS id FROM range({n})) q"
+def surface(spark: bool) -> str:
+    """A rectified face of 80 by 100 for every supplier, with bright specks and one bright row."""
+    mark = "(y = 30 + image % 20 OR (x * 7 + y * 11 + image) % 61 = 0)"
+    channel = lambda c: f"CAST(CASE WHEN {mark} THEN 250 ELSE {c} + (x * 3 + y * 5) % 7 END AS DOUBLE)"
+    return f"SELECT image, y, x, {channel(90)} AS r, {channel(80)} AS g, {channel(70)} AS b FROM ({_pixels(spark, 80, 100)}) p"
 
 
-SCENES = {"v_scene": (scene, 2 * SCENE_W * SCENE_H), "v_surface": (surface, 80 * 100)}
+SCENES = {"v_scene": scene, "v_surface": surface}
 
 
 def sql_of(name: str, spark: bool) -> str:
-    if name in SCENES:
-        make, n = SCENES[name]
-        return make(_range(spark, n))
-    return VIEWS[name]
+    return SCENES[name](spark) if name in SCENES else VIEWS[name]
 
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The view as a DataFrame; only the tables and columns it names are read."""
     text = sql_of(name, True)
-    tables = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in TABLES if f" {t}" in text and name not in SCENES}
+    tables = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in TABLES if f" {t}" in text}
     for t, df in tables.items():
         df.createOrReplaceTempView(f"_{t}")
         text = text.replace(f"FROM {t}", f"FROM _{t}").replace(f"JOIN {t}", f"JOIN _{t}")

@@ -172,8 +172,8 @@ _EDGE = f"e AS (SELECT p.image, p.y, p.x, coalesce(sqrt(pow((ne.v + 2 * e.v + se
 
 
 def _blur(source: str, name: str, w: int, h: int) -> str:
-    near = f"JOIN {source} q ON q.image = p.image AND q.x = least({w - 1}, greatest(0, p.x + dx)) AND q.y = least({h - 1}, greatest(0, p.y + dy))"
-    return f"{name} AS (SELECT p.image, p.y, p.x, sum(q.v) / 9e0 AS v FROM {source} p CROSS JOIN (VALUES (-1), (0), (1)) a(dx) CROSS JOIN (VALUES (-1), (0), (1)) b(dy) {near} GROUP BY p.image, p.y, p.x)"
+    near = f"SELECT p.image, p.y, p.x, least({w - 1}, greatest(0, p.x + dx)) AS qx, least({h - 1}, greatest(0, p.y + dy)) AS qy FROM {source} p CROSS JOIN (VALUES (-1), (0), (1)) a(dx) CROSS JOIN (VALUES (-1), (0), (1)) b(dy)"
+    return f"{name}n AS MATERIALIZED ({near}), {name} AS MATERIALIZED (SELECT n.image, n.y, n.x, sum(q.v) / 9e0 AS v FROM {name}n n JOIN {source} q ON q.image = n.image AND q.x = n.qx AND q.y = n.qy GROUP BY n.image, n.y, n.x)"
 
 
 def _sided(table: str, side: str, w: int, h: int) -> tuple[str, str, int, int]:
@@ -184,7 +184,7 @@ def _sided(table: str, side: str, w: int, h: int) -> tuple[str, str, int, int]:
 def _first_sql(side: str) -> str:
     depth, line, length, lines = _sided("e", side, W, H)
     low, high = int(lines * 0.15), int(lines * 0.85)
-    return f"SELECT image, {line} AS line, min({depth}) AS depth, '{side}' AS side FROM e WHERE {line} BETWEEN {low} AND {high} AND ({line} - {low}) % 3 = 0 AND {depth} >= 2 AND {depth} < {length * 0.45} AND v > 120 GROUP BY image, {line}"
+    return f"SELECT image, {line} AS line, min({depth}) AS depth, '{side}' AS side FROM e WHERE {line} >= {low} AND {line} < {high} AND ({line} - {low}) % 3 = 0 AND {depth} >= 2 AND {depth} < {int(length * 0.45) - (side in ('right', 'bottom'))} AND v > 120 GROUP BY image, {line}"
 
 
 def _median(x: str) -> str:
@@ -231,8 +231,9 @@ _INSET = int(80 * 0.055 + 0.5)
 _CW, _CH = (80 - 2 * _INSET) / 10, (100 - 2 * _INSET) / 14
 _GRID = f""", {_blur('g', 'b1', 80, 100)}, {_blur('b1', 'b2', 80, 100)}, k AS (SELECT s.*, g.v AS gray, b2.v AS smooth, least(9, CAST(floor((s.x - {_INSET}) / {_CW}e0) AS INT)) AS gx, least(13, CAST(floor((s.y - {_INSET}) / {_CH}e0) AS INT)) AS gy
     FROM v_surface s JOIN g ON g.image = s.image AND g.x = s.x AND g.y = s.y JOIN b2 ON b2.image = s.image AND b2.x = s.x AND b2.y = s.y WHERE s.x >= {_INSET} AND s.x < {80 - _INSET} AND s.y >= {_INSET} AND s.y < {100 - _INSET}),
-    l AS (SELECT *, (x - CAST(floor(gx * {_CW}e0 + {_INSET}) AS BIGINT)) % 3 = 0 AND (y - CAST(floor(gy * {_CH}e0 + {_INSET}) AS BIGINT)) % 3 = 0 AS s FROM k),
-    m AS (SELECT image, gy, gx, coalesce(var_pop(r) FILTER (s), 0) + coalesce(var_pop(g) FILTER (s), 0) + coalesce(var_pop(b) FILTER (s), 0) AS variance FROM l GROUP BY image, gy, gx)
+    gc AS (SELECT range AS cx, unnest(range(CAST(floor(range * {_CW}e0 + {_INSET}) AS BIGINT), CAST(ceil((range + 1) * {_CW}e0 + {_INSET}) AS BIGINT), 3)) AS x FROM range(10)),
+    gr AS (SELECT range AS cy, unnest(range(CAST(floor(range * {_CH}e0 + {_INSET}) AS BIGINT), CAST(ceil((range + 1) * {_CH}e0 + {_INSET}) AS BIGINT), 3)) AS y FROM range(14)),
+    m AS (SELECT image, cy AS gy, cx AS gx, var_pop(r) + var_pop(g) + var_pop(b) AS variance FROM v_surface s JOIN gc ON s.x = gc.x JOIN gr ON s.y = gr.y GROUP BY ALL), l AS (SELECT * FROM k)
     SELECT l.image, l.gy, l.gx, round(max(variance), 4) AS variance, round(least(1e0, count(*) FILTER (x > {_INSET} AND x < {79 - _INSET} AND y > {_INSET} AND y < {99 - _INSET} AND gray - smooth > 34 + least(40e0, variance / 40e0) AND greatest(r, g, b) - least(r, g, b) < 60) / {_CW * _CH * 0.08}e0), 6) AS density FROM l JOIN m ON l.image = m.image AND l.gy = m.gy AND l.gx = m.gx GROUP BY l.image, l.gy, l.gx"""
 
 _dist = lambda a, b, p="", q="": f"sqrt(pow({p}{a}_x - {q}{b}_x, 2) + pow({p}{a}_y - {q}{b}_y, 2))"
@@ -248,8 +249,8 @@ def _quad_sql() -> str:
     turn = lambda n: f"(({n}_x - {prv[n]}_x) * ({nxt[n]}_y - {n}_y) - ({n}_y - {prv[n]}_y) * ({nxt[n]}_x - {n}_x))"
     area = "abs(" + " + ".join(f"{n}_x * {nxt[n]}_y - {nxt[n]}_x * {n}_y" for n in c) + ") / 2e0"
     turns = ", ".join(map(turn, c))
-    a = f"a AS (SELECT *, ({top} + {bottom}) / 2e0 AS width, ({left} + {right}) / 2e0 AS height, least({ratio(top, bottom)}, {ratio(left, right)}) AS opposite, least({top}, {right}, {bottom}, {left}) AS min_side, {area} AS area, greatest({', '.join(map(ang, c))}) AS angle_off, least({turns}) > 0 OR greatest({turns}) < 0 AS convex FROM v_quad)"
-    inside = " AND ".join(f"{n}_x BETWEEN -0.05e0 * frame_w AND 1.05e0 * frame_w AND {n}_y BETWEEN -0.05e0 * frame_h AND 1.05e0 * frame_h" for n in c)
+    a = f"a AS (SELECT *, ({top} + {bottom}) / 2e0 AS width, ({left} + {right}) / 2e0 AS height, least({ratio(top, bottom)}, {ratio(left, right)}) AS opposite, least({top}, {right}, {bottom}, {left}) AS min_side, {area} AS area, greatest({', '.join(map(ang, c))}) AS angle_off, least({turns}) >= 0 OR greatest({turns}) <= 0 AS convex FROM v_quad)"
+    inside = " AND ".join(f"{n}_x > -0.05e0 * frame_w AND {n}_x < 1.05e0 * frame_w AND {n}_y > -0.05e0 * frame_h AND {n}_y < 1.05e0 * frame_h" for n in c)
     b = f"b AS (SELECT *, width / height AS aspect, width * height / (frame_w * frame_h) AS coverage, width / height / (63.5e0 / 88.9e0) AS shape FROM a)"
     d = f"d AS (SELECT *, {inside} AND convex AND coverage > 0.16e0 AND coverage < 0.97e0 AND shape > 0.82e0 AND shape < 1.22e0 AND opposite > 0.7e0 AND angle_off < 22 AND min_side > 0.1e0 * frame_w AND blown < 0.3e0 AS plausible FROM b)"
     conf = "CASE WHEN plausible THEN least(1e0, (0.62e0 + 0.25e0 * least(1e0, density) + 0.1e0 * (1e0 - angle_off / 22e0)) * (0.35e0 + 0.65e0 * (1e0 - least(1e0, blown / 0.4e0)))) ELSE 0.2e0 END"
@@ -273,7 +274,13 @@ SQL = {
     "edge_nicks": with_views("v_scene", body="").rstrip() + _CARD_SQL + " " + " UNION ALL ".join(map(_nick_sql, SIDES)),
     "corner_whitening": with_views("v_scene", body="").rstrip() + _CARD_SQL + " " + " UNION ALL ".join(map(_corner_sql, ("topLeft", "topRight", "bottomRight", "bottomLeft"))),
     "surface_grid": _scene(_GRID, "v_surface"),
-    "line_fit": with_views("v_points", body="").rstrip() + ", a AS (SELECT line, coalesce(regr_slope(y, x), 0) AS s, avg(y) - coalesce(regr_slope(y, x), 0) * avg(x) AS i FROM v_points GROUP BY line), r AS (SELECT p.*, y - s * x - i AS off FROM v_points p JOIN a ON p.line = a.line), d AS (SELECT line, sqrt(avg(off * off)) AS sd FROM r GROUP BY line) SELECT r.line, round(coalesce(regr_slope(y, x), 0), 6) AS slope, round(avg(y) - coalesce(regr_slope(y, x), 0) * avg(x), 6) AS intercept FROM r JOIN d ON r.line = d.line WHERE abs(off) <= 2e0 * sd OR sd = 0 GROUP BY r.line",
+    "line_fit": with_views("v_points", body="").rstrip()
+    + """, a AS (SELECT line, count(*) AS n, coalesce(regr_slope(y, x), 0) AS s, avg(y) - coalesce(regr_slope(y, x), 0) * avg(x) AS i FROM v_points GROUP BY line),
+    r AS (SELECT p.*, n, s, i, y - s * x - i AS off FROM v_points p JOIN a ON p.line = a.line),
+    d AS (SELECT line, coalesce(nullif(sqrt(avg(off * off)), 0), 1e0) AS sd FROM r GROUP BY line),
+    f AS (SELECT r.line, any_value(n) AS n, any_value(s) AS s, any_value(i) AS i, count(*) FILTER (abs(off) < 2e0 * sd) AS m,
+        coalesce(regr_slope(y, x) FILTER (abs(off) < 2e0 * sd), 0) AS s2, avg(y) FILTER (abs(off) < 2e0 * sd) AS my, avg(x) FILTER (abs(off) < 2e0 * sd) AS mx FROM r JOIN d ON r.line = d.line GROUP BY r.line)
+    SELECT line, CASE WHEN n >= 4 THEN round(CASE WHEN m >= 4 THEN s2 ELSE s END, 6) END AS slope, CASE WHEN n >= 4 THEN round(CASE WHEN m >= 4 THEN my - s2 * mx ELSE i END, 6) END AS intercept FROM f""",
     "quad_geometry": _quad_sql(),
     "quad_agreement": _quad_view + f" SELECT id, round(greatest(0e0, {_agreement}), 6) AS agreement FROM v_quad",
     "quad_boxes": _quad_view + f", b AS (SELECT *, least({_xs}) AS x0, least({_ys}) AS y0, greatest({_xs}) - least({_xs}) AS w, greatest({_ys}) - least({_ys}) AS h FROM v_quad), c AS (SELECT *, greatest(w, h) * 0.08e0 AS m FROM b), d AS (SELECT *, greatest(0e0, floor(x0 - m)) AS box_x, greatest(0e0, floor(y0 - m)) AS box_y FROM c) SELECT id, box_x, box_y, least(frame_w - box_x, ceil(w + 2 * m)) AS box_w, least(frame_h - box_y, ceil(h + 2 * m)) AS box_h FROM d",

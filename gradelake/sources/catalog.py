@@ -5,7 +5,7 @@ from __future__ import annotations
 import struct
 from collections.abc import Callable, Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
@@ -121,3 +121,47 @@ def paged(spark: SparkSession, fetch: Callable[[int, int], list[tuple]], ddl: st
     source = type("Paged", (PagedSource,), {"fetch": staticmethod(fetch), "ddl": ddl})
     spark.dataSource.register(source)
     return spark.read.format("paged").option("pages", -(-total // size)).option("size", size).load()
+
+
+def listed_fields(rows: DataFrame) -> DataFrame:
+    """The fields of the catalog file: what is missing is null, and an empty list for ``subtypes``."""
+    return rows.select("id", "name", "number", "supertype", F.coalesce("subtypes", F.array().cast("array<string>")).alias("subtypes"), "rarity", "set_name", "set_id", "release_date", "printed_total", "image_small", "image_large")
+
+
+def indexed_fields(rows: DataFrame) -> DataFrame:
+    """The narrower fields of the vector index's own catalog."""
+    return rows.select("id", "name", "number", "set_name", "release_date", "rarity", F.coalesce("subtypes", F.array().cast("array<string>")).alias("subtypes"), chosen_image("image_large", "image_small").alias("image"))
+
+
+def chosen_image(large: str, small: str) -> Column:
+    """The large image, else the small one, else null; an empty address counts as none."""
+    return F.coalesce(F.nullif(F.col(large), F.lit("")), F.nullif(F.col(small), F.lit("")))
+
+
+def by_stem(files: DataFrame, catalog: DataFrame) -> DataFrame:
+    """Files joined to the catalog row whose id is their stem; files without a row are left out."""
+    stem = F.regexp_extract("path", r"([^/]+)\.[^./]+$", 1)
+    return files.withColumn("id", stem).join(catalog, "id")
+
+
+def candidate_ids(shown: DataFrame, candidates: DataFrame) -> DataFrame:
+    """``query_id, id``: for the name and number that are shown, the candidate of least rank that has both, else null."""
+    first = candidates.groupBy("query_id", "name", "number").agg(F.min_by("id", "rank").alias("id"))
+    return shown.select("query_id", "name", "number").join(first, ["query_id", "name", "number"], "left").select("query_id", "id")
+
+
+def split_by_card(rows: DataFrame, card: str, least: int = 50, share: float = 0.1) -> DataFrame:
+    """Add ``validation``: a share of the cards, at least about ``least`` of them; all rows of a card are on one side.
+
+    The side follows from a digest of the card alone, so it is the same in every run, whatever the order of rows.
+    """
+    n = max(1, rows.select(card).distinct().count())
+    part = max(share, min(1.0, least / n))
+    digest = F.conv(F.substring(F.md5(F.col(card).cast("string").cast("binary")), 1, 8), 16, 10).cast("bigint")
+    return rows.withColumn("validation", digest < int(part * (1 << 32)))
+
+
+def admitted(files: DataFrame) -> DataFrame:
+    """Images only, with ``route``: committed directly if an outline was found with confidence, else set by hand."""
+    sure = (F.col("confidence") >= 0.8) & F.col("has_quad")
+    return files.where(F.startswith("type", F.lit("image/"))).withColumn("route", F.when(F.coalesce(sure, F.lit(False)), "direct").otherwise("manual"))
