@@ -7,11 +7,11 @@ found by a deletion-neighbourhood join:
    lines that share one with another distinct line go on.  All pieces are hashed from running sums over a batch.
 2. *Variants*: each such line is cut into ``k + 2`` pieces; every variant without ``k`` of them is a hashed key.
    The longer line of a pair tries the few ways in which its pieces can be moved.
-3. *Join*: of lines with equal variants the left-out pieces are compared, each with the earlier ones; a variant
-   that more than ``SMALL`` lines share is compared in blocks, and no pair leaves the join unless it is near.  Where
-   so many lines differ in few characters only (a counter in a fixed text), none are compared: the variants without
-   ``k`` of these characters, with the places of them, are keys.  All lines of such a key are within ``k`` edits of
-   each other, so its earliest line is the witness of the rest.
+3. *Join*: of lines with equal variants the left-out pieces are compared, each with the earlier ones.  Where more
+   than ``SMALL`` lines share a variant, none are compared: they are cut into three times as many pieces, and step 2
+   starts again for them.  Once the lines of a variant differ in few characters only, the variants without ``k`` of
+   these characters, with the places of them, are keys.  All lines of such a key are within ``k`` edits of each
+   other, so its earliest line is the witness of the rest.
 4. *Verification*: the edit distance of each line to its witness is computed on the whole lines.
 
 Equal lines are reduced to one before all this, in the map tasks.
@@ -21,8 +21,8 @@ from __future__ import annotations
 
 from bisect import bisect_left
 from collections.abc import Callable, Iterator
-from functools import lru_cache
-from itertools import combinations, combinations_with_replacement, product
+from functools import lru_cache, reduce
+from itertools import combinations, combinations_with_replacement, count, product
 
 import numpy as np
 import pyarrow as pa
@@ -38,14 +38,16 @@ from gradelake.llm.common import as_row, frugal, stored, wide_hash
 MIN_CHARS = 1
 #: Edits that make two lines near at most, and characters of the shorter line that each edit takes; 0 allows all edits at any length.
 EDITS, CHARS_PER_EDIT = 2, 10
-#: Lines of one variant that are compared in one block.
+#: Lines of one variant that are compared with each other; if it has more, they are cut more finely.
 SMALL = 128
 #: Characters in which the lines of a larger variant may differ for these to be deleted one by one.
-FEW_CHARS = 24
+FEW_CHARS = 16
 #: Keys or lines that are broadcast (16 bytes each), else joined by shuffle.
 BROADCAST_ROWS = 1_000_000
 #: Rows of variants that a task hands on at once.
 ROWS_OUT = 50_000
+#: Keys that are hashed at once.
+KEYS_AT_ONCE = 200_000
 
 _DOC = ("doc_id", "version")
 _LINE = ("h1", "h2")
@@ -84,19 +86,27 @@ def _powers(base: int, n: int) -> np.ndarray:
     return np.multiply.accumulate(out)
 
 
+_TABLES = [_powers(_RADIX, 1), _powers(_INVERSE, 1)]
+
+
+def running_sums(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """``sums, down``: ``(sums[b] - sums[a]) * down[a]`` is a hash of ``text[a:b]`` that does not depend on its place."""
+    codes = np.frombuffer(text.encode("utf-32-le"), np.uint32).astype(np.uint64)
+    if len(codes) >= len(_TABLES[0]):
+        _TABLES[:] = [_powers(_RADIX, 2 * len(codes) + 1), _powers(_INVERSE, 2 * len(codes) + 1)]
+    sums = np.zeros(len(codes) + 1, np.uint64)
+    np.cumsum((codes + np.uint64(1)) * _TABLES[0][: len(codes)], out=sums[1:])
+    return sums, _TABLES[1]
+
+
 def filter_rows(edits: int, per: int) -> Callable:
     """The pieces a line can share with a near one, hashed: as the shorter line, and as one longer by each number of characters."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        up, down = _powers(_RADIX, 1), _powers(_INVERSE, 1)
         for batch in batches:
             h1, h2 = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
             n = pc.utf8_length(batch.column(2)).to_numpy(zero_copy_only=False).astype(np.int64)
-            codes = np.frombuffer("".join(batch.column(2).to_pylist()).encode("utf-32-le"), np.uint32).astype(np.uint64)
-            if len(codes) >= len(up):
-                up, down = _powers(_RADIX, 2 * len(codes) + 1), _powers(_INVERSE, 2 * len(codes) + 1)
-            sums = np.zeros(len(codes) + 1, np.uint64)
-            np.cumsum((codes + np.uint64(1)) * up[: len(codes)], out=sums[1:])
+            sums, down = running_sums("".join(batch.column(2).to_pylist()))
             start = np.cumsum(n) - n
             for longer in range(edits + 1):
                 m = n - longer
@@ -116,36 +126,41 @@ def filter_rows(edits: int, per: int) -> Callable:
     return run
 
 
-@lru_cache(maxsize=4096)
-def _cuts(n: int, longer: int, k: int) -> list[tuple[str, list[slice], list[slice]]]:
-    """Ways to read a line of ``n`` characters as ``longer`` than a near one: a label, the pieces that stay, and those left out."""
-    m, count = n - longer, k + 2
-    at = [m * q // count for q in range(count + 1)]
-    ways = []
-    for out in combinations(range(count), k):
-        for grown in moves(k, longer):
-            moved, stay, left = 0, [], []
-            for q in range(count):
-                low = at[q] + moved
-                if q in out:
-                    moved += grown[out.index(q)]
-                high = at[q + 1] + moved
-                if high < low:
-                    break
-                (left if q in out else stay).append(slice(low, high))
-            else:
-                ways.append((f"{m}/{out}/", stay, left))
-    return ways
-
-
-def piece_keys(line: str, edits: int, per: int) -> Iterator[tuple[int, int, list[slice]]]:
-    """``(key, k, what is left out)`` for every variant without ``k`` pieces."""
-    n = len(line)
-    for longer in range(min(edits, n) + 1):
-        k = budget(n - longer, edits, per)
-        if k >= max(1, longer):
-            for label, stay, left in _cuts(n, longer, k):
-                yield _hash(label + "".join([line[s] for s in stay])), k, left
+@lru_cache(maxsize=64)
+def _ways(count: int, k: int, longer: int) -> tuple[np.ndarray, np.ndarray]:
+    """Ways to leave out ``k`` of ``count`` pieces of a line that is ``longer`` than a near one: the pieces, and by how much the line has grown after each."""
+    ways = [(out, grown) for out in combinations(range(count), k) for grown in moves(k, longer)]
+    out, grown = (np.array(x, np.int64).reshape(-1, k) for x in zip(*ways, strict=True))
+    return out, grown.cumsum(1)
+
+
+def piece_keys(lines: list[str], edits: int, per: int, level: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """``k, at, keys, low, high``: variants of ``lines[at]`` without the ``k`` pieces ``low`` to ``high``; each level has three times as many pieces."""
+    n = np.fromiter(map(len, lines), np.int64, len(lines))
+    sums, down = running_sums("".join(lines))
+    start = np.cumsum(n) - n
+    for longer in range(edits + 1):
+        m = n - longer
+        allowed = np.minimum(edits, m // per) if per else np.full(len(n), edits)
+        for k in range(max(1, longer), edits + 1):
+            n_pieces = (k + 2) * 3**level
+            mine = np.flatnonzero((m >= 0) & (allowed == k))
+            out, grown = _ways(n_pieces, k, longer) if len(mine) else (None, None)
+            step = max(1, KEYS_AT_ONCE // len(out)) if len(mine) else 1
+            for at in (mine[i : i + step] for i in range(0, len(mine), step)):
+                cuts = m[at, None] * np.arange(n_pieces + 1) // n_pieces
+                low, high = cuts[:, out], cuts[:, out + 1] + grown
+                low[:, :, 1:] += grown[:, :-1]
+                first = np.insert(high, 0, 0, 2)
+                last = np.concatenate([low, np.broadcast_to(n[at, None, None], (*low.shape[:2], 1))], 2)
+                good = (low <= high).all(2) & (first <= last).all(2)
+                line, way = np.nonzero(good)
+                low, high, first, last = low[good], high[good], first[good] + start[at][line, None], last[good] + start[at][line, None]
+                key = m[at][line].astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93) + np.uint64(level)
+                for part in (*out[way].T.astype(np.uint64), *((sums[last] - sums[first]) * down[first]).T):
+                    key = (key ^ part) * np.uint64(0xBF58476D1CE4E5B9)
+                    key ^= key >> np.uint64(29)
+                yield k, at[line], key.view(np.int64), low, high
 
 
 def char_keys(text: str, k: int) -> set[str]:
@@ -168,32 +183,32 @@ def _hash(text: str) -> int:
     return xxhash.xxh64_intdigest(text.encode()) - (1 << 63)
 
 
-def piece_rows(edits: int, per: int) -> Callable:
+def piece_rows(edits: int, per: int, level: int) -> Callable:
     """The keys of each line."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: list[tuple] = []
-            for row in batch.to_pylist():
-                out += [(key, row["h1"], row["h2"]) for key in {key for key, _, _ in piece_keys(row["line"], edits, per)}]
-                if len(out) >= ROWS_OUT:
-                    yield _batch(out, _KEYS)
-                    out = []
-            yield _batch(out, _KEYS)
+            h1, h2 = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
+            for _, at, keys, _, _ in piece_keys(batch.column(2).to_pylist(), edits, per, level):
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (keys, h1[at], h2[at])], schema=_KEYS)
 
     return run
 
 
-def left_rows(edits: int, per: int) -> Callable:
+def left_rows(edits: int, per: int, level: int) -> Callable:
     """For the keys that a line shares: what they leave out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: list[tuple] = []
-            for row in batch.to_pylist():
-                own, shared = tuple(row[c] for c in (*_LINE, *_PLACE)), set(row["keys"])
-                out += [(key, *own, k, "\n".join([row["line"][s] for s in left])) for key, k, left in piece_keys(row["line"], edits, per) if key in shared]
-            yield _batch(out, _LEFT)
+            rows = batch.to_pylist()
+            shared = np.unique(batch.column("keys").flatten().to_numpy(zero_copy_only=False))
+            for k, at, keys, low, high in piece_keys([r["line"] for r in rows], edits, per, level):
+                own = np.flatnonzero(np.isin(keys, shared))
+                out = []
+                for i, key, a, b in zip(at[own].tolist(), keys[own].tolist(), low[own].tolist(), high[own].tolist(), strict=True):
+                    row = rows[i]
+                    out.append((key, *(row[c] for c in (*_LINE, *_PLACE)), k, "\n".join([row["line"][x:y] for x, y in zip(a, b, strict=True)])))
+                yield _batch(out, _LEFT)
 
     return run
 
@@ -204,7 +219,7 @@ def _common(a: str, b: str) -> int:
 
 
 def char_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """For the keys that too many lines share: keys of characters, without a text, where few tell the lines apart; else the row."""
+    """For the keys that too many lines share: keys of characters, without a text, where few tell the lines apart; else the row as it is."""
     for batch in batches:
         out: list[tuple] = []
         for row in batch.to_pylist():
@@ -212,7 +227,7 @@ def char_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             head = _common(row["low"], row["high"])
             tail = min(_common(row["back_low"], row["back_high"]), row["least"] - head)
             text, k, own = row["left"][head : len(row["left"]) - tail], row["k"], tuple(row[c] for c in (*_LINE, *_PLACE))
-            if row["most"] - head - tail <= FEW_CHARS:
+            if row["most"] <= 4 * k + head + tail or row["most"] - head - tail <= FEW_CHARS:
                 out += [(_hash(f"{row['key']}/{x}"), *own, k, None) for x in char_keys(text, k)]
             else:
                 out.append((row["key"], *own, k, text))
@@ -261,25 +276,25 @@ def candidates(docs: DataFrame, min_chars: int, edits: int, per: int) -> DataFra
 def near_lines(docs: DataFrame, min_chars: int, edits: int, per: int) -> DataFrame:
     """``h1, h2, like``: the lines within the bound of an earlier one, and the first place of the earliest such one."""
     texts = candidates(docs, min_chars, edits, per)
-    pieces = texts.select(*_LINE, "line").mapInArrow(frugal(piece_rows(edits, per)), "key bigint, h1 bigint, h2 bigint")
-    shared = pieces.groupBy("key").agg(F.count("*").alias("size")).where("size > 1").select("key")
-    own = pieces.join(shared, "key").groupBy(*_LINE).agg(F.collect_set("key").alias("keys"))
-    rows = stored(texts.join(own, list(_LINE)).mapInArrow(frugal(left_rows(edits, per)), _LEFT_DDL), "line-variants")
     back, length, place = F.reverse("left"), F.length("left"), F.struct(*_PLACE, *_LINE)
-    sizes = rows.groupBy("key").agg(F.count("*").alias("size"), F.min("left").alias("low"), F.max("left").alias("high"), F.min(back).alias("back_low"), F.max(back).alias("back_high"), F.min(length).alias("least"), F.max(length).alias("most"))
-    sizes = stored(sizes.where("size > 1"), "line-variant-sizes")
-    few = rows.join(sizes.where(F.col("size") <= SMALL).select("key"), "key").withColumn("blocks", F.lit(1).cast("bigint"))
-    many = rows.join(sizes.where(F.col("size") > SMALL), "key")
-    blocks = F.ceil(F.col("size") / SMALL)
-    if many.isEmpty():
-        found = _near_pairs(few)
-    else:
-        many = stored(many.mapInArrow(frugal(char_rows), _LEFT_DDL), "line-variants")
-        long = many.where("left is not null").join(sizes.select("key", blocks.alias("blocks")), "key")
+    lines, parts = texts, []
+    for level in count():
+        pieces = lines.select(*_LINE, "line").mapInArrow(frugal(piece_rows(edits, per, level)), "key bigint, h1 bigint, h2 bigint")
+        shared = pieces.groupBy("key").agg(F.min("h1").alias("low"), F.max("h1").alias("high")).where("low <> high").select("key")
+        own = pieces.join(shared, "key").groupBy(*_LINE).agg(F.collect_set("key").alias("keys"))
+        rows = stored(lines.join(own, list(_LINE)).mapInArrow(frugal(left_rows(edits, per, level)), _LEFT_DDL), "line-variants")
+        sizes = rows.groupBy("key").agg(F.count("*").alias("size"), F.min("left").alias("low"), F.max("left").alias("high"), F.min(back).alias("back_low"), F.max(back).alias("back_high"), F.min(length).alias("least"), F.max(length).alias("most"))
+        sizes = stored(sizes.where("size > 1"), "line-variant-sizes")
+        parts.append(_near_pairs(rows.join(sizes.where(F.col("size") <= SMALL).select("key"), "key")))
+        many = stored(rows.join(sizes.where(F.col("size") > SMALL), "key").mapInArrow(frugal(char_rows), _LEFT_DDL), "line-variants")
         ends = many.where("left is null").select("key", place.alias("own"))
         first = stored(ends.groupBy("key").agg(F.min("own").alias("first"), F.count("*").alias("size")).where("size > 1").drop("size"), "line-witnesses")
-        found = _near_pairs(few.unionByName(long)).unionByName(ends.join(first, "key").where(F.col("first") < F.col("own")).select("own.h1", "own.h2", "first"))
-    found = found.groupBy(*_LINE).agg(F.min("first").alias("first"))
+        parts.append(ends.join(first, "key").where(F.col("first") < F.col("own")).select("own.h1", "own.h2", "first"))
+        again = many.where("left is not null").select(*_LINE).distinct()
+        if again.isEmpty():
+            break
+        lines = stored(texts.join(again, list(_LINE), "left_semi"), "line-finer")
+    found = reduce(DataFrame.unionByName, parts).groupBy(*_LINE).agg(F.min("first").alias("first"))
     found = stored(found.select(*_LINE, "first"), "line-near")
     other = texts.select(F.col("h1").alias("w1"), F.col("h2").alias("w2"), F.col("line").alias("other"))
     met = found.select(*_LINE, *[F.col(f"first.{c}") for c in _PLACE], F.col("first.h1").alias("w1"), F.col("first.h2").alias("w2"))
@@ -320,12 +335,10 @@ def _kept(rows: DataFrame) -> DataFrame:
 
 
 def _near_pairs(rows: DataFrame) -> DataFrame:
-    """``h1, h2, first``: lines of one key, and earlier ones within the bound; ``blocks`` says into how many blocks a key is cut."""
-    rows = rows.withColumn("own", F.struct(*_PLACE, *_LINE)).withColumn("block", F.pmod(F.xxhash64("h1"), "blocks"))
-    rows = stored(rows.select("key", "k", "left", "own", "block", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)).alias("other")), "line-blocks")
-    later = rows.select("key", F.col("block").alias("i"), F.col("other").alias("j"), "k", "left", "own")
-    earlier = rows.select("key", F.col("other").alias("i"), F.col("block").alias("j"), F.col("left").alias("text"), F.col("own").alias("first"))
-    met = later.join(earlier, ["key", "i", "j"]).where((F.col("first") < F.col("own")) & (F.abs(F.length("left") - F.length("text")) <= F.col("k")))
+    """``h1, h2, first``: lines of one key, and earlier ones within the bound; at most ``SMALL`` lines have a key."""
+    rows = stored(rows.select("key", "k", "left", F.struct(*_PLACE, *_LINE).alias("own")), "line-few")
+    earlier = rows.select("key", F.col("left").alias("text"), F.col("own").alias("first"))
+    met = rows.join(earlier, "key").where((F.col("first") < F.col("own")) & (F.abs(F.length("left") - F.length("text")) <= F.col("k")))
     flat = [F.col(f"first.{c}").alias(f"first_{c}") for c in (*_PLACE, *_LINE)]
     near = _kept(met.select("left", "text", "k", "own.h1", "own.h2", *flat))
     return near.select(*_LINE, F.struct(*[F.col(f"first_{c}").alias(c) for c in (*_PLACE, *_LINE)]).alias("first"))

@@ -115,7 +115,8 @@ def shard_rows(docs: DataFrame, shards: int = SHARDS, vnodes: int = VNODES) -> D
     steps = ranked.select(*own, "arc", "owner", "n", "from", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1, F.lit(COPIES).cast("long"))).alias("step"))
     if not same.where(F.col("n") > COPIES).isEmpty():
         steps = steps.repartition("arc", "from", "step")
-    ranked = steps.select(*own, "arc", "owner", (F.col("from") + F.explode(F.sequence(F.col("step"), F.least(F.col("step") + COPIES, "n") - 1))).alias("rank"))
+    copies = F.explode(F.sequence(F.col("step"), F.least(F.col("step") + COPIES, "n") - 1)).alias("copy")
+    ranked = steps.select(*own, "arc", "owner", "from", copies).select(*own, "arc", "owner", (F.col("from") + F.col("copy")).alias("rank"))
     placed = ranked.join(F.broadcast(plan), (ranked.arc == plan.arc) & (ranked["rank"] >= plan.low) & (ranked["rank"] < plan.high))
     return placed.select(*own, F.lit("rows").alias("law"), "shard", (F.col("first") + F.col("rank") - F.col("low")).alias("slot"), F.lit(None).cast("int").alias("grown_shard"), F.col("owner").alias("home"))
 

@@ -77,7 +77,7 @@ def test_against_all_pairs(docs):
 OPTIONS = [{"edits": 0}, {"edits": 1, "chars_per_edit": 0, "min_chars": 0}, {"edits": 3, "chars_per_edit": 8}]
 
 
-@pytest.mark.parametrize(("small", "few", "options"), [*[(D.SMALL, D.FEW_CHARS, x) for x in OPTIONS], (3, 0, {}), (2, 40, {})])
+@pytest.mark.parametrize(("small", "few", "options"), [*[(D.SMALL, D.FEW_CHARS, x) for x in OPTIONS], (3, 0, {"edits": 1}), (2, 16, {})])
 def test_any_bound(docs, monkeypatch, options, small, few):
     """Also with left-out blocks of few lines, and with characters deleted wherever three lines share a variant."""
     monkeypatch.setattr(D, "SMALL", small)
