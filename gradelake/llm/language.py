@@ -63,7 +63,10 @@ def word_scripts(codes: np.ndarray, starts: np.ndarray) -> np.ndarray:
 
 
 def ngrams(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hashed n-grams of all words, the word each belongs to, and each word's script.  Words are set between blanks."""
+    """Hashed n-grams of all words, the word each belongs to, and each word's script.
+
+    Words are set between blanks, which can begin or end an n-gram, not both.
+    """
     text = " " + " ".join(words) + " "
     # U+0130 is the only letter that grows in lower case; blanks part the words, so each is lowered by itself.
     codes = np.frombuffer(text.replace("\u0130", "i").lower().encode("utf-32-le"), np.uint32)

@@ -52,6 +52,6 @@ def test_long_conversations_are_cut(spark, monkeypatch, chunk):
 
 
 def test_edges(spark):
-    rows = [(None, 0, "user", "lost"), (1, 0, None, "a"), (2, 0, "", "a"), (3, None, "user", None), (3, None, "user", None), (4, None, "user", ""), (5, 0, "user", "x" * 100_000), (6, 1, "b", "q"), (6, 1, "a", "q"), (7, 3, "a", "q")]
+    rows = [(None, 0, "user", "lost"), (1, 0, None, "a"), (2, 0, "", "a"), (3, None, "user", None), (3, None, "user", None), (4, None, "user", ""), (5, 0, "user", "x" * 100_000), (6, 1, "b", "q"), (6, 1, "a", "q"), (7, 3, "a", "q"), (8, -3, "u", "second"), (8, None, "u", "first"), (8, 0, "u", "third"), (8, -600, "v", "x")]
     assert found(spark, rows) == brute(rows, C.CHUNK)
     assert found(spark, []) == []

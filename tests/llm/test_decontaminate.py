@@ -67,6 +67,30 @@ def test_edges(spark, docs):
     rows = [(1, None), (2, ""), (3, item), (3, item), (None, "x " * 40_000 + item), (5, item[4:-3]), (6, "Another item -- without any id\nat all."), (7, item[: len(item) // 2])]
     df = docs(rows, extra=True)
     assert found(spark, df, items) == {(3, 1, 0), (3, 2, 0), (None, 1, 0), (None, 2, 0), (6, None, 0)}
-    kept = drop_leaks(df, spark.createDataFrame(items, "item_id bigint, text string"))
+    bench = spark.createDataFrame(items, "item_id bigint, text string")
+    kept = drop_leaks(df, bench)
+    assert all(r.leaks == r.removed == r.h1 == "x" for r in kept.collect())
+    assert sorted(map(str, drop_leaks(df, bench, block_chars=20).collect())) == sorted(map(str, kept.collect()))
     assert kept.columns == df.columns and sorted(((r.doc_id for r in kept.collect())), key=str) == [1, 2, 5, 7]
     assert found(spark, docs([]), items) == set() and found(spark, docs(rows), []) == set()
+
+
+def test_many_small_blocks(spark, docs, monkeypatch):
+    """Ten passes hold one automaton each and give what one pass gives; ``end`` is where the first best passage ends."""
+    rows, items = make(random.Random(11))
+    bench = spark.createDataFrame(items, "item_id bigint, text string")
+    say = lambda **o: sorted((r.doc_id, sorted(map(tuple, r.leaks))) for r in find_leaks(docs(rows), bench, **o).collect())
+    whole, parts = say(), say(block_chars=90)
+    assert whole == parts
+    texts, wanted = dict(rows), dict(items)
+    for doc_id, leaks in whole:
+        for item_id, d, end in leaks:
+            p, t = plain(wanted[item_id]), plain(texts[doc_id])
+            # The passage that ends there is at the least distance, and no shorter beginning of the text holds one.
+            assert least(p, t[:end]) == d and least(p, t[: end - 1]) > d
+
+
+def test_short_items_are_whole_words(spark, docs):
+    rows = [(1, "a yes man"), (2, "yesterday"), (3, "oh, YES!"), (4, None)]
+    assert found(spark, docs(rows), [(1, "yes"), (2, ""), (3, "?")], min_item=1) == {(1, 1, 0), (3, 1, 0)}
+    assert found(spark, docs(rows), [(1, "yes")]) == set()

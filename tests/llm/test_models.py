@@ -1,6 +1,7 @@
 """Language ID and the quality classifier: held-out accuracy, kernels, edge cases."""
 
 import random
+import zlib
 
 import numpy as np
 import pytest
@@ -42,6 +43,10 @@ def test_language_edges(spark, docs):
     rows = [(1, None), (2, ""), (3, "12 !? 3"), (4, "the garden and the house " * 9 + "und der garten mit dem haus und vielen worten " * 3), (5, "дом и сад"), (6, "und das haus " * 30_000), (None, "the words")]
     df = docs(rows, extra=True)
     out = {r.doc_id: (r.lang_pred, r.score, r.n_spans) for r in L.identify(df, model).collect()}
+    clash = L.identify(df.withColumn("said", F.lit("x")), model)
+    assert all(r.said == r.removed == "x" for r in clash.collect())
+    twice = L.identify(df.unionByName(df), model).groupBy("doc_id", "text", "lang_pred", "score", "n_spans").count().where("count <> 2")
+    assert twice.isEmpty()
     assert L.identify(df, model).columns[: len(df.columns) - 2] == [c for c in df.columns if c not in ("lang_pred", "score")]
     assert out[1] == out[2] == out[3] == ("und", 0.0, 0)
     assert out[4][0] == "en" and out[4][2] == 2 and out[5][0] in ("en", "de") and out[6][:2] == ("de", 1.0) and out[None][0] == "en"
@@ -90,3 +95,50 @@ def test_a_letter_that_grows_in_lower_case_changes_no_other_word():
         alone, _, script = L.ngrams([word])
         assert sorted(grams[owner == i]) == sorted(alone) and scripts[i] == script[0]
     assert sorted(grams[owner == 0]) == sorted(L.ngrams(["und"])[0])
+
+
+def test_grams_of_words():
+    """Each word, between blanks, gives all its runs of one to four signs, but none with blanks at both ends or across words."""
+    words = ["ab", "Дом", "x"]
+    grams, owner, scripts = L.ngrams(words)
+    counts = [0, 0, 0]
+    for i, w in enumerate(words):
+        padded = f" {w.lower()} "
+        runs = [padded[a : a + n] for n in L.ORDERS for a in range(len(padded) - n + 1)]
+        counts[i] = sum(r != " " and not (len(r) > 1 and r[0] == r[-1] == " ") for r in runs)
+    assert [int((owner == i).sum()) for i in range(3)] == counts
+    assert scripts.tolist() == [1, 3, 1]
+    same, _, _ = L.ngrams(["ab"])
+    assert sorted(same) == sorted(grams[owner == 0])
+
+
+def test_scores_of_words():
+    """Sums of the grams' weights, over the orders, as differences from the best; languages of other scripts are far off."""
+    rng = np.random.default_rng(4)
+    model = L.Model(["a", "b", "c"], rng.normal(size=(L.BUCKETS, 3)).astype(np.float32), np.array([1 << 1, 1 << 1, 1 << 3]))
+    words = ["word", "слово", "x"]
+    got = L.score_words(words, model)
+    for i, w in enumerate(words):
+        grams, _, _ = L.ngrams([w])
+        own = model.weights[grams].sum(0) / len(L.ORDERS)
+        own[[2] if i != 1 else [0, 1]] = -np.inf
+        assert got[i] == pytest.approx(np.maximum(own - own.max(), -50), abs=1e-3)
+
+
+def test_features_of_a_text():
+    """Hashed words as a vector of length one, and every statistic, against plain counting."""
+    text = "The the cat, 12 !!\n\nThe the cat, 12 !!\nÉté дом x."
+    at, values, stats = Q.features(text, 30, Q._Bucket())
+    words = text.split()
+    counts = {w: words.count(w) for w in words}
+    assert sorted(zip(at.tolist(), (values**2 * len(words)).round(4).tolist(), strict=True)) == sorted((zlib.crc32(w.lower().encode()) % Q.BUCKETS, float(c)) for w, c in counts.items())
+    lines = [x for x in text.split("\n") if x]
+    n, m = len(text), len(words)
+    sign = lambda c: not c.isalnum() and not c.isspace()
+    want = [
+        np.log1p(m), np.log1p(n), sum(map(len, words)) / m, sum(c.isupper() for c in text) / n, sum(c.isdigit() for c in text) / n, sum(map(sign, text)) / n,
+        sum(not w[-1].isalnum() for w in words) / m, sum(not any(map(str.isalpha, w)) for w in words) / m, len(counts) / m, sum(a == b for a, b in zip(words, words[1:])) / m,
+        max(counts.values()) / m, np.log1p(3), 1 - 2 / 3, np.log1p(n / 3),
+    ]
+    assert stats[:14] == pytest.approx(want) and stats[15:] == pytest.approx([np.log1p(30), 0.0])
+    assert len(lines) == 3 and len(stats) == len(Q.STATISTICS)

@@ -3,9 +3,11 @@
 import duckdb
 import public_tokenizers
 import tiktoken
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from gradelake.llm.bpe import load_ranks
+from gradelake.llm.common import stored
 from gradelake.llm.decontaminate import budget, masks, nearest
 from tests.llm.test_decontaminate import plain
 from tests.llm.test_line_dedup import brute as lost_lines
@@ -31,9 +33,40 @@ def test_stages(spark, sf):
     for n, (_, stage) in enumerate(corpus_pipeline.STAGES[:4]):
         docs = stage(spark, docs, sf)
         assert docs.columns == names, n
-        docs = corpus_pipeline.stored(docs, "test-stage")
+        docs = stored(docs, "test-stage")
     got = {r.doc_id: r.text for r in docs.collect()}
     assert {i: t for i, t in got.items() if len(t) < 4000} == {i: t for i, t in expected.items() if len(t) < 4000}
     library = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=load_ranks(corpus_pipeline.TOKENIZER), special_tokens={})
     counts = {r.doc_id: r.n_tokens for r in corpus_pipeline.STAGES[4][1](spark, docs, sf).collect()}
     assert counts == {i: len(library.encode_ordinary(t)) for i, t in got.items()}
+
+
+def test_run_on_odd_rows(spark, tmp_path, sf):
+    """Null, empty, very long, repeated and clashing values through ``run`` and every stage."""
+    import shutil
+
+    words = [f"word{i}" for i in range(400)]
+    long = " ".join(words[i % 397] for i in range(20_000))
+    item = duckdb.sql(f"SELECT text FROM '{sf}/benchmark.parquet' ORDER BY item_id LIMIT 1").fetchall()[0][0]
+    rows = [(1, None, "en"), (2, "", "en"), (3, "12 !?", "en"), (4, long, "en"), (5, long + " end", "de"), (6, "a text of its own that nothing else is like at all", None), (6, "a text of its own that nothing else is like at all", None), (None, "another text which has no id but many good words in it", "en"), (9, f"before it {item} and after", "en")]
+    df = spark.createDataFrame([(*r, "s", 1) for r in rows], "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    for name in ("removed", "leaks", "said", "row", "version", "score", "n_spans", "lang_pred", "rep", "keep", "_id", "_version"):
+        df = df.withColumn(name, F.lit("x"))
+    df.coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    shutil.copy(f"{sf}/benchmark.parquet", tmp_path / "benchmark.parquet")
+    docs = df
+    for name, stage in corpus_pipeline.STAGES[:4]:
+        docs = stage(spark, docs, str(tmp_path))
+        assert docs.columns == df.columns, name
+    left = docs.collect()
+    assert all(r.removed == r.leaks == r.said == r.row == r.version == r.score == r.rep == r.keep == r._id == r._version == r.n_spans == r.lang_pred == "x" for r in left)
+    assert sorted(str(r.doc_id) for r in left) == ["4", "6", "None"]
+    library = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=load_ranks(corpus_pipeline.TOKENIZER), special_tokens={})
+    out = {r.doc_id: list(r.ids) for r in corpus_pipeline.run(spark, str(tmp_path)).collect()}
+    assert out == {r.doc_id: library.encode_ordinary(r.text) for r in left}
+
+
+def test_run_on_an_empty_table(spark, tmp_path, sf):
+    for name in ("documents", "benchmark"):
+        spark.read.parquet(f"{sf}/{name}.parquet").limit(0).coalesce(1).write.parquet(str(tmp_path / f"{name}.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path)).collect() == []

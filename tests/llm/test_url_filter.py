@@ -65,3 +65,14 @@ def test_rules_of_a_host_only(spark, monkeypatch, limit):
     urls = [*URLS, "http://example.org?q", "http://a.example.org/x/y", "http://b.example.org/es"]
     table = spark.createDataFrame(rules, "verdict string, rule string")
     assert judged(spark, urls, table) == {i: brute(u, rules) for i, u in enumerate(urls)}
+
+
+@pytest.mark.parametrize("limit", [U.BROADCAST_RULES, 0])
+def test_odd_rules(spark, monkeypatch, limit):
+    """Null parts leave a rule out, hosts in upper case fit, repeated rows stay, and long urls are read whole."""
+    monkeypatch.setattr(U, "BROADCAST_RULES", limit)
+    rules = [("block", "Example.ORG/es/"), (None, "com/"), ("allow", None), ("block", "long.com/" + "a" * 5000)]
+    urls = ["http://example.org/es/1", "http://a.com/", "http://long.com/" + "a" * 5000 + "b", "http://long.com/" + "a" * 4999, "http://example.org/es/1"]
+    got = judged(spark, urls, spark.createDataFrame(rules, "verdict string, rule string"))
+    assert [got[i][3] for i in range(5)] == ["block", "allow", "block", "allow", "block"]
+    assert got[0][2] == got[4][2] == "Example.ORG/es/"
