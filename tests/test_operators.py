@@ -5,7 +5,9 @@ from pyspark.sql import functions as F
 
 from gradelake.functions import numeric as N
 from gradelake.functions import text as T
-from gradelake.operators import grading, history, matching, pricing
+from gradelake.operators import geometry, grading, history, matching, pricing
+from gradelake.pixels import relational
+from gradelake.plans import market_queries
 from gradelake.sources import catalog
 from gradelake.streaming import live
 
@@ -113,3 +115,81 @@ def test_stream_equals_replay(spark, tmp_path):
     assert query.awaitTermination(120)
     got = sorted(map(tuple, spark.table("tracked").collect()), key=str)
     assert got == sorted(map(tuple, live.replay(frames).collect()), key=str)
+
+
+def test_line_fit_needs_four_points(spark):
+    """Two and three points make no line; a point two deviations off is left out if four remain; one place on x gives a level line."""
+    points = [(1, 0.0, 0.0), (1, 1.0, 2.0), (2, 0.0, 1.0), (2, 1.0, 1.0), (2, 2.0, 1.0), (4, 3.0, 1.0), (4, 3.0, 2.0), (4, 3.0, 3.0), (4, 3.0, 6.0)]
+    points += [(3, float(x), 2.0 * x + 5 + (100 if x == 9 else 0)) for x in range(20)]
+    rows = spark.createDataFrame(points, "line int, x double, y double")
+    got = {r.line: (r.slope, r.intercept) for r in geometry.line_fit(rows, ["line"]).collect()}
+    assert got[1] == got[2] == (None, None) and got[4] == (0.0, 3.0)
+    assert got[3] == (pytest.approx(2.0), pytest.approx(5.0))
+
+
+def quad(spark, *xy):
+    names = [f"{n}_{a}" for n in geometry.CORNERS for a in "xy"]
+    df = spark.createDataFrame([(*map(float, xy), 1000.0, 1200.0, 0.0, 1.0)], ", ".join(f"{n} double" for n in (*names, "frame_w", "frame_h", "blown", "density")))
+    return geometry.gate(geometry.measures(df)).first()
+
+
+def test_quads(spark):
+    good = quad(spark, 100, 100, 814, 100, 814, 1100, 100, 1100)
+    assert good.convex and good.plausible and good.confidence > 0.9
+    assert not quad(spark, 480, 600, 814, 100, 814, 1100, 100, 1100).convex
+    assert quad(spark, 100, 600, 100, 100, 814, 100, 814, 1100).convex  # a collinear corner breaks nothing
+    assert not quad(spark, -50, 0, 664, 0, 664, 1000, -50, 1000).plausible  # on the bound is outside
+
+
+def test_no_reference_pixels_count_as_gray(spark):
+    rows = spark.createDataFrame([(1, 0, 0, 9.0, 9.0, 9.0)], "image int, y int, x int, r double, g double, b double")
+    assert tuple(relational.mean_color(rows, F.col("x") > 5).first()) == (1, 128.0, 128.0, 128.0)
+
+
+def test_vectors_of_other_lengths(spark):
+    """An odd or null vector, wherever it stands, takes nothing away from the others."""
+    index = spark.createDataFrame([(9, [1.0]), (8, None), (1, [1.0, 0.0]), (2, [0.0, 1.0])], "id bigint, embedding array<float>")
+    asks = spark.createDataFrame([(5, [1.0, 0.1]), (6, [2.0]), (7, None)], "query_id bigint, vector array<double>")
+    got = sorted((r.query_id, r.id, r["rank"]) for r in matching.nearest(asks, index).collect())
+    assert got == [(5, 1, 1), (5, 2, 2), (6, 9, 1)]
+
+
+def test_a_score_must_beat_the_rounded_best(spark):
+    """0.60045 is shown as 0.6, so a later 0.6004 still wins over it; a later 0.5999 does not."""
+    cards = spark.createDataFrame([(i, f"n{i}", "1", "s", None) for i in (1, 2, 3)], "id bigint, name string, number string, set_name string, release_date string")
+    asks = spark.createDataFrame([(1, None, None)], "query_id bigint, name string, number string")
+    short = lambda *art: spark.createDataFrame([(1, i + 1, a / 0.6, i + 1) for i, a in enumerate(art)], "query_id bigint, id bigint, art double, rank int")
+    assert matching.hybrid_match(short(0.60045, 0.6004, 0.5999), asks, cards).first().id == 2
+    assert matching.hybrid_match(short(0.60045, 0.5999), asks, cards).first().id == 1
+
+
+def test_requests_reach_every_branch(spark, sf):
+    """Numbered, unnumbered, a number that nothing has, a name that nothing has, and more hits than are shown."""
+    found = market_queries.catalog_search(spark, sf)
+    numbered = {r.numbered for r in found.select("numbered").distinct().collect()}
+    deep = found.groupBy("query_id").count()
+    assert numbered == {True, False} and deep.agg(F.max("count")).first()[0] == pricing.PAGE
+    assert market_queries.candidate_rank(spark, sf).agg(F.max("rank")).first()[0] == pricing.SHOWN
+    assert not market_queries.market_record(spark, sf).where("not identified").isEmpty()
+
+
+def test_strided_over_ranges(spark):
+    rows = spark.range(1000).select((F.col("id") * 7919 % 1000).alias("k"), F.lit("x").alias("v"))
+    assert sorted(r.k for r in history.strided(rows, "k", 30, ranges=5).collect()) == [i * 33 for i in range(30)]
+    assert history.strided(rows.limit(0), "k", 30).count() == 0
+
+
+def test_files(spark, tmp_path):
+    rows = spark.createDataFrame([("a", "n", "1", "i", [1.0, 2.0]), ("b", "n", "1", None, [1.0, 2.0]), ("c", "n", "1", "i", None), ("d", "n", "1", "i", [1.0])], "id string, name string, number string, image string, embedding array<double>")
+    good, bad = catalog.split_valid(rows, 2)
+    assert [r.id for r in good.collect()] == ["a"] and {r.reject_reason: r["count"] for r in bad.collect()} == {"no image": 1, "no vector": 1, "wrong length": 1}
+    assert [r.id for r in catalog.without_cached(rows, rows.where("id <> 'b'")).collect()] == ["b"]
+    catalog.write_vectors(good, str(tmp_path / "v"))
+    assert spark.read.parquet(str(tmp_path / "v")).first().embedding == [1.0, 2.0]
+    catalog.write_catalog(good.select("id", "name", "number"), str(tmp_path / "c"))
+    assert [r.name for r in catalog.read_catalog(spark, str(tmp_path / "c")).collect()] == ["n"]
+    images = spark.createDataFrame([("x/1.png",), ("x/2.png",)], "path string")
+    masks = spark.createDataFrame([("y/2.jpg",)], "path string")
+    assert [r.mask for r in catalog.paired_files(images, masks, 1).collect()] == ["y/2.jpg"]
+    with pytest.raises(ValueError, match="fewer"):
+        catalog.paired_files(images, masks, 2)
