@@ -28,6 +28,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -99,8 +100,11 @@ def running_sums(text: str) -> tuple[np.ndarray, np.ndarray]:
     return sums, _TABLES[1]
 
 
-def filter_rows(edits: int, per: int) -> Callable:
-    """The pieces a line can share with a near one, hashed: as the shorter line, and as one longer by each number of characters."""
+def filter_rows(edits: int, per: int, shared: Broadcast | None = None) -> Callable:
+    """The pieces a line can share with a near one, hashed: as the shorter line, and as one longer by each number of characters.
+
+    With ``shared``, sorted keys, only those pieces.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -120,8 +124,12 @@ def filter_rows(edits: int, per: int) -> Callable:
                         own = at[(low >= 0) & (low <= high) & (high <= n[at])]
                         low, high = (start[own] + m[own] * c // (k + 1) + by for c in (q, q + 1))
                         key = (sums[high] - sums[low]) * down[low] + m[own].astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93) + np.uint64(q * 0xFF51AFD7ED558CCD % (1 << 64))
-                        key = (key ^ (key >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
-                        yield pa.RecordBatch.from_arrays([pa.array(x) for x in (key.view(np.int64), h1[own], h2[own])], schema=_KEYS)
+                        key = ((key ^ (key >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)).view(np.int64)
+                        if shared is not None:
+                            known = shared.value
+                            hit = known[np.searchsorted(known, key) % len(known)] == key if len(known) else np.zeros(len(key), bool)
+                            own, key = own[hit], key[hit]
+                        yield pa.RecordBatch.from_arrays([pa.array(x) for x in (key, h1[own], h2[own])], schema=_KEYS)
 
     return run
 
@@ -266,8 +274,12 @@ def candidates(docs: DataFrame, min_chars: int, edits: int, per: int) -> DataFra
     # A key of one line only has one hash, however many rows that line has.
     shared = keyed.groupBy("key").agg(F.min("h1").alias("low"), F.max("h1").alias("high")).where("low <> high").select("key")
     shared = stored(shared, "line-pieces")
-    small = F.broadcast if shared.count() <= BROADCAST_ROWS else lambda df: df
-    met = stored(keyed.join(small(shared), "key").select(*_LINE).distinct(), "line-candidates")
+    if shared.count() <= BROADCAST_ROWS:
+        known = docs.sparkSession.sparkContext.broadcast(np.sort(np.array([r.key for r in shared.toLocalIterator()], np.int64)))
+        hits = lines.select(*_LINE, "line").mapInArrow(frugal(filter_rows(edits, per, known)), "key bigint, h1 bigint, h2 bigint")
+    else:
+        hits = keyed.join(shared, "key")
+    met = stored(hits.select(*_LINE).distinct(), "line-candidates")
     small = F.broadcast if met.count() <= BROADCAST_ROWS else lambda df: df
     texts = lines.join(small(met), list(_LINE)).groupBy(*_LINE).agg(F.min(F.struct(*_PLACE, "line")).alias("first"))
     return stored(texts.select(*_LINE, "first.*"), "line-texts")
@@ -285,11 +297,14 @@ def near_lines(docs: DataFrame, min_chars: int, edits: int, per: int) -> DataFra
         rows = stored(lines.join(own, list(_LINE)).mapInArrow(frugal(left_rows(edits, per, level)), _LEFT_DDL), "line-variants")
         sizes = rows.groupBy("key").agg(F.count("*").alias("size"), F.min("left").alias("low"), F.max("left").alias("high"), F.min(back).alias("back_low"), F.max(back).alias("back_high"), F.min(length).alias("least"), F.max(length).alias("most"))
         sizes = stored(sizes.where("size > 1"), "line-variant-sizes")
-        parts.append(_near_pairs(rows.join(sizes.where(F.col("size") <= SMALL).select("key"), "key")))
+        # Stored level by level, so that no plan holds them all.
+        parts.append(stored(_near_pairs(rows.join(sizes.where(F.col("size") <= SMALL).select("key"), "key")).groupBy(*_LINE).agg(F.min("first").alias("first")), "line-near"))
+        if sizes.where(F.col("size") > SMALL).isEmpty():
+            break
         many = stored(rows.join(sizes.where(F.col("size") > SMALL), "key").mapInArrow(frugal(char_rows), _LEFT_DDL), "line-variants")
         ends = many.where("left is null").select("key", place.alias("own"))
         first = stored(ends.groupBy("key").agg(F.min("own").alias("first"), F.count("*").alias("size")).where("size > 1").drop("size"), "line-witnesses")
-        parts.append(ends.join(first, "key").where(F.col("first") < F.col("own")).select("own.h1", "own.h2", "first"))
+        parts.append(stored(ends.join(first, "key").where(F.col("first") < F.col("own")).select("own.h1", "own.h2", "first"), "line-near"))
         again = many.where("left is not null").select(*_LINE).distinct()
         if again.isEmpty():
             break
