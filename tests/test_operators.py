@@ -163,8 +163,9 @@ def test_a_score_must_beat_the_rounded_best(spark):
     assert matching.hybrid_match(short(0.60045, 0.5999), asks, cards).first().id == 1
 
 
-def test_requests_reach_every_branch(spark, sf):
+def test_requests_reach_every_branch(spark):
     """Numbered, unnumbered, a number that nothing has, a name that nothing has, and more hits than are shown."""
+    sf = "/root/testdata/sf0.01"
     found = market_queries.catalog_search(spark, sf)
     numbered = {r.numbered for r in found.select("numbered").distinct().collect()}
     deep = found.groupBy("query_id").count()
