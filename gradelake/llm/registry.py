@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from gradelake.llm import bpe, chat, decontaminate, exact_dedup, language, line_dedup, ngram_join, periodic, quality, sharding, url_filter, whitening
+from gradelake.llm import bpe, chat, chosen_path, decontaminate, exact_dedup, language, line_dedup, ngram_join, periodic, quality, sharding, url_filter, whitening
 
 QUERIES = {
     "op1_line_dedup": line_dedup.op1_line_dedup,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_chat_format": chat.op8_chat_format,
     "op9_decontaminate": decontaminate.op9_decontaminate,
     "op10_language_id": language.op10_language_id,
+    "op11_near_dedup": chosen_path.op11_near_dedup,
     "op12_whitening": whitening.op12_whitening,
     "op13_periodic_runs": periodic.op13_periodic_runs,
 }
