@@ -7,7 +7,7 @@ found by a deletion-neighbourhood join:
    lines that share one with another distinct line go on.  All pieces are hashed from running sums over a batch.
 2. *Variants*: each such line is cut into ``k + 2`` pieces; every variant without ``k`` of them is a hashed key.
    The longer line of a pair tries the few ways in which its pieces can be moved.
-3. *Join*: of lines with equal variants the left-out pieces are compared, each with the earlier ones.  Where more
+3. *Join*: of lines with equal variants the left-out pieces are compared one by one with those of the earlier lines.  Where more
    than ``SMALL`` lines share a variant, none are compared: they are cut into three times as many pieces, and step 2
    starts again for them.  Once the lines of a variant differ in few characters only, the variants without ``k`` of
    these characters, with the places of them, are keys.  All lines of such a key are within ``k`` edits of each
@@ -45,6 +45,8 @@ SMALL = 128
 FEW_CHARS = 16
 #: Keys or lines that are broadcast (16 bytes each), else joined by shuffle.
 BROADCAST_ROWS = 1_000_000
+#: What parts the left-out pieces of a line; no line holds it.
+PARTED = "\n"
 #: Rows of variants that a task hands on at once.
 ROWS_OUT = 50_000
 #: Keys that are hashed at once.
@@ -172,10 +174,14 @@ def piece_keys(lines: list[str], edits: int, per: int, level: int) -> Iterator[t
 
 
 def char_keys(text: str, k: int) -> set[str]:
-    """Variants without up to ``k`` characters, with ``k`` places where characters of either text may be missing."""
+    """Variants without up to ``k`` characters, with ``k`` places where characters of either text may be missing.
+
+    What parts the pieces stays, so texts of one variant are within ``k`` edits piece by piece.
+    """
     found = set()
-    for n in range(min(k, len(text)) + 1):
-        for gone in combinations(range(len(text)), n):
+    own = [i for i, c in enumerate(text) if c != PARTED]
+    for n in range(min(k, len(own)) + 1):
+        for gone in combinations(own, n):
             rest, at = [], 0
             for i in gone:
                 rest.append(text[at:i])
@@ -215,7 +221,7 @@ def left_rows(edits: int, per: int, level: int) -> Callable:
                 out = []
                 for i, key, a, b in zip(at[own].tolist(), keys[own].tolist(), low[own].tolist(), high[own].tolist(), strict=True):
                     row = rows[i]
-                    out.append((key, *(row[c] for c in (*_LINE, *_PLACE)), k, "\n".join([row["line"][x:y] for x, y in zip(a, b, strict=True)])))
+                    out.append((key, *(row[c] for c in (*_LINE, *_PLACE)), k, PARTED.join([row["line"][x:y] for x, y in zip(a, b, strict=True)])))
                 yield _batch(out, _LEFT)
 
     return run
@@ -334,19 +340,29 @@ def within(a: str, b: str, k: int) -> bool:
     return within(a[1:], b[1:], k - 1) or within(a[1:], b, k - 1) or within(a, b[1:], k - 1)
 
 
-def _near(columns: int) -> Callable:
-    """Of rows ``a, b, k, ...`` those whose first two texts are within ``k`` edits, without these three."""
+def within_pieces(a: str, b: str, k: int) -> bool:
+    """Whether the edit distances of the pieces, each with its like, are at most ``k`` together."""
+    for x, y in zip(a.split(PARTED), b.split(PARTED), strict=True):
+        least = next((d for d in range(k + 1) if within(x, y, d)), None)
+        if least is None:
+            return False
+        k -= least
+    return True
+
+
+def _near(columns: int, test: Callable[[str, str, int], bool]) -> Callable:
+    """Of rows ``a, b, k, ...`` those whose first two texts pass the test, without these three."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             a, b, k = (batch.column(i).to_pylist() for i in range(3))
-            yield batch.select(list(range(3, columns))).filter(pa.array(list(map(within, a, b, k)), pa.bool_()))
+            yield batch.select(list(range(3, columns))).filter(pa.array(list(map(test, a, b, k)), pa.bool_()))
 
     return frugal(run)
 
 
-def _kept(rows: DataFrame) -> DataFrame:
-    return rows.mapInArrow(_near(len(rows.columns)), StructType(rows.schema.fields[3:]))
+def _kept(rows: DataFrame, test: Callable[[str, str, int], bool] = within) -> DataFrame:
+    return rows.mapInArrow(_near(len(rows.columns), test), StructType(rows.schema.fields[3:]))
 
 
 def _near_pairs(rows: DataFrame) -> DataFrame:
@@ -355,7 +371,7 @@ def _near_pairs(rows: DataFrame) -> DataFrame:
     earlier = rows.select("key", F.col("left").alias("text"), F.col("own").alias("first"))
     met = rows.join(earlier, "key").where((F.col("first") < F.col("own")) & (F.abs(F.length("left") - F.length("text")) <= F.col("k")))
     flat = [F.col(f"first.{c}").alias(f"first_{c}") for c in (*_PLACE, *_LINE)]
-    near = _kept(met.select("left", "text", "k", "own.h1", "own.h2", *flat))
+    near = _kept(met.select("left", "text", "k", "own.h1", "own.h2", *flat), within_pieces)
     return near.select(*_LINE, F.struct(*[F.col(f"first_{c}").alias(c) for c in (*_PLACE, *_LINE)]).alias("first"))
 
 

@@ -60,8 +60,11 @@ def found(df, **options):
     return {r.doc_id: {x.line_no: x.near for x in r.removed} for r in removed_lines(df, **options).collect()}
 
 
-def test_against_all_pairs(docs):
-    rng = random.Random(4)
+@pytest.mark.parametrize(("seed", "small"), [(4, D.SMALL), (4, 8), (11, 8), (12, 3)])
+def test_against_all_pairs(docs, monkeypatch, seed, small):
+    """Dense families; the true earliest witness is found, also where characters are deleted one by one."""
+    monkeypatch.setattr(D, "SMALL", small)
+    rng = random.Random(seed)
     base = ["".join(rng.choice("abcdé ") for _ in range(rng.choice([22, 25, 48, 49, 90]))) for _ in range(12)]
 
     def change(line):
@@ -74,6 +77,20 @@ def test_against_all_pairs(docs):
     assert found(docs(rows)) == expected
 
 
+def test_pieces_are_compared_one_by_one():
+    """What parts two pieces is never moved: as one text these would be two edits apart."""
+    a, b = D.PARTED.join(["zz", ""]), D.PARTED.join(["", "zz"])
+    assert D.within(a, b, 2) and not D.within_pieces(a, b, 2) and D.within_pieces(a, b, 4)
+    rng = random.Random(2)
+    for _ in range(2000):
+        x, y = (["".join(rng.choice("ab") for _ in range(rng.randrange(4))) for _ in range(2)] for _ in range(2))
+        least = sum(distance(p, q, 9) for p, q in zip(x, y, strict=True))
+        one, two = D.PARTED.join(x), D.PARTED.join(y)
+        for k in (1, 2, 3):
+            assert D.within_pieces(one, two, k) == (least <= k)
+            assert bool(D.char_keys(one, k) & D.char_keys(two, k)) == (least <= k)
+
+
 OPTIONS = [{"edits": 0}, {"edits": 1, "chars_per_edit": 0, "min_chars": 0}, {"edits": 3, "chars_per_edit": 8}]
 
 

@@ -82,9 +82,11 @@ def test_edges(docs):
 def test_equal_ids_of_different_texts(docs):
     """No clean text is lost, and links of every text of an id are found."""
     rng = random.Random(3)
-    one, two, other = family(rng, 3, 60, 2), family(rng, 3, 60, 2), family(rng, 1, 60, 1)
+    one, two = ([" ".join([*base.split()[:59], end]) for end in "xyz"] for base in (family(rng, 1, 60, 1)[0], family(rng, 1, 60, 1)[0]))
+    other = family(rng, 1, 60, 1)
     rows = [(1, one[0]), (1, two[0]), (2, one[1]), (2, two[1]), (3, one[2]), (3, two[2]), (1, other[0])]
     own = [{"one": one, "two": two, "other": other}[x] for x in ("one", "two", "other")]
+    assert [n for i, (_, n) in brute(list(enumerate(one))).items()] == [2, 2, 2]
     kept = {r.text for r in drop_near_duplicates(docs(rows)).collect()}
     assert [len(kept & set(x)) for x in own] == [1, 1, 1]
     assert sorted((r.doc_id, r.n_links) for r in near_duplicates(docs(rows)).collect()) == [(1, 0), (1, 2), (1, 2), (2, 2), (2, 2), (3, 2), (3, 2)]
