@@ -42,9 +42,9 @@ RECALL = 0.9999
 #: Share of pairs at the threshold whose sketches may be too unlike.
 SKETCH_MISS = 1e-6
 #: Levels below the roots; what is large even then is compared in blocks.
-LEVELS = 8
+LEVELS = 5
 #: Members of a node that are compared with each other.
-SMALL = 64
+SMALL = 256
 #: Pairs of like sketches, per member, from which on a node brings its sets together.
 DENSE = 2
 #: Representatives (32 bytes each) that are broadcast, else joined by shuffle.
@@ -116,32 +116,40 @@ def shingles(text: str | None, hashes: dict[bytes, int], width: int = WORDS) ->
 
 
 def minwise(own: np.ndarray, tokens: int) -> np.ndarray:
-    """The upper 32 bits of the least hash of the set by each of ``tokens`` hash functions."""
+    """The least hash of the set by each of ``tokens`` hash functions, mixed so that all bits tell them apart."""
     least = np.full(tokens, np.iinfo(np.uint64).max, np.uint64)
     factor, shift = _constants(tokens, 22)[:, None], _constants(tokens, 23)[:, None]
     for i in range(0, len(own), 4096):
         np.minimum(least, (own[None, i : i + 4096] * factor + shift).min(1), out=least)
-    # What is mixed again differs in all bits wherever the least hashes differ.
     least = (least ^ (least >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-    return (least >> np.uint64(32)).astype(np.uint32).view(np.int32)
+    return least ^ (least >> np.uint64(32))
 
 
-_SIGNED = "doc_id bigint, v1 bigint, v2 bigint, rep binary, n bigint, tokens array<int>, sketch binary"
+_SIGNED = "doc_id bigint, v1 bigint, v2 bigint, rep binary, n bigint, nodes array<bigint>, sketch binary"
 
 
-def _signatures(width: int, tokens: int):
+def _signatures(width: int, tokens: int, roots: list[tuple[int, int]]):
+    """Per text the digest and size of its set, its first node in each tree, and its sketch."""
+    tree, place = (np.array(x) for x in zip(*roots, strict=True))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = _Hashes()
+        name = _constants(len(roots), 25) * (tree + 1).astype(np.uint64)
         for batch in batches:
-            reps, n, each, sketch = [], [], [], []
+            reps, n, nodes, sketch = [], [], [], []
             for text in batch.column(3):
                 own = shingles(text.as_py(), hashes, width)
                 n.append(len(own))
-                reps.append(xxhash.xxh3_128_digest(own.tobytes()) if len(own) else None)
-                each.append(minwise(own, tokens) if len(own) else None)
-                sketch.append(each[-1].astype(np.uint8).tobytes() if len(own) else None)
-            columns = [pa.array(reps, pa.binary()), pa.array(n, pa.int64()), pa.array(each, pa.list_(pa.int32())), pa.array(sketch, pa.binary())]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], *columns], names=["doc_id", "v1", "v2", "rep", "n", "tokens", "sketch"])
+                if not len(own):
+                    for x in (reps, nodes, sketch):
+                        x.append(None)
+                    continue
+                each = minwise(own, tokens)
+                reps.append(xxhash.xxh3_128_digest(own.tobytes()))
+                nodes.append(((each[place] ^ name) * np.uint64(0xD6E8FEB86659FD93)).view(np.int64))
+                sketch.append(each.astype(np.uint8).tobytes())
+            columns = [pa.array(reps, pa.binary()), pa.array(n, pa.int64()), pa.array(nodes, pa.list_(pa.int64())), pa.array(sketch, pa.binary())]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], *columns], names=["doc_id", "v1", "v2", "rep", "n", "nodes", "sketch"])
 
     return frugal(run)
 
@@ -164,17 +172,14 @@ def _roots(trees: int, tokens: int, threshold: float) -> list[tuple[int, int]]:
     return [(j, place[n % tokens]) for n, j in enumerate([*range(trees), *second])]
 
 
-def _child(node: Column, position: Column) -> Column:
-    return F.xxhash64(node, position, F.get("tokens", position))
-
-
 def _branched(large: DataFrame, live: DataFrame, tokens: int, threshold: float) -> DataFrame:
-    """``rep, label, node`` one level down."""
+    """``rep, label, node`` one level down; a byte of the sketch stands for the token."""
     one = F.pmod(F.xxhash64("node", F.lit(1)), F.lit(tokens)).cast("int")
     two = F.pmod(one + 1 + F.pmod(F.xxhash64("node", F.lit(3)), F.lit(max(tokens - 1, 1))).cast("int"), F.lit(tokens))
     chosen = F.when(F.pmod(F.xxhash64("node", F.lit(2)), F.lit(1 << 20)) < int(branches(threshold) * (1 << 20)), F.array(one, two)).otherwise(F.array(one))
     rows = large.select("rep", "label", "node", F.explode(chosen).alias("position"))
-    return rows.join(live.select("rep", "tokens"), "rep").select("rep", "label", _child(F.col("node"), F.col("position")).alias("node"))
+    child = F.xxhash64("node", "position", F.substring("sketch", F.col("position") + 1, F.lit(1)))
+    return rows.join(live.select("rep", "sketch"), "rep").select("rep", "label", child.alias("node"))
 
 
 def _mixed_nodes(members: DataFrame) -> DataFrame:
@@ -342,14 +347,14 @@ def _classes(docs: DataFrame, percent: int, recall: float, width: int, tokens: i
     cut = sketch_cut(tokens, threshold, SKETCH_MISS)
     v1, v2 = wide_hash(F.col("text"))
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).select("doc_id", v1.alias("v1"), v2.alias("v2"), "text")
-    signed = stored(docs.mapInArrow(_signatures(width, tokens), _SIGNED), "signatures")
+    roots = _roots(tree_count(threshold, recall, levels), tokens, threshold)
+    signed = stored(docs.mapInArrow(_signatures(width, tokens, roots), _SIGNED), "signatures")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "v1", "v2")).alias("first")
-    each = F.first(F.struct("n", "tokens", "sketch")).alias("each")
+    each = F.first(F.struct("n", "nodes", "sketch")).alias("each")
     reps = stored(signed.where("rep is not null").groupBy("rep").agg(first, each).select("rep", "first", "each.*"), "members")
     join = _Join(docs, reps, percent, width)
 
-    roots = F.array(*[F.xxhash64(F.lit(tree), F.lit(place), F.get("tokens", F.lit(place))) for tree, place in _roots(tree_count(threshold, recall, levels), tokens, threshold)])
-    members = reps.select("rep", F.explode(roots).alias("node"))
+    members = reps.select("rep", F.explode("nodes").alias("node"))
     met = members.groupBy("node").agg(F.count("*").alias("size")).where("size > 1").select("node")
     members = stored(members.join(met, "node"), "first-nodes")
 
@@ -363,7 +368,7 @@ def _classes(docs: DataFrame, percent: int, recall: float, width: int, tokens: i
     live, leaves, rest = None, [], None
     for level in range(1, levels + 1):
         members = stored(members, "nodes")
-        members = stored(members.join(_mixed_nodes(members), "node"), "mixed-nodes")
+        members = stored(members.join(_small(stored(_mixed_nodes(members), "node-sizes")), "node"), "mixed-nodes")
         leaves.append(members.where(F.col("size") <= small).drop("size"))
         large = members.where(F.col("size") > small)
         if live is None:
