@@ -82,22 +82,43 @@ def first_edges(gradient: DataFrame, threshold: float, side: str, w: int, h: int
     return seen.groupBy("image", F.col(line).alias("line")).agg(F.min(depth).alias("depth"))
 
 
-def border_width(pixels: DataFrame, side: str, w: int, h: int) -> DataFrame:
-    """The upper median over lines of the depth at which the colour leaves the border's and stays away."""
+def _sided(side: str, w: int, h: int) -> tuple[Column, Column, int, int]:
+    """Depth from a side, place along it, length of the scan and number of lines."""
     axis, line, length, lines = ("x", "y", w, h) if side in ("left", "right") else ("y", "x", h, w)
-    depth = F.col(axis) if side in ("left", "top") else F.lit(length - 1) - F.col(axis)
-    scan = int(length * SCAN_SHARE)
-    first, last = int(lines * 0.2), int(lines * 0.8)
-    rows = pixels.withColumn("line", F.col(line)).withColumn("d", depth).where((F.col("line") >= first) & (F.col("line") < last) & ((F.col("line") - first) % 4 == 0) & (F.col("d") >= REF_FROM) & (F.col("d") < scan))
-    reference = rows.where(F.col("d") < REF_TO).groupBy("image", "line").agg(*[upper_median(F.col(c)).alias(f"ref_{c}") for c in "rgb"])
+    return F.col(axis) if side in ("left", "top") else F.lit(length - 1) - F.col(axis), F.col(line), length, lines
+
+
+def border_widths(pixels: DataFrame, w: int, h: int, sides: tuple[str, ...] = ("left", "right", "top", "bottom")) -> DataFrame:
+    """``image, side, width``: the upper median over lines of the depth at which the colour leaves the border's and stays away.
+
+    A pixel goes to the scans of all sides at once, so the raster is read once.
+    """
+    scans = {}
+    each = []
+    for side in sides:
+        d, line, length, lines = _sided(side, w, h)
+        scans[side] = int(length * SCAN_SHARE)
+        first, last = int(lines * 0.2), int(lines * 0.8)
+        here = (line >= first) & (line < last) & ((line - first) % 4 == 0) & (d >= REF_FROM) & (d < scans[side])
+        each.append(F.when(here, F.struct(F.lit(side).alias("side"), line.cast("bigint").alias("line"), d.cast("bigint").alias("d"))))
+    rows = pixels.select("image", *"rgb", F.explode(F.array_compact(F.array(*each))).alias("s")).select("image", *"rgb", "s.*")
+    own = Window.partitionBy("image", "side", "line")
+    reference = rows.where(F.col("d") < REF_TO).groupBy("image", "side", "line").agg(*[upper_median(F.col(c)).alias(f"ref_{c}") for c in "rgb"])
     off = F.sqrt(sum(((F.col(c) - F.col(f"ref_{c}")) * (F.col(c) - F.col(f"ref_{c}")) for c in "rgb"), F.lit(0.0)))
-    rows = rows.join(reference, ["image", "line"]).withColumn("away", (off > DISTANCE).cast("int"))
-    held = Window.partitionBy("image", "line").orderBy("d").rowsBetween(0, RUN - 1)
+    rows = rows.join(reference, ["image", "side", "line"]).withColumn("away", (off > DISTANCE).cast("int"))
+    held = own.orderBy("d").rowsBetween(0, RUN - 1)
     rows = rows.withColumn("held", F.min("away").over(held)).withColumn("n", F.count("*").over(held))
-    found = rows.where((F.col("held") == 1) & (F.col("n") == RUN)).groupBy("image", "line").agg(F.min("d").alias("found")).where(F.col("found") >= LEAST)
-    images = pixels.select("image").distinct()
-    widths = found.groupBy("image").agg(upper_median(F.col("found")).alias("width"))
-    return images.join(widths, "image", "left").select("image", F.coalesce("width", F.lit(scan // 2)).cast("int").alias("width"))
+    found = rows.groupBy("image", "side", "line").agg(F.min(F.when((F.col("held") == 1) & (F.col("n") == RUN), F.col("d"))).alias("found"))
+    none = F.lit(None).cast("int")
+    for side in sides:
+        none = F.when(F.col("side") == side, scans[side] // 2).otherwise(none)
+    widths = found.groupBy("image", "side").agg(upper_median(F.when(F.col("found") >= LEAST, F.col("found"))).alias("width"))
+    return widths.select("image", "side", F.coalesce("width", none).cast("int").alias("width"))
+
+
+def border_width(pixels: DataFrame, side: str, w: int, h: int) -> DataFrame:
+    """``image, width`` of one side."""
+    return border_widths(pixels, w, h, (side,)).select("image", "width")
 
 
 def whitened(ref: tuple[Column, Column, Column]) -> Column:
@@ -152,15 +173,51 @@ def corner_whitening(pixels: DataFrame, corner: str, w: int, h: int, share: floa
     return own.where(u + v >= size * 0.55).groupBy("image").agg(F.avg(white).alias("whitening"))
 
 
-def surface_grid(pixels: DataFrame, w: int, h: int, inset_share: float = 0.055, columns: int = 10, rows: int = 14) -> DataFrame:
-    """``image, gy, gx, variance, density``: colour variance and density of bright, colourless, high-frequency pixels of each cell."""
+def regions(pixels: DataFrame, w: int, h: int, share: float = 0.09) -> DataFrame:
+    """``image, region, t, white``: the whitened share of each corner's triangle (``t`` null) and at every second place ``t`` along each edge.
+
+    As :func:`corner_whitening` and :func:`edge_profile`, for all corners and edges at once: a pixel goes to every
+    region that takes it as its own or as its reference, so the raster is read and shuffled once.
+    """
+    size = int(w * share + 0.5)
+    x, y, none = F.col("x"), F.col("y"), F.lit(None).cast("bigint")
+    each = []
+    for corner in ("topLeft", "topRight", "bottomRight", "bottomLeft"):
+        left, top = "Left" in corner, "top" in corner
+        x0, y0 = (0 if left else w - size), (0 if top else h - size)
+        rx, ry = (size if left else w - size * 2), (int(size * 0.25 + 0.5) if top else h - int(size * 0.75 + 0.5))
+        beside = (x >= rx) & (x < rx + size) & (y >= ry) & (y < ry + int(size / 2 + 0.5)) & ((x - rx) % 2 == 0) & ((y - ry) % 2 == 0)
+        u, v = (F.lit(size) - (x - x0) if left else x - x0), (F.lit(size) - (y - y0) if top else y - y0)
+        own = (x >= x0) & (x < x0 + size) & (y >= y0) & (y < y0 + size) & (u + v >= size * 0.55)
+        each.append(F.when(own | beside, F.struct(F.lit(corner).alias("region"), own.alias("own"), none.alias("t"))))
+    for side in ("left", "right", "top", "bottom"):
+        d, line, _, lines = _sided(side, w, h)
+        skip = int(lines * 0.08 + 0.5)
+        strip = (line >= skip) & (line < lines - skip) & ((line - skip) % 2 == 0)
+        own, beside = strip & (d >= 3) & (d < 11), strip & (d >= 12) & (d < 20)
+        each.append(F.when(own | beside, F.struct(F.lit(side).alias("region"), own.alias("own"), line.cast("bigint").alias("t"))))
+    rows = pixels.select("image", *"rgb", F.explode(F.array_compact(F.array(*each))).alias("s")).select("image", *"rgb", "s.*")
+    whole = Window.partitionBy("image", "region")
+    rows = rows.withColumns({f"ref_{c}": F.coalesce(F.avg(F.when(~F.col("own"), F.col(c))).over(whole), F.lit(128.0)) for c in "rgb"})
+    white = whitened((F.col("ref_r"), F.col("ref_g"), F.col("ref_b"))).cast("int")
+    return rows.where("own").groupBy("image", "region", "t").agg(F.avg(white).alias("white"))
+
+
+def _place(v: str, size: float, inset: int, n: int) -> Column:
+    return F.least(F.lit(n - 1), F.floor((F.col(v) - inset) / size).cast("int"))
+
+
+def surface_marks(pixels: DataFrame, w: int, h: int, inset_share: float = 0.055, columns: int = 10, rows: int = 14) -> tuple[DataFrame, DataFrame]:
+    """Inner pixels ``image, y, x, gy, gx, variance, odd``, where ``odd`` are bright, colourless, high-frequency ones; and cells ``image, gy, gx, variance, mean``.
+
+    A cell's colour variance and mean smooth brightness are those of every third pixel both ways.
+    """
     inset = int(w * inset_share + 0.5)
     cell_w, cell_h = (w - 2 * inset) / columns, (h - 2 * inset) / rows
     gray = pixels.withColumn("v", luma()).select("image", "y", "x", "r", "g", "b", "v")
     smooth = box_blur(box_blur(gray)).withColumnRenamed("v", "smooth").withColumn("gray", luma())
     inner = smooth.where((F.col("x") >= inset) & (F.col("x") < w - inset) & (F.col("y") >= inset) & (F.col("y") < h - inset))
-    place = lambda v, size, n: F.least(F.lit(n - 1), F.floor((F.col(v) - inset) / size).cast("int"))
-    inner = inner.withColumn("gx", place("x", cell_w, columns)).withColumn("gy", place("y", cell_h, rows))
+    inner = inner.withColumn("gx", _place("x", cell_w, inset, columns)).withColumn("gy", _place("y", cell_h, inset, rows))
 
     def sampled(v: str, g: str, size: float, n: int) -> Column:
         """The cells that take a line as a sample: every third from the whole number below a cell's start on, so a cell's first line can lie in the one before."""
@@ -168,13 +225,56 @@ def surface_grid(pixels: DataFrame, w: int, h: int, inset_share: float = 0.055,
         own, after = F.col(g), F.col(g) + 1
         return F.array_compact(F.array(F.when((F.col(v) - starts(own)) % 3 == 0, own), F.when((after < n) & (F.col(v) == starts(after)), after)))
 
-    samples = inner.select("image", *"rgb", F.explode(sampled("x", "gx", cell_w, columns)).alias("gx"), sampled("y", "gy", cell_h, rows).alias("gy")).withColumn("gy", F.explode("gy"))
+    samples = inner.select("image", *"rgb", "smooth", F.explode(sampled("x", "gx", cell_w, columns)).alias("gx"), sampled("y", "gy", cell_h, rows).alias("gy")).withColumn("gy", F.explode("gy"))
     variance = sum((F.coalesce(F.var_pop(c), F.lit(0.0)) for c in "rgb"), F.lit(0.0))
-    cells = samples.groupBy("image", "gy", "gx").agg(variance.alias("variance"))
+    cells = samples.groupBy("image", "gy", "gx").agg(variance.alias("variance"), F.avg("smooth").alias("mean"))
     edge = (F.col("x") > inset) & (F.col("x") < w - inset - 1) & (F.col("y") > inset) & (F.col("y") < h - inset - 1)
     odd = edge & (F.col("gray") - F.col("smooth") > F.least(F.lit(40.0), F.col("variance") / 40.0) + 34.0) & (F.greatest("r", "g", "b") - F.least("r", "g", "b") < 60)
-    marked = inner.join(cells, ["image", "gy", "gx"]).groupBy("image", "gy", "gx").agg(F.max("variance").alias("variance"), F.count_if(odd).alias("marks"))
-    return marked.withColumn("density", F.least(F.lit(1.0), F.col("marks") / (cell_w * cell_h * 0.08)))
+    return inner.join(cells, ["image", "gy", "gx"]).select("image", "y", "x", "gy", "gx", "variance", "mean", odd.alias("odd")), cells
+
+
+def surface_grid(pixels: DataFrame, w: int, h: int, inset_share: float = 0.055, columns: int = 10, rows: int = 14) -> DataFrame:
+    """``image, gy, gx, variance, mean, density``: of each cell, with the density of marks."""
+    inset = int(w * inset_share + 0.5)
+    area = (w - 2 * inset) / columns * ((h - 2 * inset) / rows)
+    marked, _ = surface_marks(pixels, w, h, inset_share, columns, rows)
+    cells = marked.groupBy("image", "gy", "gx").agg(F.max("variance").alias("variance"), F.max("mean").alias("mean"), F.count_if("odd").alias("marks"))
+    return cells.withColumn("density", F.least(F.lit(1.0), F.col("marks") / (area * 0.08)))
+
+
+#: Density that makes a cell a scratch, variance that makes it one on foil, fall of the gloss, defects that are listed.
+SCRATCH, FOIL, DULL, LISTED = 0.35, 1600.0, 80.0, 40
+
+
+def surface_report(pixels: DataFrame, w: int, h: int, inset_share: float = 0.055, columns: int = 10, rows: int = 14) -> DataFrame:
+    """One row per image: ``density, gloss, print_lines, holo, heatmap, defects``; what is rounded for display stays exact here.
+
+    Defects are print lines from the top, then scratched cells line by line, the first ``LISTED``, with boxes as shares
+    of the face; ``print_lines`` and ``holo`` count all.  The marks are aggregated once, to parts of lines within a
+    cell; cells and lines are sums of these.
+    """
+    inset = int(w * inset_share + 0.5)
+    cell_w, cell_h = (w - 2 * inset) / columns, (h - 2 * inset) / rows
+    marked, _ = surface_marks(pixels, w, h, inset_share, columns, rows)
+    parts = marked.groupBy("image", "y", "gy", "gx").agg(F.count_if("odd").alias("n"), F.max("variance").alias("variance"), F.max("mean").alias("mean"))
+
+    cells = parts.groupBy("image", "gy", "gx").agg(F.max("variance").alias("variance"), F.max("mean").alias("mean"), F.sum("n").alias("marks"))
+    cells = cells.withColumn("density", F.least(F.lit(1.0), F.col("marks") / (cell_w * cell_h * 0.08)))
+    box = [((inset + F.col("gx") * cell_w) / w).alias("x"), ((inset + F.col("gy") * cell_h) / h).alias("y"), F.lit(cell_w / w).alias("w"), F.lit(cell_h / h).alias("h")]
+    kind = F.when(F.col("variance") > FOIL, "holo-scratch").otherwise("scratch")
+    scratch = F.when(F.col("density") > SCRATCH, F.struct((F.col("gy") * columns + F.col("gx")).cast("bigint").alias("at"), kind.alias("type"), *box, F.col("density").alias("severity")))
+    heat = F.transform(F.array_sort(F.collect_list(F.struct("gy", "gx", "density"))), lambda c: c["density"])
+    gloss = F.greatest(F.lit(0.0), F.lit(1.0) - F.stddev_pop("mean") / DULL)
+    whole = cells.groupBy("image").agg((F.sum("density") / (columns * rows)).alias("density"), gloss.alias("gloss"), heat.alias("heatmap"), F.array_sort(F.collect_list(scratch)).alias("scratches"))
+
+    counts = parts.groupBy("image", (F.col("y") - inset).alias("y")).agg(F.sum("n").alias("n"))
+    hits = print_lines(counts, w - 2 * inset, cell_h).join(counts, ["image", "y"])
+    line = F.struct(F.col("y").cast("bigint").alias("at"), F.lit("print-line").alias("type"), F.lit(inset / w).alias("x"), ((inset + F.col("y")) / h).alias("y"), F.lit((w - 2 * inset) / w).alias("w"), F.lit(2.0 / h).alias("h"), (F.col("n") / float(w - 2 * inset)).alias("severity"))
+    lines = hits.groupBy("image").agg(F.array_sort(F.collect_list(line)).alias("lines"))
+    both = whole.join(lines, "image", "left").withColumn("lines", F.coalesce("lines", F.expr("slice(scratches, 1, 0)")))
+    holo = F.exists("scratches", lambda d: d["type"] == "holo-scratch")
+    listed = F.transform(F.slice(F.concat("lines", "scratches"), 1, LISTED), lambda d: d.dropFields("at"))
+    return both.select("image", "density", "gloss", F.size("lines").alias("print_lines"), holo.alias("holo"), "heatmap", listed.alias("defects"))
 
 
 def print_lines(row_counts: DataFrame, width: int, cell_h: float) -> DataFrame:
@@ -198,6 +298,6 @@ def print_lines(row_counts: DataFrame, width: int, cell_h: float) -> DataFrame:
 
 def depth_colors(pixels: DataFrame, w: int, h: int, depth: int) -> DataFrame:
     """``image, side, r, g, b``: mean colour at a depth from the left and the right edge, on every eighth line of the middle three fifths."""
-    lines = (F.col("y") >= int(h * 0.2)) & (F.col("y") < int(h * 0.8)) & ((F.col("y") - int(h * 0.2)) % 8 == 0)
+    lines = (F.col("y") >= int(h * 0.2)) & (F.col("y") < h * 0.8) & ((F.col("y") - int(h * 0.2)) % 8 == 0)
     side = F.when(F.col("x") == depth, "left").when(F.col("x") == w - 1 - depth, "right")
     return pixels.where(lines).withColumn("side", side).where("side is not null").groupBy("image", "side").agg(*[F.avg(c).alias(c) for c in "rgb"])

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from gradelake.operators import geometry
 from gradelake.pixels import relational as R
-from gradelake.plans.views import SCENE_H, SCENE_W, view, with_views
+from gradelake.plans.views import SCENE_W, view, with_views
 from gradelake.sources import catalog
 
 
@@ -82,7 +82,8 @@ def border_delta(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def depth_colors(spark: SparkSession, sf: str) -> DataFrame:
-    return R.depth_colors(view(spark, sf, "v_scene"), SCENE_W, SCENE_H, 22).select("image", "side", *[F.round(c, 6).alias(c) for c in "rgb"])
+    """On 107 rows of the scene, where the last line lies below four fifths rounded down."""
+    return R.depth_colors(view(spark, sf, "v_scene").where("y < 107"), SCENE_W, 107, 22).select("image", "side", *[F.round(c, 6).alias(c) for c in "rgb"])
 
 
 QUERIES = {f.__name__: f for f in (catalog_fields, index_fields, stem_lookup, candidate_id, shown_grade, card_split, input_admission, quad_moves, border_delta, depth_colors)}
@@ -114,5 +115,5 @@ SQL = {
             tl_x - greatest(0e0, floor(x0 - m)) AS crop_x, br_y - greatest(0e0, floor(y0 - m)) AS crop_y FROM m""",
     ).replace(") , b AS", "), b AS"),
     "border_delta": _sql("v_center", body="SELECT scan_id, region, part, abs(left_px * 0.125e0 - right_px * 0.125e0) AS delta_x_mm, abs(top_px * 0.125e0 - bottom_px * 0.125e0) AS delta_y_mm FROM v_center"),
-    "depth_colors": _sql("v_scene", body=f"SELECT image, CASE WHEN x = 22 THEN 'left' ELSE 'right' END AS side, round(avg(r), 6) AS r, round(avg(g), 6) AS g, round(avg(b), 6) AS b FROM v_scene WHERE x IN (22, {SCENE_W - 1 - 22}) AND y >= {int(SCENE_H * 0.2)} AND y < {int(SCENE_H * 0.8)} AND (y - {int(SCENE_H * 0.2)}) % 8 = 0 GROUP BY ALL"),
+    "depth_colors": _sql("v_scene", body=f"SELECT image, CASE WHEN x = 22 THEN 'left' ELSE 'right' END AS side, round(avg(r), 6) AS r, round(avg(g), 6) AS g, round(avg(b), 6) AS b FROM v_scene WHERE x IN (22, {SCENE_W - 1 - 22}) AND y >= 21 AND y < 107 * 0.8e0 AND (y - 21) % 8 = 0 GROUP BY ALL"),
 }

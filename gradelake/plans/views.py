@@ -82,7 +82,55 @@ def surface(spark: bool) -> str:
     return f"SELECT image, y, x, {channel(90)} AS r, {channel(80)} AS g, {channel(70)} AS b FROM ({_pixels(spark, 80, 100)}) p"
 
 
-SCENES = {"v_scene": scene, "v_surface": surface}
+#: A tilted card in a frame of the same size.  Half its sides, its art and the frame's middle; the tilt differs by image.
+TILT_W, TILT_H, HALF_W, HALF_H = 100, 120, 28, 39
+TILT = "((image % 5 - 2) * 0.02e0)"
+#: A picture without contrast has a hundredth of the colours' range.
+FLAT = "(image % 11 = 0)"
+
+
+def tilted(spark: bool) -> str:
+    """A card with a worn corner and a nick, turned by an angle of its own, for every supplier."""
+    u, v = f"((x - 50) + {TILT} * (y - 60))", f"((y - 60) - {TILT} * (x - 50))"
+    card, art = f"abs({u}) <= {HALF_W} AND abs({v}) <= {HALF_H}", f"abs({u}) <= 19 AND abs({v}) <= 29"
+    worn = f"({card} AND image % 2 = 0 AND {u} + {v} > 57)"
+    nick = f"({card} AND image % 3 = 0 AND {u} < -20 AND {v} >= 0 AND {v} < 8)"
+
+    def channel(white: int, inner: int, border: int, ground: int) -> str:
+        whole = f"CASE WHEN {worn} OR {nick} THEN {white} WHEN {art} THEN {inner} + {_NOISE} WHEN {card} THEN {border} ELSE {ground} END"
+        return f"CAST(CASE WHEN {FLAT} THEN 100 + floor(({whole}) / 100) ELSE {whole} END AS DOUBLE)"
+
+    return f"SELECT image, y, x, {channel(245, 30, 228, 38)} AS r, {channel(244, 60, 198, 40)} AS g, {channel(240, 140, 64, 44)} AS b FROM ({_pixels(spark, TILT_W, TILT_H)}) p"
+
+
+def corner_sql(name: str, axis: str) -> str:
+    """A true corner of the tilted card in closed form."""
+    u, v = (HALF_W if name[1] == "r" else -HALF_W), (HALF_H if name[0] == "b" else -HALF_H)
+    above = f"{u} - {TILT} * ({v})" if axis == "x" else f"{v} + {TILT} * ({u})"
+    return f"({50 if axis == 'x' else 60} + ({above}) / (1 + {TILT} * {TILT}))"
+
+
+def hints(spark: bool) -> str:
+    """Outlines given by hand: the true one, off by up to five pixels, or far too small."""
+    columns = []
+    for name in ("tl", "tr", "br", "bl"):
+        for axis in "xy":
+            small = f"{(25 if name[1] == 'r' else 19) if axis == 'x' else (63 if name[0] == 'b' else 57)}e0"
+            columns.append(f"CAST(CASE WHEN image % 13 = 0 THEN {small} ELSE {corner_sql(name, axis)} + image % {6 if axis == 'x' else 4} END AS DOUBLE) AS {name}_{axis}")
+    return f"SELECT image, {TILT_W}e0 AS frame_w, {TILT_H}e0 AS frame_h, " + ", ".join(columns) + " FROM (SELECT s_suppkey AS image FROM supplier) q"
+
+
+def worn(spark: bool) -> str:
+    """Rectified faces of 80 by 100: clean, scratched, scratched on foil, or lined and of uneven brightness."""
+    patch = "(x BETWEEN 18 AND 34 AND y BETWEEN 40 AND 54)"
+    mark = f"((image % 4 IN (1, 2) AND {patch} AND (x + 2 * y) % 5 = 0) OR (image % 4 = 3 AND y = 30 + image % 20) OR (image % 4 = 3 AND y = 70 AND x > 40))"
+    foil = f"(image % 4 = 2 AND {patch})"
+    base = lambda c, up: f"CASE WHEN {foil} THEN {c} + {up} * ((x + y) % 2) WHEN image % 8 = 3 THEN {c} + x * 2 ELSE {c} + (x * 3 + y * 5) % 7 END"
+    channel = lambda c, up: f"CAST(CASE WHEN {mark} THEN 250 ELSE {base(c, up)} END AS DOUBLE)"
+    return f"SELECT image, y, x, {channel(60, 100)} AS r, {channel(50, 0)} AS g, {channel(40, 90)} AS b FROM ({_pixels(spark, 80, 100)}) p"
+
+
+SCENES = {"v_scene": scene, "v_surface": surface, "v_tilted": tilted, "v_hint": hints, "v_worn": worn}
 
 
 def sql_of(name: str, spark: bool) -> str:

@@ -176,6 +176,14 @@ def _blur(source: str, name: str, w: int, h: int) -> str:
     return f"{name}n AS MATERIALIZED ({near}), {name} AS MATERIALIZED (SELECT n.image, n.y, n.x, sum(q.v) / 9e0 AS v FROM {name}n n JOIN {source} q ON q.image = n.image AND q.x = n.qx AND q.y = n.qy GROUP BY n.image, n.y, n.x)"
 
 
+def edge_sql(view_name: str, w: int, h: int) -> str:
+    """CTEs up to the gradient ``e`` of the blurred view."""
+    blurred = _EDGE.replace("FROM g p", "FROM b1 p")
+    for name, (dx, dy) in _EIGHT.items():
+        blurred = blurred.replace(_at(name, dx, dy), _at(name, dx, dy, "b1"))
+    return f", g AS (SELECT image, y, x, r * 0.299e0 + g * 0.587e0 + b * 0.114e0 AS v FROM {view_name}), {_blur('g', 'b1', w, h)}, {blurred}"
+
+
 def _sided(table: str, side: str, w: int, h: int) -> tuple[str, str, int, int]:
     axis, line, length, lines = ("x", "y", w, h) if side in ("left", "right") else ("y", "x", h, w)
     return (axis if side in ("left", "top") else f"{length - 1} - {axis}"), line, length, lines
@@ -191,23 +199,23 @@ def _median(x: str) -> str:
     return f"list_sort(list({x}))[CAST(floor(count({x}) / 2) AS INT) + 1]"
 
 
-def _border_sql(side: str) -> str:
-    depth, line, length, lines = _sided("v_scene", side, W, H)
+def _border_sql(side: str, source: str = "v_scene", w: int = W, h: int = H) -> str:
+    depth, line, length, lines = _sided(source, side, w, h)
     low, high, scan = int(lines * 0.2), int(lines * 0.8), int(length * R.SCAN_SHARE)
-    rows = f"SELECT image, {line} AS line, {depth} AS d, r, g, b FROM v_scene WHERE {line} >= {low} AND {line} < {high} AND ({line} - {low}) % 4 = 0 AND {depth} >= 5 AND {depth} < {scan}"
+    rows = f"SELECT image, {line} AS line, {depth} AS d, r, g, b FROM {source} WHERE {line} >= {low} AND {line} < {high} AND ({line} - {low}) % 4 = 0 AND {depth} >= 5 AND {depth} < {scan}"
     ref = f"SELECT image, line, {_median('r')} AS rr, {_median('g')} AS rg, {_median('b')} AS rb FROM ({rows}) a WHERE d < 15 GROUP BY image, line"
     away = f"SELECT a.image, a.line, d, CASE WHEN sqrt(pow(r - rr, 2) + pow(g - rg, 2) + pow(b - rb, 2)) > 42 THEN 1 ELSE 0 END AS off FROM ({rows}) a JOIN ({ref}) f ON a.image = f.image AND a.line = f.line"
     runs = f"SELECT image, line, d, sum(off) OVER (PARTITION BY image, line ORDER BY d ROWS BETWEEN CURRENT ROW AND 3 FOLLOWING) AS four FROM ({away}) b"
     found = f"SELECT image, line, min(d) AS found FROM ({runs}) c WHERE four = 4 GROUP BY image, line HAVING min(d) >= 8"
-    return f"SELECT i.image, CAST(coalesce(m.width, {scan // 2}) AS INT) AS width, '{side}' AS side FROM (SELECT DISTINCT image FROM v_scene) i LEFT JOIN (SELECT image, {_median('found')} AS width FROM ({found}) f GROUP BY image) m ON i.image = m.image"
+    return f"SELECT i.image, CAST(coalesce(m.width, {scan // 2}) AS INT) AS width, '{side}' AS side FROM (SELECT DISTINCT image FROM {source}) i LEFT JOIN (SELECT image, {_median('found')} AS width FROM ({found}) f GROUP BY image) m ON i.image = m.image"
 
 
 _CARD_SQL = ", c AS (SELECT image, y - 15 AS y, x - 20 AS x, r, g, b FROM v_scene WHERE x >= 20 AND x < 76 AND y >= 15 AND y < 93)"
 _WHITE = "CASE WHEN greatest(r, g, b) - least(r, g, b) < 46 AND r * 0.299e0 + g * 0.587e0 + b * 0.114e0 >= 160 AND r * 0.299e0 + g * 0.587e0 + b * 0.114e0 >= rr * 0.299e0 + rg * 0.587e0 + rb * 0.114e0 + 25 AND sqrt(pow(r - rr, 2) + pow(g - rg, 2) + pow(b - rb, 2)) > 70 THEN 1 ELSE 0 END"
 
 
-def _nick_sql(side: str) -> str:
-    depth, line, _, lines = _sided("c", side, CARD_W, CARD_H)
+def _nick_sql(side: str, w: int = CARD_W, h: int = CARD_H) -> str:
+    depth, line, _, lines = _sided("c", side, w, h)
     skip = int(lines * 0.08 + 0.5)
     strip = f"SELECT image, {line} AS t, {depth} AS d, r, g, b FROM c WHERE {line} >= {skip} AND {line} < {lines - skip} AND ({line} - {skip}) % 2 = 0"
     ref = f"SELECT image, avg(r) AS rr, avg(g) AS rg, avg(b) AS rb FROM ({strip}) s WHERE d BETWEEN 12 AND 19 GROUP BY image"
@@ -217,11 +225,11 @@ def _nick_sql(side: str) -> str:
     return f"SELECT image, round(avg(white), 6) AS whitening, count(*) FILTER (hi AND h1 AND NOT h2) AS nicks, '{side}' AS side FROM ({flags}) z GROUP BY image"
 
 
-def _corner_sql(corner: str) -> str:
-    size = int(CARD_W * 0.2 + 0.5)
+def _corner_sql(corner: str, w: int = CARD_W, h: int = CARD_H, share: float = 0.2) -> str:
+    size = int(w * share + 0.5)
     left, top = "Left" in corner, "top" in corner
-    x0, y0 = (0 if left else CARD_W - size), (0 if top else CARD_H - size)
-    rx, ry = (size if left else CARD_W - 2 * size), (int(size * 0.25 + 0.5) if top else CARD_H - int(size * 0.75 + 0.5))
+    x0, y0 = (0 if left else w - size), (0 if top else h - size)
+    rx, ry = (size if left else w - 2 * size), (int(size * 0.25 + 0.5) if top else h - int(size * 0.75 + 0.5))
     ref = f"SELECT image, avg(r) AS rr, avg(g) AS rg, avg(b) AS rb FROM c WHERE x >= {rx} AND x < {rx + size} AND y >= {ry} AND y < {ry + int(size / 2 + 0.5)} AND (x - {rx}) % 2 = 0 AND (y - {ry}) % 2 = 0 GROUP BY image"
     u, v = (f"({size} - (x - {x0}))" if left else f"(x - {x0})"), (f"({size} - (y - {y0}))" if top else f"(y - {y0})")
     return f"SELECT c.image, round(avg({_WHITE}), 6) AS whitening, '{corner}' AS corner FROM c JOIN ({ref}) f ON c.image = f.image WHERE x >= {x0} AND x < {x0 + size} AND y >= {y0} AND y < {y0 + size} AND {u} + {v} >= {size * 0.55} GROUP BY c.image"
