@@ -23,22 +23,47 @@ def rungs(halves: bool) -> list[float]:
 def ladder(df: DataFrame, keys: list[str], top: int = 3) -> DataFrame:
     """The likeliest grades of each company for ``overall`` and ``confidence``: softmax over the distance to the grade.
 
-    A few dozen constant rungs are exploded per row; the softmax is taken within the row's own rungs.
+    Every row meets each company once.  The weights of its rungs are plain columns, so they are compiled; since they
+    fall with the distance, only the rungs around the target are ranked, ``top`` to either side.  Of equal weights the
+    higher grade comes first.
     """
-    steps = F.explode(F.array(*[F.struct(F.lit(c).alias("company"), F.lit(s).alias("strictness"), F.array(*map(F.lit, rungs(h))).alias("grades"), F.lit(h).alias("halves")) for c, s, h in COMPANIES]))
+    grades = {company: rungs(halves) for company, _, halves in COMPANIES}
+    most = max(map(len, grades.values()))
+    steps = F.explode(F.array(*[F.struct(F.lit(c).alias("company"), F.lit(s).alias("strictness"), F.array(*map(F.lit, grades[c])).alias("grades"), F.lit(h).alias("halves")) for c, s, h in COMPANIES]))
     out = df.select(*keys, "overall", "confidence", steps.alias("x")).select(*keys, "overall", "confidence", "x.*")
-    score = lambda g: -F.abs(g - (F.col("overall") - F.col("strictness"))) / (F.lit(1.6) - F.col("confidence"))
-    # The nearest grade in closed form; a maximum over the array would be taken again for every rung.
     at = F.col("overall") - F.col("strictness")
+    score = lambda g: -F.abs(g - (F.col("overall") - F.col("strictness"))) / (F.lit(1.6) - F.col("confidence"))
+    # The nearest grade in closed form.
     whole = F.least(F.lit(10.0), F.greatest(F.lit(1.0), F.rint(at)))
     half = F.least(F.lit(10.0), F.greatest(F.lit(5.0), F.rint(at * 2.0) / 2.0))
     out = out.withColumn("best", F.greatest(score(whole), F.when(F.col("halves"), score(half))))
-    weighed = F.transform("grades", lambda g: F.struct(F.exp((score(g) - F.col("best")) * SHARPNESS).alias("w"), g.alias("grade")))
-    out = out.withColumn("weighed", weighed)
-    total = F.aggregate("weighed", F.lit(0.0), lambda s, x: s + x["w"])
-    ranked = F.slice(F.reverse(F.array_sort("weighed")), 1, top)
-    out = out.select(*keys, "company", total.alias("total"), F.posexplode(ranked).alias("at", "x"))
-    return out.select(*keys, "company", (F.col("at") + 1).alias("rank"), F.col("x.grade").alias("grade"), to_decimals(F.col("x.w") / F.col("total"), 2).alias("probability"))
+    weight = lambda g: F.exp((score(g) - F.col("best")) * SHARPNESS)
+    rung = lambda k: F.get("grades", k)
+    total, above = F.lit(0.0), F.lit(0)
+    for k in range(most):
+        total = total + F.coalesce(weight(rung(F.lit(k))), F.lit(0.0))
+        above = above + F.coalesce((rung(F.lit(k)) > at).cast("int"), F.lit(0))
+    first = F.greatest(F.lit(0), F.least(F.size("grades") - 2 * top, above - top))
+    out = out.select(*keys, "company", "overall", "confidence", "strictness", "grades", "best", total.alias("total"), first.alias("first"))
+    near = [F.struct(weight(rung(F.col("first") + k)).alias("w"), rung(F.col("first") + k).alias("grade")).alias(f"n{k}") for k in range(2 * top)]
+    out = out.select(*keys, "company", "total", *near)
+    places = [F.greatest(*[F.col(f"n{k}") for k in range(2 * top)]).alias("r1")]
+    for r in range(2, top + 1):
+        out = out.select("*", places[-1])
+        places.append(F.greatest(*[F.when(F.col(f"n{k}") < F.col(f"r{r - 1}"), F.col(f"n{k}")) for k in range(2 * top)]).alias(f"r{r}"))
+    out = out.select(*keys, "company", "total", *[F.col(f"r{r}") for r in range(1, top)], places[-1])
+    ranks = F.explode(F.array(*[F.struct(F.lit(r).alias("rank"), F.col(f"r{r}").alias("x")) for r in range(1, top + 1)]))
+    out = out.select(*keys, "company", "total", ranks.alias("y"))
+    return out.select(*keys, "company", "y.rank", F.col("y.x.grade").alias("grade"), to_decimals(F.col("y.x.w") / F.col("total"), 2).alias("probability"))
+
+
+def likeliest(scans: DataFrame, estimates: DataFrame, company: str = "PSA") -> DataFrame:
+    """``scans`` with ``grade``: the likeliest grade of the company where there is an estimate, else ``overall``.
+
+    ``estimates`` has ``id, company, rank, grade`` as :func:`ladder` gives them.
+    """
+    first = estimates.where((F.col("company") == company) & (F.col("rank") == 1)).select("id", F.col("grade").alias("_likeliest"))
+    return scans.join(first, "id", "left").withColumn("grade", F.coalesce("_likeliest", "overall")).drop("_likeliest")
 
 
 def advice(overall: Column, confidence: Column) -> Column:

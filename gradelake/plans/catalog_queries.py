@@ -5,32 +5,42 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gradelake.operators import geometry
+from gradelake.operators import geometry, outlook
 from gradelake.pixels import relational as R
 from gradelake.plans.views import SCENE_W, view, with_views
 from gradelake.sources import catalog
 
 
 def _raw(spark: SparkSession, sf: str) -> DataFrame:
-    """Catalog rows with gaps: no subtypes, no small or no large image."""
+    """Listed cards, nested as a listing gives them, each field missing in some."""
     i = F.col("id")
-    address = lambda size, gap: F.when(i % gap != 0, F.concat(F.lit(f"{size}/"), i.cast("string")))
+    known = lambda gap, value: F.when(i % gap != 0, value)
+    address = lambda size, gap: known(gap, F.concat(F.lit(f"{size}/"), i.cast("string")))
+    set_of = F.struct(F.lower("set_name").alias("id"), known(9, F.col("set_name")).alias("name"), known(5, F.concat(F.lit("Series "), (i % 7).cast("string"))).alias("series"), F.col("release_date").alias("releaseDate"))
+    images = F.struct(address("small", 4).alias("small"), F.when(i % 10 == 1, "").otherwise(address("large", 5)).alias("large"))
     return view(spark, sf, "v_catalog").select(
-        "*",
-        F.when(i % 3 != 0, F.split("supertype", " ")).alias("subtypes"),
-        F.lit(None).cast("string").alias("rarity"),
-        F.lower("set_name").alias("set_id"),
-        address("small", 4).alias("image_small"),
-        F.when(i % 10 == 1, "").otherwise(address("large", 5)).alias("image_large"),
-    )
+        "id", "name", "number",
+        known(6, F.concat(F.lit("rarity "), (i % 4).cast("string"))).alias("rarity"),
+        known(8, F.col("supertype")).alias("supertype"),
+        known(3, F.split("supertype", " ")).alias("subtypes"),
+        known(2, F.array((i % 900).cast("int"))).alias("nationalPokedexNumbers"),
+        known(11, set_of).alias("set"),
+        known(13, images).alias("images"),
+    )
 
 
 def catalog_fields(spark: SparkSession, sf: str) -> DataFrame:
-    return catalog.listed_fields(_raw(spark, sf)).select("id", "subtypes", "rarity", "set_id", "image_small", "image_large")
+    return catalog.listed_fields(_raw(spark, sf))
 
 
 def index_fields(spark: SparkSession, sf: str) -> DataFrame:
-    return catalog.indexed_fields(_raw(spark, sf)).select("id", "subtypes", "image", "release_date")
+    return catalog.indexed_fields(catalog.listed_fields(_raw(spark, sf)))
+
+
+def image_choice(spark: SparkSession, sf: str) -> DataFrame:
+    """The picture of each card that its vector is made from."""
+    rows = catalog.listed_fields(_raw(spark, sf))
+    return rows.select("id", catalog.chosen_image("image_large", "image_small").alias("image"))
 
 
 def stem_lookup(spark: SparkSession, sf: str) -> DataFrame:
@@ -48,10 +58,10 @@ def candidate_id(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def shown_grade(spark: SparkSession, sf: str) -> DataFrame:
-    """The likeliest grade of one company where there is one, else the overall grade."""
-    scans = view(spark, sf, "v_history").select("id", "overall")
-    estimates = scans.where("id % 3 <> 0").select("id", F.floor("overall").cast("double").alias("estimate"))
-    return scans.join(estimates, "id", "left").select("id", F.coalesce("estimate", "overall").alias("grade"))
+    """The grade beside the market value: the likeliest one of PSA, or the overall one of scans without estimates."""
+    scans = view(spark, sf, "v_history").select("id", "overall", "confidence")
+    estimates = outlook.ladder(scans.where("id % 3 <> 0"), ["id"])
+    return outlook.likeliest(scans, estimates).select("id", "grade")
 
 
 def card_split(spark: SparkSession, sf: str) -> DataFrame:
@@ -86,11 +96,16 @@ def depth_colors(spark: SparkSession, sf: str) -> DataFrame:
     return R.depth_colors(view(spark, sf, "v_scene").where("y < 107"), SCENE_W, 107, 22).select("image", "side", *[F.round(c, 6).alias(c) for c in "rgb"])
 
 
-QUERIES = {f.__name__: f for f in (catalog_fields, index_fields, stem_lookup, candidate_id, shown_grade, card_split, input_admission, quad_moves, border_delta, depth_colors)}
+QUERIES = {f.__name__: f for f in (catalog_fields, index_fields, image_choice, stem_lookup, candidate_id, shown_grade, card_split, input_admission, quad_moves, border_delta, depth_colors)}
 
-_LARGE = "CASE WHEN id % 10 = 1 THEN '' WHEN id % 5 <> 0 THEN concat('large/', CAST(id AS VARCHAR)) END"
-_SMALL = "CASE WHEN id % 4 <> 0 THEN concat('small/', CAST(id AS VARCHAR)) END"
-_SUBTYPES = "CASE WHEN id % 3 <> 0 THEN string_split(supertype, ' ') ELSE CAST([] AS VARCHAR[]) END"
+_LARGE = "CASE WHEN id % 13 = 0 THEN NULL WHEN id % 10 = 1 THEN '' WHEN id % 5 <> 0 THEN concat('large/', CAST(id AS VARCHAR)) END"
+_SMALL = "CASE WHEN id % 13 <> 0 AND id % 4 <> 0 THEN concat('small/', CAST(id AS VARCHAR)) END"
+_FIELDS = """id, name, number, CASE WHEN id % 11 <> 0 AND id % 9 <> 0 THEN set_name END AS set_name, CASE WHEN id % 11 <> 0 THEN release_date END AS release_date,
+    CASE WHEN id % 6 <> 0 THEN concat('rarity ', CAST(id % 4 AS VARCHAR)) END AS rarity, CASE WHEN id % 8 <> 0 THEN supertype END AS supertype,
+    CASE WHEN id % 3 <> 0 THEN string_split(supertype, ' ') ELSE CAST([] AS VARCHAR[]) END AS subtypes"""
+#: The five fields that only the listing's file has.
+_MORE = f"""CASE WHEN id % 2 <> 0 THEN [CAST(id % 900 AS INT)] ELSE CAST([] AS INT[]) END AS dex, CASE WHEN id % 11 <> 0 THEN lower(set_name) END AS set_id,
+    CASE WHEN id % 11 <> 0 AND id % 5 <> 0 THEN concat('Series ', CAST(id % 7 AS VARCHAR)) END AS series, {_SMALL} AS image_small, {_LARGE} AS image_large"""
 
 
 def _sql(*views: str, body: str) -> str:
@@ -98,12 +113,14 @@ def _sql(*views: str, body: str) -> str:
 
 
 SQL = {
-    "catalog_fields": _sql("v_catalog", body=f"SELECT id, {_SUBTYPES} AS subtypes, CAST(NULL AS VARCHAR) AS rarity, lower(set_name) AS set_id, {_SMALL} AS image_small, {_LARGE} AS image_large FROM v_catalog"),
-    "index_fields": _sql("v_catalog", body=f"SELECT id, {_SUBTYPES} AS subtypes, coalesce(nullif({_LARGE}, ''), {_SMALL}) AS image, release_date FROM v_catalog"),
+    "catalog_fields": _sql("v_catalog", body=f"SELECT {_FIELDS}, {_MORE} FROM v_catalog"),
+    "index_fields": _sql("v_catalog", body=f"SELECT {_FIELDS} FROM v_catalog"),
+    "image_choice": _sql("v_catalog", body=f"SELECT id, coalesce(nullif({_LARGE}, ''), {_SMALL}) AS image FROM v_catalog"),
     "stem_lookup": "SELECT CAST(p_partkey AS VARCHAR) AS id, concat('photos/a.b/', CAST(p_partkey AS VARCHAR), '.jpg') AS path, p_name AS name FROM part WHERE p_partkey % 6 <> 0",
     "candidate_id": """WITH c AS (SELECT l_orderkey AS q, l_linestatus AS number, arg_min(l_partkey, struct_pack(a := l_linenumber, b := l_partkey)) AS id FROM lineitem WHERE l_returnflag = 'N' GROUP BY ALL)
         SELECT o_orderkey AS query_id, c.id FROM orders LEFT JOIN c ON c.q = o_orderkey AND c.number = CASE WHEN o_orderkey % 2 = 0 THEN 'O' ELSE 'F' END""",
-    "shown_grade": _sql("v_history", body="SELECT id, CASE WHEN id % 3 <> 0 THEN floor(overall) ELSE overall END AS grade FROM v_history"),
+    # The nearest of the ten grades to the overall one less 0.15, the higher of two equally near.
+    "shown_grade": _sql("v_history", body="SELECT id, CASE WHEN id % 3 <> 0 THEN least(10e0, greatest(1e0, floor(overall - 0.15e0 + 0.5e0))) ELSE overall END AS grade FROM v_history"),
     "card_split": """WITH c AS (SELECT l_partkey, count(*) AS photos FROM lineitem GROUP BY 1), n AS (SELECT count(*) AS n FROM c)
         SELECT l_partkey, photos, CAST(concat('0x', substr(md5(CAST(l_partkey AS VARCHAR)), 1, 8)) AS BIGINT) < floor(greatest(0.1e0, least(1e0, 50e0 / n)) * 4294967296e0) AS validation FROM c, n""",
     "input_admission": _sql("v_frames", body="SELECT frame, CASE WHEN confidence >= 0.8e0 AND coverage > 0.1e0 THEN 'direct' ELSE 'manual' END AS route FROM v_frames WHERE frame % 9 <> 0"),

@@ -130,7 +130,15 @@ def worn(spark: bool) -> str:
     return f"SELECT image, y, x, {channel(60, 100)} AS r, {channel(50, 0)} AS g, {channel(40, 90)} AS b FROM ({_pixels(spark, 80, 100)}) p"
 
 
-SCENES = {"v_scene": scene, "v_surface": surface, "v_tilted": tilted, "v_hint": hints, "v_worn": worn}
+def masks(spark: bool) -> str:
+    """Where the tilted card is, and where a bright pixel says so; some of either are empty."""
+    u, v = f"((x - 50) + {TILT} * (y - 60))", f"((y - 60) - {TILT} * (x - 50))"
+    truth = f"(image % 9 <> 0 AND abs({u}) <= {HALF_W} AND abs({v}) <= {HALF_H})"
+    guess = f"(image % 9 <> 0 AND image % 10 <> 1 AND abs({u} - image % 4) <= {HALF_W} AND abs({v}) <= {HALF_H - 2})"
+    return f"SELECT image, y, x, {truth} AS truth, {guess} AS guess, CAST((x * 7 + y * 3 + image) % 9 - 4 AS DOUBLE) AS logit FROM ({_pixels(spark, TILT_W, TILT_H)}) p"
+
+
+SCENES = {"v_mask": masks, "v_scene": scene, "v_surface": surface, "v_tilted": tilted, "v_hint": hints, "v_worn": worn}
 
 
 def sql_of(name: str, spark: bool) -> str:

@@ -123,14 +123,21 @@ def paged(spark: SparkSession, fetch: Callable[[int, int], list[tuple]], ddl: st
     return spark.read.format("paged").option("pages", -(-total // size)).option("size", size).load()
 
 
-def listed_fields(rows: DataFrame) -> DataFrame:
-    """The fields of the catalog file: what is missing is null, and an empty list for ``subtypes``."""
-    return rows.select("id", "name", "number", "supertype", F.coalesce("subtypes", F.array().cast("array<string>")).alias("subtypes"), "rarity", "set_name", "set_id", "release_date", "printed_total", "image_small", "image_large")
+def listed_fields(cards: DataFrame) -> DataFrame:
+    """The 13 fields of the catalog file from listed cards: what is missing is null, a missing list is empty.
+
+    Fixed values: the listing's names of nested fields (``set``, ``images``, ``nationalPokedexNumbers``).
+    """
+    empty = lambda name, kind: F.coalesce(name, F.array().cast(kind)).alias(name)
+    dex = F.coalesce("nationalPokedexNumbers", F.array().cast("array<int>")).alias("dex")
+    own_set = [F.col(f"set.{a}").alias(b) for a, b in (("id", "set_id"), ("name", "set_name"), ("series", "series"), ("releaseDate", "release_date"))]
+    return cards.select("id", "name", "number", "rarity", "supertype", empty("subtypes", "array<string>"), dex, *own_set, F.col("images.small").alias("image_small"), F.col("images.large").alias("image_large"))
 
 
 def indexed_fields(rows: DataFrame) -> DataFrame:
-    """The narrower fields of the vector index's own catalog."""
-    return rows.select("id", "name", "number", "set_name", "release_date", "rarity", F.coalesce("subtypes", F.array().cast("array<string>")).alias("subtypes"), chosen_image("image_large", "image_small").alias("image"))
+    """The 8 fields of the vector index's own catalog, from rows of :func:`listed_fields`."""
+    subtypes = F.coalesce("subtypes", F.array().cast("array<string>")).alias("subtypes")
+    return rows.select("id", "name", "number", "set_name", "release_date", "rarity", "supertype", subtypes)
 
 
 def chosen_image(large: str, small: str) -> Column:
