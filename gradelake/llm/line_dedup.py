@@ -102,10 +102,11 @@ def running_sums(text: str) -> tuple[np.ndarray, np.ndarray]:
     return sums, _TABLES[1]
 
 
-def filter_rows(edits: int, per: int, shared: Broadcast | None = None) -> Callable:
+def filter_rows(edits: int, per: int, shared: Broadcast | None = None, whole: bool = False) -> Callable:
     """The pieces a line can share with a near one, hashed: as the shorter line, and as one longer by each number of characters.
 
-    With ``shared``, sorted keys, only those pieces.
+    The hash of a piece comes with the line's first hash.  With ``shared``, sorted keys, only those pieces come, and
+    with both hashes; with ``whole`` all pieces, with both.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -131,7 +132,10 @@ def filter_rows(edits: int, per: int, shared: Broadcast | None = None) -> Callab
                             known = shared.value
                             hit = known[np.searchsorted(known, key) % len(known)] == key if len(known) else np.zeros(len(key), bool)
                             own, key = own[hit], key[hit]
-                        yield pa.RecordBatch.from_arrays([pa.array(x) for x in (key, h1[own], h2[own])], schema=_KEYS)
+                        if whole or shared is not None:
+                            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (key, h1[own], h2[own])], schema=_KEYS)
+                        else:
+                            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (key, h1[own])], names=["key", "h1"])
 
     return run
 
@@ -276,7 +280,7 @@ def _hashed(docs: DataFrame, min_chars: int) -> DataFrame:
 def candidates(docs: DataFrame, min_chars: int, edits: int, per: int) -> DataFrame:
     """Lines that share a piece with another distinct line: ``h1, h2`` and their earliest place and text."""
     lines = _hashed(docs, min_chars)
-    keyed = lines.select(*_LINE, "line").mapInArrow(frugal(filter_rows(edits, per)), "key bigint, h1 bigint, h2 bigint")
+    keyed = lines.select(*_LINE, "line").mapInArrow(frugal(filter_rows(edits, per)), "key bigint, h1 bigint")
     # A key of one line only has one hash, however many rows that line has.
     shared = keyed.groupBy("key").agg(F.min("h1").alias("low"), F.max("h1").alias("high")).where("low <> high").select("key")
     shared = stored(shared, "line-pieces")
@@ -284,7 +288,7 @@ def candidates(docs: DataFrame, min_chars: int, edits: int, per: int) -> DataFra
         known = docs.sparkSession.sparkContext.broadcast(np.sort(np.array([r.key for r in shared.toLocalIterator()], np.int64)))
         hits = lines.select(*_LINE, "line").mapInArrow(frugal(filter_rows(edits, per, known)), "key bigint, h1 bigint, h2 bigint")
     else:
-        hits = keyed.join(shared, "key")
+        hits = lines.select(*_LINE, "line").mapInArrow(frugal(filter_rows(edits, per, whole=True)), "key bigint, h1 bigint, h2 bigint").join(shared, "key")
     met = stored(hits.select(*_LINE).distinct(), "line-candidates")
     small = F.broadcast if met.count() <= BROADCAST_ROWS else lambda df: df
     texts = lines.join(small(met), list(_LINE)).groupBy(*_LINE).agg(F.min(F.struct(*_PLACE, "line")).alias("first"))

@@ -37,6 +37,8 @@ HOT = 64
 BLOCK = 512
 #: Representatives whose sets are wanted are broadcast up to this number, else joined by shuffle.
 BROADCAST_ROWS = 1_000_000
+#: Shingles of hot bands' leaders (8 bytes each) that are broadcast, else joined by shuffle.
+BROADCAST_SHINGLES = 4_000_000
 _KNOWN_WORDS = 300_000
 
 
@@ -223,7 +225,8 @@ def _classes(docs: DataFrame, threshold: float, recall: float, width: int, rows:
         leaders = frequent.groupBy("key").agg(F.min("rep").alias("leader"))
         leaders = stored(leaders.join(sets.withColumnRenamed("rep", "leader"), "leader").select("key", F.col("own").alias("common")), "hot-leaders")
         close = F.concat(F.array_except("own", "common"), F.array_except("common", "own"))
-        met = frequent.join(sets, "rep").join(hot, "rep").join(small(leaders), "key").select("key", "size", "rep", "copies", "n", "hot", close.alias("delta"))
+        sizes = leaders.agg(F.coalesce(F.sum(F.size("common")), F.lit(0))).first()[0]
+        met = frequent.join(sets, "rep").join(hot, "rep").join(F.broadcast(leaders) if sizes <= BROADCAST_SHINGLES else leaders, "key").select("key", "size", "rep", "copies", "n", "hot", close.alias("delta"))
         n = F.ceil(F.col("size") / block)
         cells = stored(met, "hot-members").withColumn("block", F.pmod(F.xxhash64("rep"), n)).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), n - 1)))
         cells = cells.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "rep", "copies", "n", "hot", "delta")
@@ -266,7 +269,7 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, recall: float
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
     """``docs`` with one row of each class, that of the least id (null last), then the least hash of its text.
 
-    Of rows that repeat both, one stays.  Rows without words all stay.  Columns are as they were, whatever they are
+    Of rows that repeat both, the one that is least as JSON stays.  Rows without words all stay.  Columns are as they were, whatever they are
     called.  Other cases are as in :func:`near_duplicates`.
     """
     signed, known = _classes(docs, THRESHOLD, RECALL, WORDS, ROWS, HOT, BLOCK)
@@ -283,7 +286,7 @@ def drop_near_duplicates(docs: DataFrame) -> DataFrame:
     out = rows.alias("d").join(small(lost).alias("l"), same, "left_anti")
     if again.isEmpty():
         return out.select("row.*")
-    once = out.alias("d").join(small(again).alias("l"), same, "left_semi").groupBy(*key).agg(F.first("row").alias("row"))
+    once = out.alias("d").join(small(again).alias("l"), same, "left_semi").groupBy(*key).agg(F.min_by("row", F.to_json("row")).alias("row"))
     return out.alias("d").join(small(again).alias("l"), same, "left_anti").select("row").unionByName(once.select("row")).select("row.*")
 
 

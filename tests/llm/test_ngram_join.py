@@ -92,6 +92,15 @@ def test_equal_ids_of_different_texts(docs):
     assert sorted((r.doc_id, r.n_links) for r in near_duplicates(docs(rows)).collect()) == [(1, 0), (1, 2), (1, 2), (2, 2), (2, 2), (3, 2), (3, 2)]
 
 
+def test_repeated_rows_leave_the_least(spark, docs):
+    """Whatever the order and the partitions of rows that repeat id and text but not the other columns."""
+    text = "these are some words of a text that comes again and again"
+    rows = [(1, text, lang, "s", 5) for lang in ("fr", "de", "en")] + [(2, text, "aa", "s", 5), (3, "quite another text with words of its own", None, None, None)]
+    for n in (1, 4):
+        df = spark.createDataFrame(rows[::-1] if n == 4 else rows, docs([]).schema).repartition(n)
+        assert sorted((r.doc_id, r.lang) for r in drop_near_duplicates(df).collect()) == [(1, "de"), (3, None)]
+
+
 def test_band_count():
     assert 1 - (1 - 0.8**4) ** band_count(0.8, 0.9999, 4) >= 0.9999
 
