@@ -7,7 +7,7 @@
    child of each node that it shares, so some path leads it down together in a known part of the trees.  As many trees
    are grown as the wanted recall takes (:func:`tree_count`).
 3. *Leaders*: each first node has a leader, the member that meets most others.  Members near to their leader are
-   confirmed first and joined into components.  From there on only members of different components are compared.
+   confirmed first and take its label.  From there on only members of different labels are compared.
 4. *Small nodes* are compared exhaustively on sketches (a byte of each token).  Larger ones branch; those that are
    still large at the last level are cut into blocks, and each pair of blocks is compared like a small node.
 5. *Confirmation* on full sets.  A node in which many sketches are alike brings its sets together and returns a
@@ -26,7 +26,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gradelake.llm.common import as_row, frugal, stored, wide_hash
@@ -183,12 +183,12 @@ def _branched(large: DataFrame, live: DataFrame, tokens: int, threshold: float)
 
 
 def _mixed_nodes(members: DataFrame) -> DataFrame:
-    """``node, size`` of the nodes that hold more than one component."""
+    """``node, size`` of the nodes that hold more than one label."""
     return members.groupBy("node").agg(F.count("*").alias("size"), F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("node", "size")
 
 
 def _alike(cut: int, percent: int):
-    """Rows ``cell, members``: pairs ``a, b`` of like sketches and of different components; of a dense cell its members instead, as ``cell, a``."""
+    """Rows ``cell, members``: pairs ``a, b`` of like sketches and of different labels; of a dense cell its members instead, as ``cell, a``."""
 
     def pairs_of(sizes: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """All pairs of places within groups of such sizes, some at a time."""
@@ -305,27 +305,40 @@ class _Join:
         self.sets = new if self.sets is None else self.sets.unionByName(new)
 
     def confirmed(self, pairs: DataFrame) -> DataFrame:
-        """Of pairs ``a, b`` those that are linked."""
+        """Of pairs ``a, b`` those that are linked, with their other columns."""
         met = pairs
         for x in "ab":
             met = met.join(self.sets.select(F.col("rep").alias(x), F.col("own").alias(f"own_{x}")), x)
         both = F.size(F.array_intersect("own_a", "own_b"))
-        met = met.select("a", "b", (F.size("own_a") + F.size("own_b")).alias("n"), both.alias("both"))
-        return stored(met.where(100 * F.col("both") >= self.percent * (F.col("n") - F.col("both"))).select("a", "b"), "links")
+        met = met.select(*pairs.columns, (F.size("own_a") + F.size("own_b")).alias("n"), both.alias("both"))
+        return stored(met.where(100 * F.col("both") >= self.percent * (F.col("n") - F.col("both"))).select(*pairs.columns), "links")
 
 
 def _led(members: DataFrame, reps: DataFrame, cut: int, percent: int) -> DataFrame:
-    """Pairs ``a, b``: members and leaders of their nodes, of like sketches."""
-    sizes = stored(members.groupBy("node").agg(F.count("*").alias("size")), "node-sizes")
-    # In how many meetings a member is; near copies of one text meet most often around it.
-    meetings = stored(members.join(sizes, "node").groupBy("rep").agg(F.sum("size").alias("meetings")), "meetings")
-    ranked = members.join(meetings, "rep").groupBy("node").agg(F.max(F.struct("meetings", "rep")).alias("leader"))
-    pairs = members.join(ranked, "node").select(F.col("rep").alias("a"), F.col("leader.rep").alias("b")).where("a <> b").distinct()
+    """Pairs ``a, b, meetings``: members and leaders of their nodes, of like sketches, and in how many meetings the leader is.
+
+    Near copies of one text meet most often around it, so its leaders are few.
+    """
+    met = stored(members.withColumn("meetings", F.sum("size").over(Window.partitionBy("rep"))).drop("size"), "meetings")
+    ranked = met.groupBy("node").agg(F.max(F.struct("meetings", "rep")).alias("leader"))
+    pairs = met.join(ranked, "node").select(F.col("rep").alias("a"), F.col("leader.rep").alias("b"), "leader.meetings").where("a <> b").distinct()
     known = reps.select("rep", "n", "sketch")
     for x in "ab":
         pairs = pairs.join(known.select(F.col("rep").alias(x), F.col("n").alias(f"n_{x}"), F.col("sketch").alias(f"sketch_{x}")), x)
     sizes_fit = 100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")
-    return stored(pairs.where(sizes_fit).where(_like(cut)("sketch_a", "sketch_b")).select("a", "b"), "led-pairs")
+    return stored(pairs.where(sizes_fit).where(_like(cut)("sketch_a", "sketch_b")).select("a", "b", "meetings"), "led-pairs")
+
+
+def _labels(led: DataFrame) -> DataFrame:
+    """``rep, label``: of confirmed leaders the one of most meetings, or that one's own.
+
+    A leader is of more meetings than those it leads, so this leads up; rows of one label are of one component, and
+    most of a component have one.
+    """
+    up = stored(led.groupBy("a").agg(F.max(F.struct("meetings", "b")).alias("up")).select("a", F.col("up.b").alias("b")), "leaders")
+    on = up.select(F.col("a").alias("b"), F.col("b").alias("c"))
+    labels = up.join(on, "b", "left").select(F.col("a").alias("rep"), F.coalesce("c", "b").alias("label"))
+    return stored(labels, "labels")
 
 
 def _cells(leaves: list[DataFrame], rest: DataFrame | None, live: DataFrame, small: int) -> DataFrame:
@@ -355,20 +368,19 @@ def _classes(docs: DataFrame, percent: int, recall: float, width: int, tokens: i
     join = _Join(docs, reps, percent, width)
 
     members = reps.select("rep", F.explode("nodes").alias("node"))
-    met = members.groupBy("node").agg(F.count("*").alias("size")).where("size > 1").select("node")
+    met = members.groupBy("node").agg(F.count("*").alias("size")).where("size > 1")
     members = stored(members.join(met, "node"), "first-nodes")
 
     pairs = _led(members, reps, cut, percent)
     join.read_sets(pairs.select(F.explode(F.array("a", "b")).alias("rep")).distinct())
-    edges = [join.confirmed(pairs)]
-    known = stored(components(edges[0]), "led-components")
-    labels = known.select(F.col("node").alias("rep"), F.col("root").alias("label"))
+    led = join.confirmed(pairs)
+    edges, labels = [led.select("a", "b")], _labels(led)
 
     members = members.join(labels, "rep", "left").select("rep", F.coalesce("label", "rep").alias("label"), "node")
     live, leaves, rest = None, [], None
     for level in range(1, levels + 1):
         members = stored(members, "nodes")
-        members = stored(members.join(_small(stored(_mixed_nodes(members), "node-sizes")), "node"), "mixed-nodes")
+        members = members.join(_small(stored(_mixed_nodes(members), "node-sizes")), "node")
         leaves.append(members.where(F.col("size") <= small).drop("size"))
         large = members.where(F.col("size") > small)
         if live is None:
