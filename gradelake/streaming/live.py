@@ -45,9 +45,13 @@ class Tracker:
         if self.target is None:
             self.smooth = None
         else:
-            self.smooth = self.target if self.smooth is None else self.smooth + (self.target - self.smooth) * SMOOTH
+            self.smooth = self.target if self.smooth is None else self.smoothed()
         return sampled
 
+    def smoothed(self) -> float:
+        """Part of the way from where the outline is shown to where it was found."""
+        return self.smooth + (self.target - self.smooth) * SMOOTH
+
 
 def _run(session: int, tracker: Tracker, frames: pd.DataFrame) -> pd.DataFrame:
     rows = []
