@@ -30,10 +30,6 @@ VIEWS = {
     "v_catalog": """SELECT p_partkey AS id, p_name AS name, CAST(p_size AS STRING) AS number, p_brand AS set_name, p_type AS supertype,
         CASE WHEN p_partkey % 11 = 0 THEN NULL ELSE concat(CAST(1999 + p_partkey % 25 AS STRING), '/', lpad(CAST(1 + p_partkey % 12 AS STRING), 2, '0'), '/', lpad(CAST(1 + p_partkey % 28 AS STRING), 2, '0')) END AS release_date,
         CAST(50 + p_partkey % 5 AS INT) AS printed_total, CASE WHEN p_partkey % 7 = 0 THEN NULL ELSE p_retailprice END AS raw FROM part""",
-    "v_request": """SELECT e.vec_id AS query_id, e.embedding AS vector,
-        CASE WHEN e.vec_id % 60 = 0 THEN NULL WHEN e.vec_id % 40 = 0 THEN concat(substr(p.p_name, 1, 3), substr(p.p_name, 5)) ELSE concat(substr(p.p_name, 1, 2), 'x', substr(p.p_name, 4)) END AS name,
-        CASE WHEN e.vec_id % 80 = 0 THEN NULL ELSE concat('0', CAST(p.p_size AS STRING), '/', CAST(50 + p.p_partkey % 5 AS STRING)) END AS number, p.p_name AS true_name, CASE WHEN e.vec_id % 100 = 0 THEN NULL ELSE p.p_brand END AS true_set
-        FROM embeddings e JOIN part p ON e.vec_id = p.p_partkey""",
     # Every branch of the search: prefixes, names that nothing has, no number, and numbers that nothing has.
     "v_ask": """SELECT p_partkey AS query_id, CASE WHEN p_partkey % 7 = 0 THEN 'zz none' WHEN p_partkey % 3 = 0 THEN substr(p_name, 1, 2) ELSE p_name END AS name,
         CASE WHEN p_partkey % 4 = 0 THEN NULL WHEN p_partkey % 5 = 0 THEN '901/950' ELSE concat(CAST(p_size AS STRING), '/', CAST(50 + p_partkey % 5 AS STRING)) END AS number, p_brand AS set_name FROM part""",
@@ -51,6 +47,21 @@ VIEWS = {
         CAST(event_id * 11 % 5000 AS DOUBLE) AS art_variance, CAST(event_id * 17 % 5000 AS DOUBLE) AS lower_variance FROM events""",
 }
 
+
+
+def requests(spark: bool) -> str:
+    """Identification requests: vectors between one of the index and the next one's, and names read with faults, or not at all."""
+    blend = "zip_with(e.embedding, f.embedding, (x, y) -> {x} + {y})" if spark else "list_transform(list_zip(e.embedding, f.embedding), lambda p: {x} + {y})"
+    x, y = ("x", "y") if spark else ("p[1]", "p[2]")
+    share = "(0.5e0 + e.vec_id % 4 * 0.1e0)"
+    vector = blend.format(x=f"CAST({x} AS DOUBLE) * {share}", y=f"CAST({y} AS DOUBLE) * (1e0 - {share})")
+    return f"""SELECT e.vec_id AS query_id, CASE WHEN f.vec_id IS NULL THEN CAST(e.embedding AS {'ARRAY<DOUBLE>' if spark else 'DOUBLE[]'}) ELSE {vector} END AS vector,
+        CASE WHEN e.vec_id % 60 = 0 THEN NULL WHEN e.vec_id % 40 = 0 THEN concat(substr(p.p_name, 1, 3), substr(p.p_name, 5)) ELSE concat(substr(p.p_name, 1, 2), 'x', substr(p.p_name, 4)) END AS name,
+        CASE WHEN e.vec_id % 80 = 0 THEN NULL ELSE concat('0', CAST(p.p_size AS STRING), '/', CAST(50 + p.p_partkey % 5 AS STRING)) END AS number,
+        p.p_name AS true_name, CASE WHEN e.vec_id % 100 = 0 THEN NULL ELSE p.p_brand END AS true_set
+        FROM embeddings e JOIN part p ON e.vec_id = p.p_partkey LEFT JOIN embeddings f ON f.vec_id = e.vec_id + 1"""
+
+
 #: A small scene in closed form for every supplier: a card with one worn corner and a nick on a dark ground, at a brightness of its own.
 SCENE_W, SCENE_H = 100, 120
 _CARD = "x >= 20 AND x < 76 AND y >= 15 AND y < 93"
@@ -138,7 +149,7 @@ def masks(spark: bool) -> str:
     return f"SELECT image, y, x, {truth} AS truth, {guess} AS guess, CAST((x * 7 + y * 3 + image) % 9 - 4 AS DOUBLE) AS logit FROM ({_pixels(spark, TILT_W, TILT_H)}) p"
 
 
-SCENES = {"v_mask": masks, "v_scene": scene, "v_surface": surface, "v_tilted": tilted, "v_hint": hints, "v_worn": worn}
+SCENES = {"v_request": requests, "v_mask": masks, "v_scene": scene, "v_surface": surface, "v_tilted": tilted, "v_hint": hints, "v_worn": worn}
 
 
 def sql_of(name: str, spark: bool) -> str:
