@@ -43,8 +43,8 @@ EDITS, CHARS_PER_EDIT = 2, 10
 SMALL = 128
 #: Characters in which the lines of a larger variant may differ for these to be deleted one by one.
 FEW_CHARS = 16
-#: Keys or lines that are broadcast (16 bytes each), else joined by shuffle.
-BROADCAST_ROWS = 1_000_000
+#: Keys of pieces (8 bytes each) that are broadcast, else joined by shuffle.
+BROADCAST_KEYS = 1_000_000
 #: What parts the left-out pieces of a line; no line holds it.
 PARTED = "\n"
 #: Rows of variants that a task hands on at once.
@@ -102,40 +102,52 @@ def running_sums(text: str) -> tuple[np.ndarray, np.ndarray]:
     return sums, _TABLES[1]
 
 
-def filter_rows(edits: int, per: int, shared: Broadcast | None = None, whole: bool = False) -> Callable:
-    """The pieces a line can share with a near one, hashed: as the shorter line, and as one longer by each number of characters.
+def filter_keys(lines: list[str], n: np.ndarray, edits: int, per: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """``at, keys``: the pieces a line of ``n`` characters can share with a near one, hashed: as the shorter line, and as one longer by each number of characters."""
+    sums, down = running_sums("".join(lines))
+    start = np.cumsum(n) - n
+    for longer in range(edits + 1):
+        m = n - longer
+        allowed = np.minimum(edits, m // per) if per else np.full(len(n), edits)
+        for k in range(max(1, longer), edits + 1):
+            at = np.flatnonzero((m >= 0) & (allowed == k))
+            # A piece that has ``q`` before it moves by no more than there are edits left for either side of it.
+            places = [(q, by) for q in range(k + 1) for by in range(max(-q, longer - k + q), min(q, longer + k - q) + 1)]
+            for q, by in places if len(at) else ():
+                low, high = (m[at] * c // (k + 1) + by for c in (q, q + 1))
+                own = at[(low >= 0) & (low <= high) & (high <= n[at])]
+                low, high = (start[own] + m[own] * c // (k + 1) + by for c in (q, q + 1))
+                key = (sums[high] - sums[low]) * down[low] + m[own].astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93) + np.uint64(q * 0xFF51AFD7ED558CCD % (1 << 64))
+                yield own, ((key ^ (key >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)).view(np.int64)
 
-    The hash of a piece comes with the line's first hash.  With ``shared``, sorted keys, only those pieces come, and
-    with both hashes; with ``whole`` all pieces, with both.
-    """
+
+def _characters(batch: pa.RecordBatch, column: int) -> tuple[list[str], np.ndarray]:
+    lines = batch.column(column)
+    return lines.to_pylist(), pc.utf8_length(lines).to_numpy(zero_copy_only=False).astype(np.int64)
+
+
+def filter_rows(edits: int, per: int, names: tuple[str, ...]) -> Callable:
+    """Rows ``h1, h2, line``: all keys of each line, with as many of its hashes as there are ``names``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            h1, h2 = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
-            n = pc.utf8_length(batch.column(2)).to_numpy(zero_copy_only=False).astype(np.int64)
-            sums, down = running_sums("".join(batch.column(2).to_pylist()))
-            start = np.cumsum(n) - n
-            for longer in range(edits + 1):
-                m = n - longer
-                allowed = np.minimum(edits, m // per) if per else np.full(len(n), edits)
-                for k in range(max(1, longer), edits + 1):
-                    at = np.flatnonzero((m >= 0) & (allowed == k))
-                    # A piece that has ``q`` before it moves by no more than there are edits left for either side of it.
-                    places = [(q, by) for q in range(k + 1) for by in range(max(-q, longer - k + q), min(q, longer + k - q) + 1)]
-                    for q, by in places if len(at) else ():
-                        low, high = (m[at] * c // (k + 1) + by for c in (q, q + 1))
-                        own = at[(low >= 0) & (low <= high) & (high <= n[at])]
-                        low, high = (start[own] + m[own] * c // (k + 1) + by for c in (q, q + 1))
-                        key = (sums[high] - sums[low]) * down[low] + m[own].astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93) + np.uint64(q * 0xFF51AFD7ED558CCD % (1 << 64))
-                        key = ((key ^ (key >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)).view(np.int64)
-                        if shared is not None:
-                            known = shared.value
-                            hit = known[np.searchsorted(known, key) % len(known)] == key if len(known) else np.zeros(len(key), bool)
-                            own, key = own[hit], key[hit]
-                        if whole or shared is not None:
-                            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (key, h1[own], h2[own])], schema=_KEYS)
-                        else:
-                            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (key, h1[own])], names=["key", "h1"])
+            hashes = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(len(names))]
+            for own, key in filter_keys(*_characters(batch, 2), edits, per):
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (key, *(h[own] for h in hashes))], names=["key", *names])
+
+    return run
+
+
+def hit_rows(edits: int, per: int, shared: Broadcast) -> Callable:
+    """Rows ``line, ...``: those that have one of the ``shared`` keys, which are sorted."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = shared.value
+        for batch in batches:
+            hit = np.zeros(batch.num_rows, bool)
+            for own, key in filter_keys(*_characters(batch, 0), edits, per) if len(known) else ():
+                hit[own[known[np.searchsorted(known, key) % len(known)] == key]] = True
+            yield batch.filter(pa.array(hit))
 
     return run
 
@@ -280,18 +292,18 @@ def _hashed(docs: DataFrame, min_chars: int) -> DataFrame:
 def candidates(docs: DataFrame, min_chars: int, edits: int, per: int) -> DataFrame:
     """Lines that share a piece with another distinct line: ``h1, h2`` and their earliest place and text."""
     lines = _hashed(docs, min_chars)
-    keyed = lines.select(*_LINE, "line").mapInArrow(frugal(filter_rows(edits, per)), "key bigint, h1 bigint")
+    keyed = lines.select(*_LINE, "line").mapInArrow(frugal(filter_rows(edits, per, ("h1",))), "key bigint, h1 bigint")
     # A key of one line only has one hash, however many rows that line has.
     shared = keyed.groupBy("key").agg(F.min("h1").alias("low"), F.max("h1").alias("high")).where("low <> high").select("key")
     shared = stored(shared, "line-pieces")
-    if shared.count() <= BROADCAST_ROWS:
-        known = docs.sparkSession.sparkContext.broadcast(np.sort(np.array([r.key for r in shared.toLocalIterator()], np.int64)))
-        hits = lines.select(*_LINE, "line").mapInArrow(frugal(filter_rows(edits, per, known)), "key bigint, h1 bigint, h2 bigint")
+    if shared.count() <= BROADCAST_KEYS:
+        keys = np.sort(shared.toArrow().column(0).to_numpy())
+        rows = lines.select("line", *_PLACE, *_LINE)
+        hits = rows.mapInArrow(frugal(hit_rows(edits, per, docs.sparkSession.sparkContext.broadcast(keys))), rows.schema)
     else:
-        hits = lines.select(*_LINE, "line").mapInArrow(frugal(filter_rows(edits, per, whole=True)), "key bigint, h1 bigint, h2 bigint").join(shared, "key")
-    met = stored(hits.select(*_LINE).distinct(), "line-candidates")
-    small = F.broadcast if met.count() <= BROADCAST_ROWS else lambda df: df
-    texts = lines.join(small(met), list(_LINE)).groupBy(*_LINE).agg(F.min(F.struct(*_PLACE, "line")).alias("first"))
+        met = lines.select(*_LINE, "line").mapInArrow(frugal(filter_rows(edits, per, _LINE)), "key bigint, h1 bigint, h2 bigint").join(shared, "key")
+        hits = lines.join(stored(met.select(*_LINE).distinct(), "line-candidates"), list(_LINE))
+    texts = hits.groupBy(*_LINE).agg(F.min(F.struct(*_PLACE, "line")).alias("first"))
     return stored(texts.select(*_LINE, "first.*"), "line-texts")
 
 
@@ -308,7 +320,7 @@ def near_lines(docs: DataFrame, min_chars: int, edits: int, per: int) -> DataFra
         sizes = rows.groupBy("key").agg(F.count("*").alias("size"), F.min("left").alias("low"), F.max("left").alias("high"), F.min(back).alias("back_low"), F.max(back).alias("back_high"), F.min(length).alias("least"), F.max(length).alias("most"))
         sizes = stored(sizes.where("size > 1"), "line-variant-sizes")
         # Stored level by level, so that no plan holds them all.
-        parts.append(stored(_near_pairs(rows.join(sizes.where(F.col("size") <= SMALL).select("key"), "key")).groupBy(*_LINE).agg(F.min("first").alias("first")), "line-near"))
+        parts.append(stored(_witnesses(rows.join(sizes.where(F.col("size") <= SMALL).select("key"), "key")).groupBy(*_LINE).agg(F.min("first").alias("first")), "line-near"))
         if sizes.where(F.col("size") > SMALL).isEmpty():
             break
         many = stored(rows.join(sizes.where(F.col("size") > SMALL), "key").mapInArrow(frugal(char_rows), _LEFT_DDL), "line-variants")
@@ -354,29 +366,50 @@ def within_pieces(a: str, b: str, k: int) -> bool:
     return True
 
 
-def _near(columns: int, test: Callable[[str, str, int], bool]) -> Callable:
-    """Of rows ``a, b, k, ...`` those whose first two texts pass the test, without these three."""
+def _near(columns: int) -> Callable:
+    """Of rows ``a, b, k, ...`` those whose first two texts are within ``k`` edits, without these three."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             a, b, k = (batch.column(i).to_pylist() for i in range(3))
-            yield batch.select(list(range(3, columns))).filter(pa.array(list(map(test, a, b, k)), pa.bool_()))
+            yield batch.select(list(range(3, columns))).filter(pa.array(list(map(within, a, b, k)), pa.bool_()))
 
     return frugal(run)
 
 
-def _kept(rows: DataFrame, test: Callable[[str, str, int], bool] = within) -> DataFrame:
-    return rows.mapInArrow(_near(len(rows.columns), test), StructType(rows.schema.fields[3:]))
+def _kept(rows: DataFrame) -> DataFrame:
+    return rows.mapInArrow(_near(len(rows.columns)), StructType(rows.schema.fields[3:]))
 
 
-def _near_pairs(rows: DataFrame) -> DataFrame:
-    """``h1, h2, first``: lines of one key, and earlier ones within the bound; at most ``SMALL`` lines have a key."""
-    rows = stored(rows.select("key", "k", "left", F.struct(*_PLACE, *_LINE).alias("own")), "line-few")
-    earlier = rows.select("key", F.col("left").alias("text"), F.col("own").alias("first"))
-    met = rows.join(earlier, "key").where((F.col("first") < F.col("own")) & (F.abs(F.length("left") - F.length("text")) <= F.col("k")))
-    flat = [F.col(f"first.{c}").alias(f"first_{c}") for c in (*_PLACE, *_LINE)]
-    near = _kept(met.select("left", "text", "k", "own.h1", "own.h2", *flat), within_pieces)
-    return near.select(*_LINE, F.struct(*[F.col(f"first_{c}").alias(c) for c in (*_PLACE, *_LINE)]).alias("first"))
+def _first_near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows ``members``, the lines of one variant in order of their places: each line with the first that is within the bound, if there is one."""
+    for batch in batches:
+        lists = batch.column(0)
+        flat = lists.flatten()
+        own = flat.field("own")
+        left, k, h1, h2 = flat.field("left").to_pylist(), flat.field("k").to_pylist(), own.field("h1").to_pylist(), own.field("h2").to_pylist()
+        sizes = [len(x) for x in left]
+        ends = np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False)).tolist()
+        line, first, start = [], [], 0
+        for end in ends:
+            for i in range(start + 1, end):
+                for j in range(start, i):
+                    # A line can have one variant in several ways.
+                    if abs(sizes[i] - sizes[j]) <= k[i] and (h1[i], h2[i]) != (h1[j], h2[j]) and within_pieces(left[i], left[j], k[i]):
+                        line.append(i)
+                        first.append(j)
+                        break
+            start = end
+        at = pa.array(line, pa.int64())
+        yield pa.RecordBatch.from_arrays([own.field("h1").take(at), own.field("h2").take(at), own.take(pa.array(first, pa.int64()))], names=["h1", "h2", "first"])
+
+
+def _witnesses(rows: DataFrame) -> DataFrame:
+    """``h1, h2, first``: lines of one key with the earliest one within the bound; at most ``SMALL`` rows have a key, so they are one list."""
+    place = F.struct(*_PLACE, *_LINE)
+    members = rows.groupBy("key").agg(F.sort_array(F.collect_list(F.struct(place.alias("own"), "k", "left"))).alias("members")).select("members")
+    kind = members.schema["members"].dataType.elementType["own"].dataType
+    return members.mapInArrow(frugal(_first_near), StructType().add("h1", "long").add("h2", "long").add("first", kind))
 
 
 def removed_lines(docs: DataFrame, min_chars: int = MIN_CHARS, edits: int = EDITS, chars_per_edit: int = CHARS_PER_EDIT) -> DataFrame:
