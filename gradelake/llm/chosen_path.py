@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from gradelake.llm.common import as_row, frugal, stored, wide_hash
+from gradelake.llm.common import as_row, frugal, measured, stored, wide_hash
 from gradelake.llm.components import components
 
 WORDS = 5
@@ -165,6 +165,10 @@ def _sets(width: int):
     return frugal(run)
 
 
+#: What a member of a node brings along.
+_MEMBER = ("rep", "label", "n", "sketch")
+
+
 def _roots(trees: int, tokens: int, threshold: float) -> list[tuple[int, int]]:
     """``tree, position`` of the first choices, all of different positions while there are enough."""
     place = np.random.default_rng(24).permutation(tokens).tolist()
@@ -172,14 +176,14 @@ def _roots(trees: int, tokens: int, threshold: float) -> list[tuple[int, int]]:
     return [(j, place[n % tokens]) for n, j in enumerate([*range(trees), *second])]
 
 
-def _branched(large: DataFrame, live: DataFrame, tokens: int, threshold: float) -> DataFrame:
-    """``rep, label, node`` one level down; a byte of the sketch stands for the token."""
+def _branched(large: DataFrame, tokens: int, threshold: float) -> DataFrame:
+    """Members one level down; a byte of the sketch stands for the token."""
     one = F.pmod(F.xxhash64("node", F.lit(1)), F.lit(tokens)).cast("int")
     two = F.pmod(one + 1 + F.pmod(F.xxhash64("node", F.lit(3)), F.lit(max(tokens - 1, 1))).cast("int"), F.lit(tokens))
     chosen = F.when(F.pmod(F.xxhash64("node", F.lit(2)), F.lit(1 << 20)) < int(branches(threshold) * (1 << 20)), F.array(one, two)).otherwise(F.array(one))
-    rows = large.select("rep", "label", "node", F.explode(chosen).alias("position"))
+    rows = large.select(*_MEMBER, "node", F.explode(chosen).alias("position"))
     child = F.xxhash64("node", "position", F.substring("sketch", F.col("position") + 1, F.lit(1)))
-    return rows.join(live.select("rep", "sketch"), "rep").select("rep", "label", child.alias("node"))
+    return rows.select(*_MEMBER, child.alias("node"))
 
 
 def _mixed_nodes(members: DataFrame) -> DataFrame:
@@ -283,9 +287,9 @@ def _like(cut: int):
     return like
 
 
-def _small(df: DataFrame) -> DataFrame:
+def _small(df: DataFrame, rows: int) -> DataFrame:
     """The table, for a broadcast if it has few rows."""
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
 
 
 class _Join:
@@ -299,8 +303,8 @@ class _Join:
         """Sets of the members ``rep`` that were not read yet; their texts are read again."""
         if self.sets is not None:
             wanted = wanted.join(self.sets.select("rep"), "rep", "left_anti")
-        texts = stored(self.reps.join(wanted, "rep", "left_semi").select("first.v1", "first.v2").distinct(), "set-texts")
-        texts = self.docs.join(_small(texts), ["v1", "v2"], "left_semi").select("v1", "v2", "text").dropDuplicates(["v1", "v2"])
+        texts, seen = measured(self.reps.join(wanted, "rep", "left_semi").select("first.v1", "first.v2").distinct(), "set-texts", rows=F.count("*"))
+        texts = self.docs.join(_small(texts, seen["rows"]), ["v1", "v2"], "left_semi").select("v1", "v2", "text").dropDuplicates(["v1", "v2"])
         new = stored(texts.select("text").mapInArrow(_sets(self.width), "rep binary, own array<bigint>"), "sets")
         self.sets = new if self.sets is None else self.sets.unionByName(new)
 
@@ -341,17 +345,16 @@ def _labels(led: DataFrame) -> DataFrame:
     return stored(labels, "labels")
 
 
-def _cells(leaves: list[DataFrame], rest: DataFrame | None, live: DataFrame, small: int) -> DataFrame:
+def _cells(leaves: list[DataFrame], rest: DataFrame | None, small: int) -> DataFrame:
     """``cell, members``: small nodes, and pairs of blocks of those that are large at the last level."""
-    rows = reduce(DataFrame.unionByName, leaves).select("rep", "label", F.col("node").alias("cell"), F.lit(-1).cast("long").alias("block"))
+    rows = reduce(DataFrame.unionByName, leaves).select(*_MEMBER, F.col("node").alias("cell"), F.lit(-1).cast("long").alias("block"))
     if rest is not None:
         blocks = F.ceil(F.col("size") * 2 / small)
         cut = rest.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("rep", F.lit(5)), "blocks"))
         cut = cut.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
         own = F.when(F.col("block") == F.col("other"), -1).otherwise(F.col("block"))
-        rows = rows.unionByName(cut.select("rep", "label", F.xxhash64("node", F.least("block", "other"), F.greatest("block", "other"), F.lit(6)).alias("cell"), own.cast("long").alias("block")))
-    rows = rows.join(live.select("rep", "n", "sketch"), "rep")
-    return rows.groupBy("cell").agg(F.collect_list(F.struct("rep", "label", "n", "sketch", "block")).alias("members"))
+        rows = rows.unionByName(cut.select(*_MEMBER, F.xxhash64("node", F.least("block", "other"), F.greatest("block", "other"), F.lit(6)).alias("cell"), own.cast("long").alias("block")))
+    return rows.groupBy("cell").agg(F.collect_list(F.struct(*_MEMBER, "block")).alias("members"))
 
 
 def _classes(docs: DataFrame, percent: int, recall: float, width: int, tokens: int, small: int, levels: int) -> tuple[DataFrame, DataFrame]:
@@ -377,22 +380,23 @@ def _classes(docs: DataFrame, percent: int, recall: float, width: int, tokens: i
     edges, labels = [led.select("a", "b")], _labels(led)
 
     members = members.join(labels, "rep", "left").select("rep", F.coalesce("label", "rep").alias("label"), "node")
-    live, leaves, rest = None, [], None
+    leaves, rest = [], None
     for level in range(1, levels + 1):
         members = stored(members, "nodes")
-        members = members.join(_small(stored(_mixed_nodes(members), "node-sizes")), "node")
+        sizes, seen = measured(_mixed_nodes(members), "node-sizes", rows=F.count("*"), large=F.count_if(F.col("size") > small))
+        members = members.join(_small(sizes, seen["rows"]), "node")
+        if level == 1:
+            members = stored(members.join(reps.select("rep", "n", "sketch"), "rep"), "mixed-nodes")
         leaves.append(members.where(F.col("size") <= small).drop("size"))
         large = members.where(F.col("size") > small)
-        if live is None:
-            live = stored(reps.join(members.select("rep").distinct(), "rep", "left_semi"), "live-members")
-        if large.isEmpty():
+        if not seen["large"]:
             break
         if level == levels:
             rest = large
             break
-        members = _branched(large, live, tokens, threshold)
+        members = _branched(large, tokens, threshold)
 
-    found = stored(_cells(leaves, rest, live, small).mapInArrow(_alike(cut, percent), "cell bigint, a binary, b binary"), "like-sketches")
+    found = stored(_cells(leaves, rest, small).mapInArrow(_alike(cut, percent), "cell bigint, a binary, b binary"), "like-sketches")
     pairs = stored(found.where("b is not null").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "like-pairs")
     dense = found.where("b is null").select("cell", F.col("a").alias("rep")).distinct()
     join.read_sets(pairs.select(F.explode(F.array("a", "b")).alias("rep")).unionByName(dense.select("rep")).distinct())
@@ -433,11 +437,11 @@ def near_components(docs: DataFrame, percent: int = PERCENT, recall: float = REC
 def keep_components(docs: DataFrame, **options) -> DataFrame:
     """``docs`` with the rows that :func:`near_components` keeps; columns are as they were, whatever they are called."""
     given = {"percent": PERCENT, "recall": RECALL, "width": WORDS, "tokens": TOKENS, "small": SMALL, "levels": LEVELS} | options
-    lost = stored(_described(docs, **given).where("not doc_id <=> component_id").select("doc_id", "v1", "v2").distinct(), "near-copies")
+    lost, seen = measured(_described(docs, **given).where("not doc_id <=> component_id").select("doc_id", "v1", "v2").distinct(), "near-copies", rows=F.count("*"))
     v1, v2 = wide_hash(F.col("text").cast("string"))
     rows = docs.select(as_row(docs), F.col("doc_id").cast("long").alias("doc_id"), v1.alias("v1"), v2.alias("v2"))
     same = F.expr("d.doc_id <=> l.doc_id and d.v1 = l.v1 and d.v2 = l.v2")
-    return rows.alias("d").join(_small(lost).alias("l"), same, "left_anti").select("row.*")
+    return rows.alias("d").join(_small(lost, seen["rows"]).alias("l"), same, "left_anti").select("row.*")
 
 
 def op11_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,7 +10,7 @@ from contextlib import contextmanager
 from contextvars import ContextVar
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -42,6 +42,13 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def measured(df: DataFrame, name: str, **metrics: Column) -> tuple[DataFrame, dict]:
+    """As :func:`stored`, with aggregates of the rows that are taken while they are written, so that no job of their own reads them again."""
+    seen = Observation()
+    table = stored(df.observe(seen, *[c.alias(n) for n, c in metrics.items()]), name)
+    return table, seen.get
+
+
 def removed(spark: SparkSession, path: str) -> None:
     """Delete a folder of the shared file system."""
     folder = spark._jvm.org.apache.hadoop.fs.Path(path)
