@@ -7,7 +7,8 @@ found by a deletion-neighbourhood join:
    lines that share one with another distinct line go on.  All pieces are hashed from running sums over a batch.
 2. *Variants*: each such line is cut into ``k + 2`` pieces; every variant without ``k`` of them is a hashed key.
    The longer line of a pair tries the few ways in which its pieces can be moved.
-3. *Join*: of lines with equal variants the left-out pieces are compared one by one with those of the earlier lines.  Where more
+3. *Join*: of lines with equal variants the left-out pieces are compared one by one with those of the earlier lines
+   whose letters are nearly the same.  Where more
    than ``SMALL`` lines share a variant, none are compared: they are cut into three times as many pieces, and step 2
    starts again for them.  Once the lines of a variant differ in few characters only, the variants without ``k`` of
    these characters, with the places of them, are keys.  All lines of such a key are within ``k`` edits of each
@@ -40,7 +41,7 @@ MIN_CHARS = 1
 #: Edits that make two lines near at most, and characters of the shorter line that each edit takes; 0 allows all edits at any length.
 EDITS, CHARS_PER_EDIT = 2, 10
 #: Lines of one variant that are compared with each other; if it has more, they are cut more finely.
-SMALL = 128
+SMALL = 4096
 #: Characters in which the lines of a larger variant may differ for these to be deleted one by one.
 FEW_CHARS = 16
 #: Keys of pieces (8 bytes each) that are broadcast, else joined by shuffle.
@@ -366,6 +367,14 @@ def within_pieces(a: str, b: str, k: int) -> bool:
     return True
 
 
+def letters(text: str) -> int:
+    """Which characters a text holds, as bits."""
+    found = 0
+    for c in set(text):
+        found |= 1 << (ord(c) & 63)
+    return found
+
+
 def _near(columns: int) -> Callable:
     """Of rows ``a, b, k, ...`` those whose first two texts are within ``k`` edits, without these three."""
 
@@ -388,14 +397,17 @@ def _first_near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         flat = lists.flatten()
         own = flat.field("own")
         left, k, h1, h2 = flat.field("left").to_pylist(), flat.field("k").to_pylist(), own.field("h1").to_pylist(), own.field("h2").to_pylist()
-        sizes = [len(x) for x in left]
+        sizes = np.fromiter(map(len, left), np.int64, len(left))
+        held = np.fromiter(map(letters, left), np.uint64, len(left))
         ends = np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False)).tolist()
         line, first, start = [], [], 0
         for end in ends:
             for i in range(start + 1, end):
-                for j in range(start, i):
+                # An edit adds or takes away two letters at most.
+                fit = (np.abs(sizes[start:i] - sizes[i]) <= k[i]) & (np.bitwise_count(held[start:i] ^ held[i]) <= 2 * k[i])
+                for j in (np.flatnonzero(fit) + start).tolist():
                     # A line can have one variant in several ways.
-                    if abs(sizes[i] - sizes[j]) <= k[i] and (h1[i], h2[i]) != (h1[j], h2[j]) and within_pieces(left[i], left[j], k[i]):
+                    if (h1[i], h2[i]) != (h1[j], h2[j]) and within_pieces(left[i], left[j], k[i]):
                         line.append(i)
                         first.append(j)
                         break

@@ -88,6 +88,7 @@ def test_pieces_are_compared_one_by_one():
         one, two = D.PARTED.join(x), D.PARTED.join(y)
         for k in (1, 2, 3):
             assert D.within_pieces(one, two, k) == (least <= k)
+            assert least > k or (D.letters(one) ^ D.letters(two)).bit_count() <= 2 * k
             assert bool(D.char_keys(one, k) & D.char_keys(two, k)) == (least <= k)
 
 
