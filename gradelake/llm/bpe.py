@@ -199,9 +199,9 @@ def block_rows(pattern: str, buckets: int, block_chars: int, kind: str) -> Calla
                 yield pa.RecordBatch.from_pylist([row | {"block": name}], schema=_KINDS[kind])
 
         for batch in batches:
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 ids.append(doc_id)
-                texts.append(text or "")
+                texts.append(text.as_py() or "")
                 chars += len(texts[-1])
                 if chars >= block_chars:
                     yield from emit()
@@ -324,9 +324,9 @@ def decode(encoded: DataFrame, ranks_path: str) -> DataFrame:
     return encoded.withColumn("decoded", look_up("ids"))
 
 
-def digests(docs: DataFrame, ranks_path: str, pattern: str, with_ids: bool = False) -> DataFrame:
+def digests(docs: DataFrame, ranks_path: str, pattern: str, with_ids: bool = False, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """Encode, decode, and reduce both to digests; with ``with_ids`` the ids stay beside them."""
-    both = encode(docs, ranks_path, pattern, decoded=True)
+    both = encode(docs, ranks_path, pattern, block_chars, decoded=True)
     listed = F.concat_ws(",", F.col("ids").cast("array<string>"))
     return both.select("doc_id", *(["ids"] if with_ids else []), F.size("ids").cast("long").alias("n_tokens"), F.sha2(listed.cast("binary"), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 

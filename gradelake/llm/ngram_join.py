@@ -96,7 +96,7 @@ def _signatures(bands: int, rows: int, width: int):
         hashes = _Hashes()
         for batch in batches:
             out = []
-            for text in batch.column(1).to_pylist():
+            for text in (t.as_py() for t in batch.column(1)):
                 own = shingles(text, hashes, width)
                 out.append((xxhash.xxh3_128_digest(own.tobytes()), len(own), band_hashes(own, bands, rows) if len(own) else []))
             reps, n, keys = zip(*out, strict=True) if out else [()] * 3
@@ -109,7 +109,7 @@ def _sets(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = _Hashes()
         for batch in batches:
-            own = [shingles(t, hashes, width) for t in batch.column(0).to_pylist()]
+            own = [shingles(t, hashes, width) for t in (x.as_py() for x in batch.column(0))]
             reps = pa.array([xxhash.xxh3_128_digest(x.tobytes()) for x in own], pa.binary())
             yield pa.RecordBatch.from_arrays([reps, pa.array([x.view(np.int64) for x in own], pa.list_(pa.int64()))], names=["rep", "own"])
 
