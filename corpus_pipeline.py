@@ -21,6 +21,8 @@ from gradelake.llm.language import labelled, remainder, train
 from gradelake.llm.line_dedup import dedup_lines
 from gradelake.llm.ngram_join import drop_near_duplicates
 
+#: Blocks of the last stage are half as large as when it runs alone, since workers of earlier stages are still there.
+BLOCK_CHARS = 4_000_000
 TOKENIZER = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 
 
@@ -48,7 +50,7 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """``doc_id``, the token ids, and digests of the ids and of the decoded bytes; a null text has no ids."""
-    return digests(docs, TOKENIZER, public_tokenizers.PATTERN, with_ids=True)
+    return digests(docs, TOKENIZER, public_tokenizers.PATTERN, with_ids=True, block_chars=BLOCK_CHARS)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
