@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gradelake.functions import text as T
-from gradelake.operators import evaluation, history, matching, pricing
+from gradelake.operators import evaluation, history, matching, pricing, search
 from gradelake.plans import sqltext as Q
 from gradelake.plans.views import view, with_views
 
@@ -68,7 +68,9 @@ def view_embeddings(spark: SparkSession, sf: str) -> DataFrame:
 
 def _matched(spark: SparkSession, sf: str, asked: str = "true") -> DataFrame:
     requests = view(spark, sf, "v_request").where(asked)
-    shortlist = matching.nearest(requests.select("query_id", "vector"), view_embeddings(spark, sf))
+    vectors = requests.select("query_id", "vector")
+    # As many requests as rows skip what cannot be near; a stated few meet all rows.
+    shortlist = search.Cells(view_embeddings(spark, sf)).nearest(vectors) if asked == "true" else matching.nearest(vectors, view_embeddings(spark, sf))
     return matching.hybrid_match(shortlist, requests, view(spark, sf, "v_catalog"))
 
 
