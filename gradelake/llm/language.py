@@ -252,6 +252,8 @@ def labelled(docs: DataFrame, model: Model) -> DataFrame:
                     rows += _predict(part, model, find, number, known)
                 part, chars = [], 0
             yield pa.array(rows, kind)
+        # What is still named here would not be handed back.
+        number, known, texts, rows, part = {}, [], None, [], []
         release()
 
     label = label.asNondeterministic()  # else a filter on the label runs it twice
