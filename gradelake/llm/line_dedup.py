@@ -50,8 +50,10 @@ BROADCAST_KEYS = 1_000_000
 PARTED = "\n"
 #: Rows of variants that a task hands on at once.
 ROWS_OUT = 50_000
-#: Keys that are hashed at once.
-KEYS_AT_ONCE = 200_000
+#: Keys that are hashed at once, and characters of lines; a longer line is hashed alone.
+KEYS_AT_ONCE, CHARS_AT_ONCE = 200_000, 400_000
+#: Groups of up to so many lines are compared without arrays.
+FEW_LINES = 12
 
 _DOC = ("doc_id", "version")
 _LINE = ("h1", "h2")
@@ -96,11 +98,15 @@ _TABLES = [_powers(_RADIX, 1), _powers(_INVERSE, 1)]
 def running_sums(text: str) -> tuple[np.ndarray, np.ndarray]:
     """``sums, down``: ``(sums[b] - sums[a]) * down[a]`` is a hash of ``text[a:b]`` that does not depend on its place."""
     codes = np.frombuffer(text.encode("utf-32-le"), np.uint32).astype(np.uint64)
-    if len(codes) >= len(_TABLES[0]):
-        _TABLES[:] = [_powers(_RADIX, 2 * len(codes) + 1), _powers(_INVERSE, 2 * len(codes) + 1)]
+    tables = _TABLES
+    if len(codes) >= len(tables[0]):
+        tables = [_powers(_RADIX, len(codes) + 1), _powers(_INVERSE, len(codes) + 1)]
+        # Workers live on after a task, so what a very long line needs is not kept.
+        if len(codes) <= 2 * CHARS_AT_ONCE:
+            _TABLES[:] = tables
     sums = np.zeros(len(codes) + 1, np.uint64)
-    np.cumsum((codes + np.uint64(1)) * _TABLES[0][: len(codes)], out=sums[1:])
-    return sums, _TABLES[1]
+    np.cumsum((codes + np.uint64(1)) * tables[0][: len(codes)], out=sums[1:])
+    return sums, tables[1]
 
 
 def filter_keys(lines: list[str], n: np.ndarray, edits: int, per: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -122,33 +128,70 @@ def filter_keys(lines: list[str], n: np.ndarray, edits: int, per: int) -> Iterat
                 yield own, ((key ^ (key >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)).view(np.int64)
 
 
-def _characters(batch: pa.RecordBatch, column: int) -> tuple[list[str], np.ndarray]:
-    lines = batch.column(column)
-    return lines.to_pylist(), pc.utf8_length(lines).to_numpy(zero_copy_only=False).astype(np.int64)
+def split_lines(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    """``row, line_no, line`` of a batch of texts, as :func:`lines_of` cuts and trims them; a null text is empty."""
+    parts = pc.split_pattern(pc.fill_null(texts, ""), "\n")
+    sizes = parts.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+    row = np.repeat(np.arange(len(sizes)), sizes)
+    return row, np.arange(len(row)) - np.repeat(np.cumsum(sizes) - sizes, sizes), pc.utf8_trim(parts.flatten(), " \t\r")
 
 
-def filter_rows(edits: int, per: int, names: tuple[str, ...]) -> Callable:
-    """Rows ``h1, h2, line``: all keys of each line, with as many of its hashes as there are ``names``."""
+def at_once(lines: pa.Array) -> Iterator[tuple[int, list[str], np.ndarray]]:
+    """Stretches of ``lines`` of ``CHARS_AT_ONCE`` characters, or one line that is longer: where they start, and their characters."""
+    n = pc.utf8_length(lines).to_numpy(zero_copy_only=False).astype(np.int64)
+    ends = np.cumsum(n)
+    start = 0
+    while start < len(n):
+        end = max(start + 1, int(np.searchsorted(ends, (ends[start - 1] if start else 0) + CHARS_AT_ONCE, "right")))
+        yield start, lines.slice(start, end - start).to_pylist(), n[start:end]
+        start = end
+
+
+def filter_rows(edits: int, per: int) -> Callable:
+    """Rows ``key, h1, h2``: all keys of each line, with its hashes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            hashes = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(len(names))]
-            for own, key in filter_keys(*_characters(batch, 2), edits, per):
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (key, *(h[own] for h in hashes))], names=["key", *names])
+            h1, h2 = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
+            for start, lines, n in at_once(batch.column(2)):
+                for own, key in filter_keys(lines, n, edits, per):
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in (key, h1[start + own], h2[start + own])], schema=_KEYS)
 
     return run
 
 
-def hit_rows(edits: int, per: int, shared: Broadcast) -> Callable:
-    """Rows ``line, ...``: those that have one of the ``shared`` keys, which are sorted."""
+def text_rows(edits: int, per: int, min_chars: int) -> Callable:
+    """From whole texts rows ``key, h1``: all keys of their lines, with a hash of the line."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = shared.value
         for batch in batches:
-            hit = np.zeros(batch.num_rows, bool)
-            for own, key in filter_keys(*_characters(batch, 0), edits, per) if len(known) else ():
-                hit[own[known[np.searchsorted(known, key) % len(known)] == key]] = True
-            yield batch.filter(pa.array(hit))
+            _, _, lines = split_lines(batch.column(0))
+            # Lines of a batch are reduced to one here.
+            lines = lines.unique()
+            for _, own_lines, n in at_once(lines.filter(pc.greater_equal(pc.utf8_length(lines), min_chars))):
+                hashes = np.fromiter(map(xxhash.xxh64_intdigest, own_lines), np.uint64, len(own_lines)).view(np.int64)
+                for own, key in filter_keys(own_lines, n, edits, per):
+                    yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(hashes[own])], names=["key", "h1"])
+
+    return run
+
+
+def hit_rows(edits: int, per: int, min_chars: int, shared: Broadcast) -> Callable:
+    """From whole texts rows ``doc_id, version, line_no, line`` for the lines that have one of the ``shared`` keys, which are sorted."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = shared.value
+        for batch in batches if len(known) else ():
+            row, line_no, lines = split_lines(batch.column(2))
+            coded = lines.dictionary_encode()
+            hit = np.zeros(len(coded.dictionary), bool)
+            for start, own_lines, n in at_once(coded.dictionary):
+                for own, key in filter_keys(own_lines, n, edits, per):
+                    hit[start + own[known[np.searchsorted(known, key) % len(known)] == key]] = True
+            hit &= pc.utf8_length(coded.dictionary).to_numpy(zero_copy_only=False) >= min_chars
+            at = np.flatnonzero(hit[coded.indices.to_numpy(zero_copy_only=False)])
+            rows = batch.select([0, 1]).take(pa.array(row[at]))
+            yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(line_no[at].astype(np.int32)), lines.take(pa.array(at))], names=[*_PLACE, "line"])
 
     return run
 
@@ -278,11 +321,9 @@ def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 
 
-def line_table(docs: DataFrame, min_chars: int) -> DataFrame:
-    """One row per distinct line: its earliest place and its number of rows."""
-    h1, h2 = wide_hash(F.col("line"))
-    lines = lines_of(docs, min_chars).select(*_PLACE, h1.alias("h1"), h2.alias("h2"))
-    return lines.groupBy(*_LINE).agg(F.min(F.struct(*_PLACE)).alias("first"), F.count("*").alias("n"))
+def line_table(places: DataFrame) -> DataFrame:
+    """One row per distinct line of ``places``: its earliest place and its number of rows."""
+    return places.groupBy(*_LINE).agg(F.min(F.struct(*_PLACE)).alias("first"), F.count("*").alias("n"))
 
 
 def _hashed(docs: DataFrame, min_chars: int) -> DataFrame:
@@ -292,17 +333,19 @@ def _hashed(docs: DataFrame, min_chars: int) -> DataFrame:
 
 def candidates(docs: DataFrame, min_chars: int, edits: int, per: int) -> DataFrame:
     """Lines that share a piece with another distinct line: ``h1, h2`` and their earliest place and text."""
-    lines = _hashed(docs, min_chars)
-    keyed = lines.select(*_LINE, "line").mapInArrow(frugal(filter_rows(edits, per, ("h1",))), "key bigint, h1 bigint")
+    keyed = docs.select("text").mapInArrow(frugal(text_rows(edits, per, min_chars)), "key bigint, h1 bigint")
     # A key of one line only has one hash, however many rows that line has.
     shared = keyed.groupBy("key").agg(F.min("h1").alias("low"), F.max("h1").alias("high")).where("low <> high").select("key")
     shared = stored(shared, "line-pieces")
     if shared.count() <= BROADCAST_KEYS:
-        keys = np.sort(shared.toArrow().column(0).to_numpy())
-        rows = lines.select("line", *_PLACE, *_LINE)
-        hits = rows.mapInArrow(frugal(hit_rows(edits, per, docs.sparkSession.sparkContext.broadcast(keys))), rows.schema)
+        keys = docs.sparkSession.sparkContext.broadcast(np.sort(shared.toArrow().column(0).to_numpy()))
+        rows = docs.select("doc_id", version(), "text")
+        kind = StructType(rows.schema.fields[:2]).add("line_no", "integer").add("line", "string")
+        h1, h2 = wide_hash(F.col("line"))
+        hits = rows.mapInArrow(frugal(hit_rows(edits, per, min_chars, keys)), kind).withColumns({"h1": h1, "h2": h2})
     else:
-        met = lines.select(*_LINE, "line").mapInArrow(frugal(filter_rows(edits, per, _LINE)), "key bigint, h1 bigint, h2 bigint").join(shared, "key")
+        lines = _hashed(docs, min_chars)
+        met = lines.select(*_LINE, "line").mapInArrow(frugal(filter_rows(edits, per)), "key bigint, h1 bigint, h2 bigint").join(shared, "key")
         hits = lines.join(stored(met.select(*_LINE).distinct(), "line-candidates"), list(_LINE))
     texts = hits.groupBy(*_LINE).agg(F.min(F.struct(*_PLACE, "line")).alias("first"))
     return stored(texts.select(*_LINE, "first.*"), "line-texts")
@@ -369,9 +412,16 @@ def within_pieces(a: str, b: str, k: int) -> bool:
 
 def letters(text: str) -> int:
     """Which characters a text holds, as bits."""
-    found = 0
-    for c in set(text):
-        found |= 1 << (ord(c) & 63)
+    return int(letters_of([text], np.array([len(text)]))[0])
+
+
+def letters_of(texts: list[str], sizes: np.ndarray) -> np.ndarray:
+    """Which characters each text holds, as bits; ``sizes`` are their lengths."""
+    codes = np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32)
+    found = np.zeros(len(texts), np.uint64)
+    some = np.flatnonzero(sizes)
+    if len(some):
+        found[some] = np.bitwise_or.reduceat(np.uint64(1) << (codes & np.uint32(63)).astype(np.uint64), (np.cumsum(sizes) - sizes)[some])
     return found
 
 
@@ -398,14 +448,19 @@ def _first_near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = flat.field("own")
         left, k, h1, h2 = flat.field("left").to_pylist(), flat.field("k").to_pylist(), own.field("h1").to_pylist(), own.field("h2").to_pylist()
         sizes = np.fromiter(map(len, left), np.int64, len(left))
-        held = np.fromiter(map(letters, left), np.uint64, len(left))
+        held = letters_of(left, sizes)
+        few_sizes, few_held = sizes.tolist(), held.tolist()
         ends = np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False)).tolist()
         line, first, start = [], [], 0
         for end in ends:
             for i in range(start + 1, end):
                 # An edit adds or takes away two letters at most.
-                fit = (np.abs(sizes[start:i] - sizes[i]) <= k[i]) & (np.bitwise_count(held[start:i] ^ held[i]) <= 2 * k[i])
-                for j in (np.flatnonzero(fit) + start).tolist():
+                if i - start <= FEW_LINES:
+                    own_size, own_held, most = few_sizes[i], few_held[i], k[i]
+                    fit = [j for j in range(start, i) if -most <= few_sizes[j] - own_size <= most and (few_held[j] ^ own_held).bit_count() <= 2 * most]
+                else:
+                    fit = (np.flatnonzero((np.abs(sizes[start:i] - sizes[i]) <= k[i]) & (np.bitwise_count(held[start:i] ^ held[i]) <= 2 * k[i])) + start).tolist()
+                for j in fit:
                     # A line can have one variant in several ways.
                     if (h1[i], h2[i]) != (h1[j], h2[j]) and within_pieces(left[i], left[j], k[i]):
                         line.append(i)
@@ -430,12 +485,12 @@ def removed_lines(docs: DataFrame, min_chars: int = MIN_CHARS, edits: int = EDIT
     ``like_*`` is the first place of the line that is equal, or of the earliest that is near; that one can itself
     be near to a still earlier one and go.
     """
-    distinct = stored(line_table(docs, min_chars), "line-table")
+    places = stored(_hashed(docs, min_chars).select(*_PLACE, *_LINE), "line-places")
+    distinct = stored(line_table(places), "line-table")
     rulings = distinct.withColumn("like", F.lit(None).cast(distinct.schema["first"].dataType))
     if edits:
         rulings = distinct.join(near_lines(docs, min_chars, edits, chars_per_edit), list(_LINE), "left")
     rulings = stored(rulings.where("n > 1 or like is not null").select(*_LINE, "first", "like"), "line-rulings")
-    places = _hashed(docs, min_chars).select(*_PLACE, *_LINE)
     # A line that very many documents hold is one ruling: AQE splits the partition of its places.
     gone = places.join(rulings, list(_LINE)).where(F.col("like").isNotNull() | (F.struct(*_PLACE) != F.col("first")))
     like = F.coalesce("like", "first")
