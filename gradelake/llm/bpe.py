@@ -49,7 +49,7 @@ LATER = (
     "1b123-1b128 1b168-1b168 1d6a6-1d6a6 1df1f-1df24 1df2b-1df81 1df90-1df96 1dfcd-1dfff 1e6c0-1e6de 1e6e0-1e6e2 1e6e4-1e6e5 1e6e7-1e6ed 1e6f0-1e6f4 1e6fe-1e6ff "
     "2b73a-2b73f 2b81e-2b81e 2cea2-2cead 323b0-33479 3d000-3fc3f"
 )
-_LATER = regex.compile("[" + "".join(f"{chr(int(a, 16))}-{chr(int(b, 16))}" for a, b in (x.split("-") for x in LATER.split())) + "]")
+_LATER = re.compile("[" + "".join(f"{chr(int(a, 16))}-{chr(int(b, 16))}" for a, b in (x.split("-") for x in LATER.split())) + "]")
 
 _HEAD = [("block", pa.string()), ("bucket", pa.int32())]
 _KINDS = {
@@ -62,8 +62,9 @@ _DDL = {
     "docs": "block string, bucket int, numbers binary, doc_ids array<bigint>, lengths array<int>",
     "merged": "block string, bucket int, sizes binary, ids binary",
 }
-#: Runs of blanks; what counts as one here is at least what the pattern takes for one.
-_BLANKS = re.compile(r"\s\s")
+#: Runs of blanks, and a blank or nothing at the end; what counts as one here is at least what the pattern takes for one.
+_BLANK = "[\\t-\\r\\x1c-\\x20\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}]"
+_BLANKS, _OPEN_END = _BLANK + _BLANK, rf"(?:\A|{_BLANK})\z"
 
 
 def pack(numbers: np.ndarray) -> bytes:
@@ -133,32 +134,58 @@ def _split(pattern: regex.Pattern, text: str, later: bool) -> list[str]:
     return pattern.findall(text)
 
 
-def number_words(texts: list[str], pattern: regex.Pattern, later: bool = False) -> tuple[list[str], list[np.ndarray]]:
-    """The distinct pre-tokens of a block, and each text as their numbers.
+def split_words(texts: list[str], pattern: regex.Pattern, later: bool = False) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """``words, ends, numbers, pieces, of``: the distinct pre-tokens of a block, and its texts as pieces.
 
     A single space between other signs always begins a pre-token, so texts are cut there first and each
-    distinct piece is split once.  Texts with other runs of blanks are one piece.
+    distinct piece is split once; texts with other runs of blanks are one piece.  Text ``i`` is
+    ``pieces[of[i]:of[i + 1]]``, and piece ``p`` is ``numbers[ends[p]:ends[p + 1]]``.
     """
-    spaced: dict[str, int] = defaultdict(count().__next__)
-    other: dict[str, int] = defaultdict(count().__next__)
-    pieces = []
-    for text in texts:
-        first, *rest = text.split(" ") if not _BLANKS.search(text) else [text]
-        own = np.empty(len(rest) + 1, np.int64)
-        own[0] = 2 * other[first] + 1
-        own[1:] = np.fromiter(map(spaced.__getitem__, rest), np.int64, len(rest)) * 2
-        pieces.append(own)
+    whole_texts = pa.array(texts, pa.large_string())
+    blanks = pc.match_substring_regex(whole_texts, _BLANKS)
+    parts = pc.split_pattern(whole_texts, " ")
+    if pc.any(blanks).as_py():
+        one = pa.ListArray.from_arrays(pa.array(np.arange(len(texts) + 1, dtype=np.int32)), whole_texts)
+        parts = pc.if_else(blanks, one, parts)
+    of = np.concatenate([[0], np.cumsum(parts.value_lengths().to_numpy(zero_copy_only=False))]).astype(np.int64)
+    coded = parts.flatten().dictionary_encode()
+    kinds, pieces = coded.dictionary, coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+    # The first piece of a text has no space before it.
+    first = np.zeros(len(pieces), bool)
+    first[of[:-1]] = True
+    bare, spaced = (np.bincount(pieces[x], minlength=len(kinds)) > 0 for x in (first, ~first))
+    # Behind an empty piece, or one that ends with a blank, the next space would be part of a run; such are split alone.
+    open_end = pc.match_substring_regex(kinds, _OPEN_END).to_numpy(zero_copy_only=False)
+    inner, lone, heads = (np.flatnonzero(x) for x in (spaced & ~open_end & (not later), spaced & (open_end | later), bare))
     number: dict[str, int] = defaultdict(count().__next__)
-    tables = []
-    for kind, mark in ((spaced, " "), (other, "")):
-        split = [[number[w] for w in _split(pattern, mark + piece, later)] for piece in kind]
-        ends = np.cumsum([0, *map(len, split)])
-        tables.append(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.fromiter((n for x in split for n in x), np.uint32, int(ends[-1])))))
-    if not later and _LATER.search("".join(number)):
-        return number_words(texts, pattern, True)
-    both = pa.concat_arrays(tables)
-    texts_as_numbers = [both.take(pa.array(own // 2 + (own % 2) * len(spaced))).flatten().to_numpy(zero_copy_only=False) for own in pieces]
-    return list(number), texts_as_numbers
+    numbers, starts = np.zeros(0, np.int64), np.zeros(0, np.int64)
+    if len(inner):
+        listed = pa.ListArray.from_arrays(pa.array([0, len(inner)], pa.int32()), kinds.take(pa.array(inner)))
+        found = pattern.findall(" " + pc.binary_join(listed, pa.scalar(" ", pa.large_string()))[0].as_py())
+        numbers = np.fromiter(map(number.__getitem__, found), np.int64, len(found))
+        starts = np.flatnonzero(np.fromiter((w[0] == " " for w in number), bool, len(number))[numbers])
+        if len(starts) != len(inner):
+            raise ValueError("a space inside a text does not begin a pre-token of this pattern")
+    alone = [" " + x for x in kinds.take(pa.array(lone)).to_pylist()] + kinds.take(pa.array(heads)).to_pylist()
+    split = [[number[w] for w in _split(pattern, x, later)] for x in alone]
+    if not later and _LATER.search("".join([w for w in number if not w.isascii()])):
+        return split_words(texts, pattern, True)
+    sizes = np.fromiter(map(len, split), np.int64, len(split))
+    ends = np.concatenate([starts, len(numbers) + np.cumsum(sizes) - sizes, [len(numbers) + sizes.sum()]])
+    numbers = np.concatenate([numbers, np.fromiter((n for x in split for n in x), np.int64, int(sizes.sum()))])
+    place, head_place = np.zeros(len(kinds), np.int64), np.zeros(len(kinds), np.int64)
+    place[inner], place[lone] = np.arange(len(inner)), len(inner) + np.arange(len(lone))
+    head_place[heads] = len(inner) + len(lone) + np.arange(len(heads))
+    return list(number), ends, numbers, np.where(first, head_place[pieces], place[pieces]), of
+
+
+def number_words(texts: list[str], pattern: regex.Pattern) -> tuple[list[str], list[np.ndarray]]:
+    """The distinct pre-tokens of a block, and each text as their numbers."""
+    words, ends, numbers, pieces, of = split_words(texts, pattern)
+    table = pa.LargeListArray.from_arrays(pa.array(ends), pa.array(numbers.astype(np.uint32)))
+    flat = table.take(pa.array(pieces)).flatten().to_numpy(zero_copy_only=False)
+    at = np.concatenate([[0], np.cumsum(np.diff(ends)[pieces])])[of]
+    return words, [flat[a:b] for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
 
 
 def block_rows(pattern: str, buckets: int, block_chars: int, kind: str) -> Callable:
@@ -168,7 +195,7 @@ def block_rows(pattern: str, buckets: int, block_chars: int, kind: str) -> Calla
     """
 
     def rows(ids: list, texts: list[str], compiled: regex.Pattern) -> Iterator[dict]:
-        words, numbers = number_words(texts, compiled)
+        words, numbers = number_words(texts, compiled) if kind == "docs" else (split_words(texts, compiled)[0], [])
         encoded = [w.encode() for w in words]
         of = np.fromiter(map(zlib.crc32, encoded), np.uint32, len(encoded)) % buckets
         order = np.argsort(of, kind="stable").astype(np.uint32)
