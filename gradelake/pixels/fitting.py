@@ -39,7 +39,7 @@ def consensus_lines(points: DataFrame, keys: list[str], x: str = "x", y: str = "
     many hypotheses it draws.
     """
     met = points.where(" and ".join(f"`{c}` is not null" for c in (*keys, x, y)))
-    sides = met.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(F.col(x).cast("double").alias("u"), F.col(y).cast("double").alias("v")))).alias("_p")).withColumn("n", F.size("_p").cast("long"))
+    sides = met.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct(F.col(x).cast("double").alias("u"), F.col(y).cast("double").alias("v")))).alias("_p")).withColumn("n", F.size("_p").cast("long"))
     leaps = _leaps(2 * rounds)
     pairs = F.array(*[F.struct(F.lit(r).alias("r"), *[F.lit(v).cast("long").alias(c) for c, v in zip("abcd", (*leaps[2 * r], *leaps[2 * r + 1]), strict=True)]) for r in range(rounds)])
     drawn = sides.where("n >= 4").withColumn("_h", F.explode(pairs))

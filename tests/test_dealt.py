@@ -12,12 +12,27 @@ def exchanges(df) -> list[str]:
     return re.findall(r"(?<![A-Za-z])Exchange (\w+)\((\w+)", plan)
 
 
-@pytest.mark.parametrize("name", ["sobel", "box_blur", "laplacian_var", "gradient_threshold"])
+@pytest.mark.parametrize("name", ["sobel", "box_blur", "laplacian_var", "gradient_threshold", "first_edge_scan", "border_width", "rectify", "detect_scene", "surface_grid", "surface_report", "surface_defects", "refine_quads", "rectify_tilted"])
 def test_no_pixel_travels(spark, name):
     """The only rows that are shuffled are the pictures' keys."""
     assert {e[1] for e in exchanges(__spark_entry__.queries()[name](spark, "/root/testdata/sf0.01"))} == {"s_suppkey"}
 
 
+def test_faces_are_asked_for_once_and_only_shares_travel(spark):
+    """Passes are measured where their photos are; what is shuffled are shares of places, dealt by image."""
+    df = __spark_entry__.queries()["face_consensus"](spark, "/root/testdata/sf0.01")
+    assert {e[1] for e in exchanges(df)} == {"s_suppkey", "image"}
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" not in plan
+
+
+@pytest.mark.parametrize("name", ["first_edge_scan", "border_width", "rectify", "detect_scene", "surface_report"])
+def test_pictures_are_made_once(spark, name):
+    """One scan of the suppliers, however many sides or parts are measured."""
+    plan = __spark_entry__.queries()[name](spark, "/root/testdata/sf0.01")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") == 1
+
+
 def test_known_width_gives_the_same_rows(spark):
     """Neighbours by place in an image's order equal those by lines and columns, for every operator, also in narrow rasters."""
     from gradelake.pixels import relational as R
